@@ -24,6 +24,7 @@ from placeworks.llm import textkit as tk
 
 CELLS, GROWTH, CUT_MASK = 18, 4, 3
 _U = np.uint64
+_SEEDS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
 
 
 def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,12 +55,12 @@ def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _check(keys: np.ndarray) -> np.ndarray:
-    return tk.mix(keys ^ _U(0x5851F42D4C957F2D)) & _U(0xFFFF)
+    return tk.mix(keys ^ _U(0x5851F42D4C957F2D)) & _U(0xFFFFFFFF)
 
 
 def _cells(keys: np.ndarray, owner: np.ndarray, cells: int) -> np.ndarray:
     third = _U(cells // 3)
-    return np.stack([owner * cells + j * (cells // 3) + (tk.mix(keys + _U(j + 1) * _U(0x9E3779B97F4A7C15)) % third).astype(np.int64) for j in range(3)])
+    return np.stack([owner * cells + j * (cells // 3) + (tk.mix(keys ^ _SEEDS[j]) % third).astype(np.int64) for j in range(3)])
 
 
 def sketch(keys: np.ndarray, owner: np.ndarray, n: int, cells: int, sign: int = 1, into=None):
@@ -77,8 +78,10 @@ def sketch(keys: np.ndarray, owner: np.ndarray, n: int, cells: int, sign: int =
 def peel(count, keyed, checked, n: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digests recovered on either side of each subtraction, and which of them ended empty."""
     gone = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
-    while True:
-        pure = np.flatnonzero((np.abs(count) == 1) & (_check(keyed) == checked))
+    for _ in range(cells):  # a cell that only looks pure might set off an endless exchange
+        pure = np.flatnonzero(np.abs(count) == 1)
+        pure = pure[_check(keyed[pure]) == checked[pure]]
+        pure = pure[(_cells(keyed[pure], pure // cells, cells) == pure).any(0)]
         if not len(pure):
             break
         key, owner, sign = keyed[pure], pure // cells, count[pure]
@@ -129,7 +132,7 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
 
 def _encoded(keys, owner, n, cells) -> list[str]:
     count, keyed, checked = (x.reshape(n, cells) for x in sketch(keys, owner, n, cells))
-    wide = np.concatenate([keyed.astype("<u8").view(np.uint8).reshape(n, -1), count.astype("<u2").view(np.uint8).reshape(n, -1), checked.astype("<u2").view(np.uint8).reshape(n, -1)], 1)
+    wide = np.concatenate([keyed.astype("<u8").view(np.uint8).reshape(n, -1), count.astype("<u2").view(np.uint8).reshape(n, -1), checked.astype("<u4").view(np.uint8).reshape(n, -1)], 1)
     return [base64.b64encode(row.tobytes()).decode() for row in wide]
 
 

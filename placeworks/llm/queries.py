@@ -4,9 +4,8 @@ parameters, to its whole table."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from placeworks.llm import language_id, packing, token_counts
+from placeworks.llm import fingerprints, html_text, language_id, packing, quality, token_counts, toxicity
 from placeworks.llm.store import fold, table
 
 
@@ -17,6 +16,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_versions(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -25,5 +28,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_token_counts, op7_packing)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = toxicity.learn(docs, labels.filter(fold("doc_id", 5) != 0))
+    return toxicity.score(docs, net).withColumn("held_out", fold("doc_id", 5) == 0)
+
+
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ranking = quality.learn(docs, labels.filter(fold("doc_id", 4) != 2))
+    return quality.score(docs, ranking).withColumn("held_out", fold("doc_id", 4) == 2)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_fingerprints, op5_token_counts, op7_packing, op8_toxicity, op9_page_text, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}

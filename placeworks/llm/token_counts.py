@@ -6,21 +6,24 @@ character, so no piece crosses a pre-token's border and a text's count is the su
 
 1. Distinct pre-tokens with their corpus frequency: a hash aggregate, combined map-side.
 2. Their piece counts, each computed once, by the tokenizer over the distinct rows.
-3. The most frequent ones (``HEAD`` rows of at most ``HEAD_CHARS`` characters: a fixed bound) are
-   broadcast to the documents' pre-tokens; only the rare rest is summed to per-document frequencies and
-   shuffled to the counts. So hot pre-tokens never meet in one task.
+3. Documents' pre-tokens, as hashes, are summed to per-document frequencies and joined to the counts. The
+   most frequent ones (``HEAD`` rows, a fixed bound) are broadcast; only the rare rest is shuffled. So hot
+   pre-tokens never meet in one task.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placeworks.llm import textkit as tk
 from placeworks.llm.store import written
 
-HEAD, HEAD_CHARS, LIMIT = 1 << 18, 24, 4096
+HEAD, LIMIT = 1 << 18, 4096
 _UNIT = r"(?:\n| +)[^ \n]*"
 
 
@@ -40,36 +43,77 @@ def _count(units: list[str], model: str) -> list[int]:
 _MODEL = None
 
 
+def _hashes(units: pa.Array) -> np.ndarray:
+    parts = [tk.span_hashes(data, offsets[:-1], offsets[1:]) for _, _, data, offsets in tk.text_slices(units)]
+    return np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+
+
 def pretoken_counts(units: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """Distinct (unit) with ``freq`` in, (unit, freq, n_pieces) out."""
+    """Distinct (unit, freq) in, (u, freq, n_pieces) out; u is the pre-token's 64-bit hash."""
 
     def counted(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_count(b.column(0).to_pylist(), model), pa.int64())], names=["unit", "freq", "n_pieces"])
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(b.column(0))), b.column(1), pa.array(_count(b.column(0).to_pylist(), model), pa.int64())], names=["u", "freq", "n_pieces"])
 
-    return units.mapInArrow(counted, "unit string, freq long, n_pieces long")
+    return units.mapInArrow(counted, "u long, freq long, n_pieces long")
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row.
 
-    A null or empty text has no bytes and no tokens. Rows are told apart by (id, text): equal rows
-    are counted once and returned as often as they occur, null ids included. Other columns are ignored.
+    A null or empty text has no bytes and no tokens. Rows are counted one by one, whatever their id: repeated
+    rows and null ids too. An empty table gives no rows; other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    key = F.xxhash64("doc_id", "text")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # The marker that stands for a space is a space to the tokenizer.
     spaced = F.concat(F.lit(" "), F.translate("text", "▁", " "))
-    units = base.filter(F.col("text") != "").select(key.alias("key"), F.explode(F.regexp_extract_all(spaced, F.lit(_UNIT), F.lit(0))).alias("unit"))
+    units = base.filter(F.col("text") != "").select(F.explode(F.regexp_extract_all(spaced, F.lit(_UNIT), F.lit(0))).alias("unit"))
     pieces = written(pretoken_counts(units.groupBy("unit").agg(F.count("*").alias("freq")), model))
-    head = pieces.filter(F.length("unit") <= HEAD_CHARS).orderBy(F.desc("freq"), "unit").limit(HEAD).select("unit", F.col("n_pieces").alias("n"))
-    joined = units.join(F.broadcast(written(head)), "unit", "left")
-    common = joined.filter("n is not null").groupBy("key").agg(F.sum("n").alias("n"))
-    rare = joined.filter("n is null").select("key", F.xxhash64("unit").alias("u"))
-    rare = rare.join(pieces.select(F.xxhash64("unit").alias("u"), "n_pieces"), "u").groupBy("key").agg(F.sum("n_pieces").alias("n"))
-    sums = common.unionByName(rare).groupBy("key").agg(F.sum("n").alias("n"))
-    rows = base.select(key.alias("key"), "doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
-    rows = rows.groupBy("key", "doc_id", "n_bytes").agg(F.count("*").alias("copies")).join(sums, "key", "left")
-    tokens = (F.coalesce("n", F.lit(0)) / F.col("copies")).cast("long")
-    return rows.select("doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    head = pieces.orderBy(F.desc("freq"), "u").limit(HEAD).select("u", "n_pieces").toArrow()
+    order = np.argsort(head["u"].to_numpy())
+    common = docs.sparkSession.sparkContext.broadcast((head["u"].to_numpy()[order], head["n_pieces"].to_numpy()[order]))
+
+    def frequencies(batches):
+        """For each row of the input one row with its id, bytes and the sum over common
+        pre-tokens (u: a hash that no pre-token has), and one for each distinct rare pre-token."""
+        known, pieces_of = common.value
+        row = TaskContext.get().partitionId() << 36
+        for b in batches:
+            texts = b.column(1)
+            plain = pc.binary_join_element_wise(" ", pc.replace_substring(texts, "▁", " "), "")
+            n_bytes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            for first, last, data, offsets in tk.text_slices(plain):
+                n = last - first
+                begins = data == 10
+                begins[1:] |= (data[1:] == 32) & (data[:-1] != 32)
+                begins[offsets[:-1]] = True
+                starts = np.flatnonzero(begins)
+                ends = np.append(starts[1:], len(data))
+                doc = np.searchsorted(offsets, starts, "right") - 1
+                real = n_bytes[first:last][doc] > 0
+                h, doc = tk.span_hashes(data, starts, ends)[real].view(np.int64), doc[real]
+                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+                sums = np.bincount(doc[hit], pieces_of[at[hit]], minlength=n).astype(np.int64)
+                rare, owner = h[~hit], doc[~hit]
+                order = np.lexsort((rare, owner))
+                rare, owner = rare[order], owner[order]
+                new = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1]))) if len(rare) else np.zeros(0, bool))
+                freq = np.diff(np.append(new, len(rare)))
+                rows = row + np.arange(n)
+                row += n
+                none = np.zeros(len(new), bool)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate((rows, rows[owner[new]]))),
+                    pa.array(np.concatenate((tk.mix(rows.astype(np.uint64)).view(np.int64), rare[new]))),
+                    pa.array(np.concatenate((sums, freq))),
+                    pa.array(np.concatenate((n_bytes[first:last], np.zeros(len(new), np.int64)))),
+                    pa.concat_arrays([b.column(0).slice(first, n), pa.nulls(len(new), pa.int64())]),
+                    pa.array(np.concatenate((np.ones(n, bool), none))),
+                ], names=["key", "u", "n", "n_bytes", "doc_id", "whole"])
+
+    counted = base.mapInArrow(frequencies, "key long, u long, n long, n_bytes long, doc_id long, whole boolean")
+    counted = counted.join(pieces.select("u", "n_pieces"), "u", "left")
+    value = F.col("n") * F.when(F.col("whole"), F.lit(1)).otherwise(F.col("n_pieces"))
+    sums = counted.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(value).alias("n_tokens"))
+    return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
