@@ -4,8 +4,9 @@ parameters, to its whole table."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from placeworks.llm import fingerprints, html_text, language_id, packing, quality, token_counts, toxicity
+from placeworks.llm import decontamination, fingerprints, html_text, jaccard_join, language_id, packing, quality, surrogates, token_counts, toxicity
 from placeworks.llm.store import fold, table
 
 
@@ -16,6 +17,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_versions(table(spark, sf_dir, "documents"))
 
@@ -24,6 +33,16 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+#: Keys the surrogates; a deployment passes a secret of its own to the operator.
+SURROGATE_KEY = "registered-query"
+
+
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = surrogates.pseudonymise(docs, SURROGATE_KEY, found_col="found")
+    return found.select("doc_id", "text", F.coalesce(F.size("found"), F.lit(0)).alias("n_entities"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -44,5 +63,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, ranking).withColumn("held_out", fold("doc_id", 4) == 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_fingerprints, op5_token_counts, op7_packing, op8_toxicity, op9_page_text, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_jaccard_join, op4_fingerprints, op5_token_counts, op6_surrogates, op7_packing, op8_toxicity, op9_page_text, op10_quality)}
+#: The methods have no form in SQL; tests/llm compares each query with a brute-force version.
 ORACLE_SQL: dict[str, str] = {}
