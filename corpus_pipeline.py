@@ -1,15 +1,69 @@
-"""A training corpus from raw documents: each stage takes what its predecessor kept."""
+"""A training corpus from raw documents: each stage takes what its predecessor kept.
+
+Stages filter or rewrite rows of ``documents`` and keep its columns; the last one returns packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from placeworks.llm import decontamination, jaccard_join, packing, quality, surrogates
+from placeworks.llm.queries import SURROGATE_KEY
+from placeworks.llm.store import fold, table, written
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pairwise ranking does not reject. It learns from the labelled documents
+    of the raw table, without those held out."""
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 4) != 2)
+    return quality.keep_good(docs, quality.learn(table(spark, sf_dir, "documents"), labels))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near copies; of equal rows one.
+
+    Documents without words, or without an id, are linked with nothing that could replace them, and stay.
+    """
+    groups = written(jaccard_join.groups(docs).select("doc_id", "component_id"))
+    copies = groups.filter("doc_id != component_id").select("doc_id").distinct()
+    kept = docs.join(copies, "doc_id", "left_anti")
+    repeated = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for personal data; the number of characters follows."""
+    return surrogates.pseudonymise(docs, SURROGATE_KEY, chars_col="n_chars")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training windows."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near copies", one_of_each_group),
+    ("decontamination", decontaminated),
+    ("personal data", without_personal_data),
+    ("packing", packed),
+]
+#: The stages have no form in SQL; tests/llm compares them with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if (name, stage) != STAGES[-1]:
+            docs = written(docs)
     return docs
