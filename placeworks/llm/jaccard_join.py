@@ -30,7 +30,7 @@ from placeworks.llm.components import connected
 from placeworks.llm.store import written
 
 WORDS, PERCENT = 5, 80
-BUCKETS, BLOCK = 1 << 21, 1 << 12
+BUCKETS, BLOCK = 1 << 24, 1 << 13
 _U = np.uint64
 
 
@@ -74,38 +74,51 @@ def prefix_length(n, percent: int = PERCENT):
 def hot_buckets(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     """Bitmap of the buckets that hold a token of many documents: those above the mean count by more than
     chance explains. Counts cover every token of every document; the sketch has a fixed size, and so has the bitmap."""
+    most = np.iinfo(np.uint16).max  # a task's counts stop there, far above any mean
 
     def counted(batches):
-        counts = np.zeros(BUCKETS, np.int32)
+        counts = np.zeros(BUCKETS, np.uint16)
+
+        def add(tokens):
+            at, n = np.unique(np.concatenate(tokens), return_counts=True)
+            counts[at] = np.minimum(counts[at] + n, most)
+
         waiting, size = [], 0
         for b in batches:
             for _, _, data, offsets in tk.text_slices(b.column(0)):
                 waiting.append(_bucket(shingles(data, offsets, words)[0]))
                 size += len(waiting[-1])
-                if size > BUCKETS:
-                    counts += np.bincount(np.concatenate(waiting), minlength=BUCKETS).astype(np.int32)
+                if size > 1 << 20:
+                    add(waiting)
                     waiting, size = [], 0
         if waiting:
-            counts += np.bincount(np.concatenate(waiting), minlength=BUCKETS).astype(np.int32)
+            add(waiting)
         blocks = counts.reshape(-1, BLOCK)
-        used = np.flatnonzero(blocks.any(1))
-        if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([blocks[k].tobytes() for k in used], pa.binary())], names=["block", "counts"])
+        for k in np.array_split(np.flatnonzero(blocks.any(1)), 16):
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([row.tobytes() for row in blocks[k]], pa.binary())], names=["block", "counts"])
 
     def summed(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for block, counts in zip(b.column(0).to_pylist(), b.column(1)):
-                sums[block] = sums.get(block, 0) + np.frombuffer(counts.as_py(), np.int32).astype(np.int64)
+                new = np.frombuffer(counts.as_py(), np.uint16)
+                sums[block] = sums[block] + new if block in sums else new.astype(np.uint32)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "counts"])
-
-    rows = docs.select("text").mapInArrow(counted, "block long, counts binary").repartition(16, "block").mapInArrow(summed, "block long, counts binary").toArrow()
-    total = np.zeros((BUCKETS // BLOCK, BLOCK), np.int64)
-    for block, counts in zip(rows["block"].to_pylist(), rows["counts"].to_pylist()):
-        total[block] = np.frombuffer(counts, np.int64)
-    mean = total.mean()
-    return np.packbits(total.ravel() > mean + 6 * mean**0.5 + 8)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([int(v.sum()) for v in sums.values()], pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "total", "counts"])
+
+    sums = written(docs.select("text").mapInArrow(counted, "block long, counts binary").repartition(16, "block").mapInArrow(summed, "block long, total long, counts binary"))
+    mean = (sums.agg(F.sum("total")).first()[0] or 0) / BUCKETS
+    above = mean + 6 * mean**0.5 + 8
+
+    def flagged(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.packbits(np.frombuffer(c.as_py(), np.uint32) > above).tobytes() for c in b.column(1)], pa.binary())], names=["block", "bits"])
+
+    rows = sums.select("block", "counts").mapInArrow(flagged, "block long, bits binary").toArrow()
+    bitmap = np.zeros((BUCKETS // BLOCK, BLOCK // 8), np.uint8)
+    for block, bits in zip(rows["block"].to_pylist(), rows["bits"].to_pylist()):
+        bitmap[block] = np.frombuffer(bits, np.uint8)
+    return bitmap.ravel()
 
 
 def _hot(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
