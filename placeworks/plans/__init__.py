@@ -1,4 +1,6 @@
-"""Registered queries over the bound tables, with their reference SQL."""
+"""Registered queries over the bound tables, each with a reference statement in SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from placeworks.plans import baseline, demand, linking, listing, scalars, traffic, weekly
+from placeworks.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "baseline", "demand", "linking", "listing", "scalars", "traffic", "weekly"]
