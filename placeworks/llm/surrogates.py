@@ -9,7 +9,7 @@
 3. The surrogates are joined to the mentions and those, by the text's hash, to the documents, and the
    texts are put together from what lies between mentions and the surrogates.
 
-Texts are shuffled once. Copies of a text share one map of replacements.
+Only texts with an entity are shuffled, once. Copies of a text share one map of replacements.
 """
 
 from __future__ import annotations
@@ -226,7 +226,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     seen = written(seen)
     made = replacements(seen.select("raw").distinct(), key)
     maps = seen.join(made, "raw").groupBy(hashed).agg(F.map_from_entries(F.collect_set(F.struct("raw", "replacement"))).alias(table))
-    rows = docs.withColumn(hashed, F.xxhash64(text)).join(written(maps), hashed, "left")
+    has = F.coalesce(text.rlike(ENTITY), F.lit(False))
+    rows = docs.filter(has).withColumn(hashed, F.xxhash64(text)).join(written(maps), hashed, "left")
     between, mentions = F.split(text, ENTITY, -1), F.regexp_extract_all(text, entity, F.lit(0))
     mapped = F.transform(mentions, lambda m: F.coalesce(F.element_at(F.col(table), m), m))
     rewritten = F.array_join(F.zip_with(between, mapped, lambda b, m: F.concat(b, F.coalesce(m, F.lit("")))), "")
@@ -234,4 +235,6 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     if chars_col and chars_col in docs.columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns, *([F.col(table).alias(found_col)] if found_col else []))
+    out = out.select(*columns, *([F.col(table).alias(found_col)] if found_col else []))
+    rest = docs.filter(~has)
+    return out.unionByName(rest.withColumn(found_col, F.lit(None).cast("map<string,string>")) if found_col else rest)
