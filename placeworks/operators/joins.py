@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from placeworks.functions.geo import METRES_PER_DEGREE, haversine_m
 
+MAX_RULES = 10_000
+
 
 def with_counts(left: DataFrame, events: DataFrame, key: str, name: str, agg: Column | None = None) -> DataFrame:
     """Left join to events aggregated first, so one row a key is joined and no row is doubled; none counts 0."""
@@ -81,8 +83,11 @@ def containing_addresses(left: DataFrame, right: DataFrame, gram: int = 4) -> Da
 def first_rule_join(rows: DataFrame, text: str, rules: DataFrame, key: str) -> DataFrame:
     """Label of the first rule (rule_order, label, keyword) whose keyword a row's text contains.
 
-    Rules are a small table, whose size Spark checks before it is sent to every task.
+    Containment has no key to join on, so the rules go to every task; a table of more than ``MAX_RULES`` is refused.
     """
+    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    rules = F.broadcast(rules)
     hit = F.lower(F.col(text)).contains(F.col("keyword"))
     found = rows.select(key, text).join(rules, hit).groupBy(key).agg(F.min_by("label", "rule_order").alias("label"))
     return rows.join(found, key, "left")
