@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 1. Every n-gram of the test items is counted over all documents (once for each document).
-2. Of every run of ``SPACING`` n-grams of an item the rarest becomes a seed, so each stretch of an
-   item has one, however common its words are.
+2. The rare ones that occur become seeds: those in at most one of ``RARE`` documents, and of every run of
+   ``SPACING`` n-grams of an item the rarest, so each stretch of an item has one, however common its words are
+   or however often it was copied.
 3. Documents are joined to items on the seeds: the seeds of a block of items are broadcast, and blocks are cut
    so that their texts stay below ``BLOCK_BYTES``; documents are never shuffled.
 4. Around its seeds a passage is aligned with the item, word by word. The score is the share of the
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from placeworks.llm import textkit as tk
 
-SEED_WORDS, SPACING, MATCH, MISMATCH, GAP, THRESHOLD, BLOCK_BYTES = 3, 4, 2, -1, -1, 0.5, 8 << 20
+SEED_WORDS, SPACING, RARE, LEAST_RARE, MATCH, MISMATCH, GAP, THRESHOLD, BLOCK_BYTES = 3, 4, 1000, 100, 2, -1, -1, 0.5, 8 << 20
 _U = np.uint64
 
 
@@ -66,13 +67,14 @@ class Items:
         self.grams, self.item, self.pos = (np.concatenate(x) for x in (self.grams, self.item, self.pos))
         self.lengths = sorted({min(SEED_WORDS, len(w)) for w in self.words if len(w)})
 
-    def choose(self, counts: dict[int, int]) -> None:
+    def choose(self, counts: dict[int, int], documents: int) -> None:
         df = np.array([counts.get(int(g), 0) for g in self.grams.view(np.int64)], np.int64)
         run = self.item * (1 << 32) + self.pos // SPACING
         order = np.lexsort((self.pos, df, run))
+        order = order[df[order] > 0]
         first = np.ones(len(order), bool)
         first[1:] = run[order][1:] != run[order][:-1]
-        seeds = order[first]
+        seeds = order[first | (df[order] <= max(LEAST_RARE, documents // RARE))]
         seeds = seeds[np.argsort(self.grams[seeds], kind="stable")]
         self.grams, self.item, self.pos = self.grams[seeds], self.item[seeds], self.pos[seeds]
 
@@ -151,12 +153,12 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col:
     """Broadcast blocks of items with their seeds chosen."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
+    n, documents = max(1, -(-size // block_bytes)), docs.count()
     for k in range(n):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().toArrow().to_pandas().sort_values(["item_id", "text"])
         made = Items(block["item_id"].tolist(), block["text"].tolist())
         shared = docs.sparkSession.sparkContext.broadcast(made)
-        made.choose(_frequencies(docs, shared))
+        made.choose(_frequencies(docs, shared), documents)
         yield docs.sparkSession.sparkContext.broadcast(made)
 
 
