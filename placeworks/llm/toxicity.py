@@ -23,7 +23,7 @@ from placeworks.llm import textkit as tk
 from placeworks.llm.store import bounded_rows
 
 TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 1500, 3500, 30_000
-BUCKETS, SIZE, FILTERS, WIDTHS, EPOCHS = 1 << 15, 8, 8, (1, 2, 3), 12
+BUCKETS, SIZE, FILTERS, WIDTHS, EPOCHS, RATE = 1 << 15, 8, 8, (1, 2, 3), 2, 0.003
 PREFIXES = (3, 4, 5, 6)
 
 #: Frequent function words, to tell the language of a text.
@@ -117,10 +117,10 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(t) - shift[t.language], -500, 500)))
 
 
-def train(batches: list[tuple[Tokens, np.ndarray]], weight: tuple[float, float], epochs: int = EPOCHS, rate: float = 0.01, seed: int = 5) -> Network:
+def train(batches: list[tuple[Tokens, np.ndarray]], weight: tuple[float, float], epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> Network:
     """Adam on the weighted logistic loss; only the positions that won a maximum carry a gradient.
 
-    The first embedding column starts as each bucket's smoothed log odds of documents, which
+    Few passes suffice, and more fit the words of single documents. The first embedding column starts as each bucket's smoothed log odds of documents, which
     one filter of every width reads; everything else starts at random.
     """
     rng = np.random.default_rng(seed)
