@@ -6,6 +6,7 @@ Stages filter or rewrite rows of ``documents`` and keep its columns; the last on
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from placeworks.llm import decontamination, jaccard_join, packing, quality, surrogates
 from placeworks.llm.queries import SURROGATE_KEY
@@ -26,7 +27,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     groups = written(jaccard_join.groups(docs).select("doc_id", "component_id"))
     copies = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti")
+    # A set of at most 2^18 hash buckets, broadcast, tells most documents that stay; only the rest is shuffled.
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 18))
+    suspects = F.broadcast(copies.select(bucket.alias("__bucket")).distinct())
+    hit = bucket == F.col("__bucket")
+    kept = docs.join(suspects, hit, "left_anti").unionByName(docs.join(suspects, hit, "left_semi").join(copies, "doc_id", "left_anti").select(*docs.columns))
     repeated = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
