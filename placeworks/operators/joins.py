@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from placeworks.functions.geo import METRES_PER_DEGREE, haversine_m
 
@@ -22,6 +23,18 @@ def within_windows(instants: DataFrame, windows: DataFrame) -> DataFrame:
     return instants.alias("i").join(w, (F.col("i.weekday") == F.col("w.weekday")) & (F.col("w.opens") <= F.col("i.minute")) & (F.col("i.minute") < F.col("w.closes"))).select("i.*", "w.shop_id")
 
 
+def count_windows(instants: DataFrame, windows: DataFrame, name: str) -> DataFrame:
+    """Instants (weekday, minute) with the number of windows that hold them (J08), without their pairs: openings and closings are
+    summed by minute of the week, so the running sum and the join see at most one row for each of its minutes."""
+    change = lambda c, n: F.struct(F.col(c).alias("minute"), F.lit(n).alias("change"))
+    ends = windows.filter("opens < closes").select("weekday", F.explode(F.array(change("opens", 1), change("closes", -1))).alias("e"))
+    changes = ends.groupBy("weekday", F.col("e.minute").alias("minute")).agg(F.sum("e.change").alias("change"))
+    w = Window.partitionBy("weekday").orderBy("minute")
+    steps = changes.select("weekday", "minute", F.sum("change").over(w).alias(name), F.lead("minute").over(w).alias("_next")).filter("_next is not null")
+    minutes = steps.select("weekday", F.explode(F.sequence("minute", F.col("_next") - 1)).alias("minute"), name)
+    return instants.join(minutes, ["weekday", "minute"], "left").fillna(0, [name])
+
+
 def within_radius(points: DataFrame, lat: float, lon: float, metres: float) -> DataFrame:
     """Points around one origin, with their distance; a box that the scan can use goes first."""
     import math

@@ -140,6 +140,20 @@ def c21_article_relevance(t: Tables):
     return best_match(hits.withColumn("score", S.article_relevance(F.lit(False), F.lit(False), F.lit(False), F.lit(False), F.col("n"))), "query", "score", "article")
 
 
+@query("""WITH q AS (SELECT DISTINCT query FROM b_querylog), w AS (SELECT DISTINCT query, lower(w) AS word FROM (SELECT query, unnest(string_split(query, ' ')) AS w FROM q) WHERE length(w) > 1),
+a AS (SELECT p_partkey AS article, lower(p_name) AS title FROM part), tw AS (SELECT DISTINCT article, unnest(string_split(title, ' ')) AS word FROM a)
+SELECT query, arg_max(article, (score, -article)) AS article, max(score) AS score FROM (SELECT query, article, count(*) * 5 AS score FROM w JOIN tw USING (word) GROUP BY ALL) GROUP BY 1""")
+def c21_any_article_relevance(t: Tables):
+    """The same among all articles. Those of one title score alike, so the smallest stands for them."""
+    from placeworks.operators.joins import best_match
+
+    word = lambda df, key, c: df.select(key, F.explode(F.array_distinct(F.split(F.lower(c), " "))).alias("word"))
+    words = word(t.querylog.select("query").distinct(), "query", "query").filter(F.length("word") > 1)
+    first = t.base("part").groupBy("p_name").agg(F.min("p_partkey").alias("article"))
+    hits = words.join(word(first, "article", "p_name"), "word").groupBy("query", "article").agg(F.count("*").alias("n"))
+    return best_match(hits.withColumn("score", S.article_relevance(F.lit(False), F.lit(False), F.lit(False), F.lit(False), F.col("n"))), "query", "score", "article")
+
+
 @query(f"WITH l AS ({_LOG}), x AS (SELECT query, CAST(sum(clicks) AS BIGINT) AS clicks FROM l GROUP BY 1) SELECT query, clicks FROM x ORDER BY clicks DESC, query LIMIT 20")
 def o12_report_section(t: Tables):
     return R.top(_log(t).groupBy("query").agg(F.sum("clicks").alias("clicks")), 20, "clicks desc", "query")

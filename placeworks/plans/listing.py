@@ -277,6 +277,15 @@ def j08_interval_join(t: Tables):
     return J.within_windows(instants, exploded(t.hours)).select("event_id", "shop_id")
 
 
+@query("""WITH i AS (SELECT event_id, CAST(dayofweek(ts) AS INTEGER) AS weekday, CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS minute FROM b_event),
+n AS (SELECT m.weekday, m.minute, count(w.shop_id) AS open_windows FROM (SELECT DISTINCT weekday, minute FROM i) m LEFT JOIN b_window w ON m.weekday = w.weekday AND opens <= m.minute AND m.minute < closes GROUP BY 1, 2)
+SELECT event_id, open_windows FROM i JOIN n USING (weekday, minute)""")
+def j08_open_windows(t: Tables):
+    """The interval join of every event, as the number of windows open at it: the pairs are events times windows."""
+    instants = t.event.select("event_id", (F.dayofweek("ts") - 1).alias("weekday"), (F.hour("ts") * 60 + F.minute("ts")).alias("minute"))
+    return J.count_windows(instants, exploded(t.hours), "open_windows").select("event_id", "open_windows")
+
+
 _PAIR = "CAST(round(2 * 6371000.0e0 * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1.0e0)))) AS BIGINT)"
 
 
@@ -294,6 +303,13 @@ def j10_name_in_query(t: Tables):
     return J.names_in_queries(t.querylog.select("query").distinct(), names).select("query")
 
 
+@query("SELECT DISTINCT q.query FROM b_querylog q WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part) n WHERE contains(replace(lower(q.query), ' ', ''), replace(lower(n.name), ' ', '')))")
+def j10_any_name_in_query(t: Tables):
+    """The same with the names of all parts."""
+    names = t.base("part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")).distinct()
+    return J.names_in_queries(t.querylog.select("query").distinct(), names).select("query")
+
+
 @query("""WITH r(rule_order, label, keyword) AS (VALUES (1, 'warm', 'red'), (2, 'cold', 'blue'), (3, 'plain', 'e')), q AS (SELECT DISTINCT query FROM b_querylog)
 SELECT q.query, (SELECT arg_min(label, rule_order) FROM r WHERE contains(lower(q.query), keyword)) AS label FROM q""")
 def j12_first_rule(t: Tables):

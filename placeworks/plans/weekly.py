@@ -44,15 +44,24 @@ def q29_open_now(t: Tables):
     return open_at(exploded(t.hours), 5, 1320)
 
 
-@query("SELECT shop_id, weekday, open_min, close_min, coalesce(bool_or(s <= 600 AND 600 < e), false) AS is_open FROM (SELECT shop_id, weekday, open_min, close_min, w.opens AS s, w.closes AS e FROM b_hours h LEFT JOIN b_window w USING (shop_id, weekday) WHERE shop_id % 2 = 0) GROUP BY ALL")
-def i05_open_at_ten(t: Tables):
-    """Whether any of a shop's ranges on a row's weekday holds ten o'clock."""
-    hours = t.hours.filter("shop_id % 2 = 0")
+def _open_at_ten(hours):
     ranges = F.flatten(F.collect_list(H.segments(F.col("open_min"), F.col("close_min"))))
     by_day = hours.groupBy("shop_id", "weekday").agg(H.covers(ranges, F.lit(600)).alias("is_open"))
     return hours.distinct().join(by_day, ["shop_id", "weekday"]).select("shop_id", "weekday", "open_min", "close_min", "is_open")
 
 
+@query("SELECT shop_id, weekday, open_min, close_min, coalesce(bool_or(s <= 600 AND 600 < e), false) AS is_open FROM (SELECT shop_id, weekday, open_min, close_min, w.opens AS s, w.closes AS e FROM b_hours h LEFT JOIN b_window w USING (shop_id, weekday) WHERE shop_id % 2 = 0) GROUP BY ALL")
+def i05_open_at_ten(t: Tables):
+    """Whether any of a shop's ranges on a row's weekday holds ten o'clock."""
+    return _open_at_ten(t.hours.filter("shop_id % 2 = 0"))
+
+
+@query("SELECT shop_id, weekday, open_min, close_min, coalesce(bool_or(s <= 600 AND 600 < e), false) AS is_open FROM (SELECT shop_id, weekday, open_min, close_min, w.opens AS s, w.closes AS e FROM b_hours h LEFT JOIN b_window w USING (shop_id, weekday)) GROUP BY ALL")
+def i05_any_open_at_ten(t: Tables):
+    """The same for all shops."""
+    return _open_at_ten(t.hours)
+
+
 @query("""WITH t(shop_id, s, e) AS (SELECT shop_id, 60 * CAST(regexp_extract(x, '([0-9]+):([0-9]+)-([0-9]+):([0-9]+)', 1) AS INTEGER) + CAST(regexp_extract(x, '([0-9]+):([0-9]+)-([0-9]+):([0-9]+)', 2) AS INTEGER),
 60 * CAST(regexp_extract(x, '([0-9]+):([0-9]+)-([0-9]+):([0-9]+)', 3) AS INTEGER) + CAST(regexp_extract(x, '([0-9]+):([0-9]+)-([0-9]+):([0-9]+)', 4) AS INTEGER) FROM (SELECT shop_id,
 lpad(CAST(open_min // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(open_min % 60 AS VARCHAR), 2, '0') || '-' || lpad(CAST(close_min // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(close_min % 60 AS VARCHAR), 2, '0') AS x FROM b_hours WHERE weekday = 1))
