@@ -15,7 +15,7 @@ from placeworks.plans.roles import Tables, today
 
 @query()
 def t01_nfkc(t: Tables):
-    return t.base("documents").select("doc_id", T.nfkc(F.substring("text", 1, 200)).alias("text"))
+    return t.base("documents").select("doc_id", T.nfkc("text").alias("text"))
 
 
 @query("SELECT p_partkey, trim(regexp_replace(lower('  ' || p_name || '　 x'), '[\\s　]+', ' ', 'g')) AS name FROM part")

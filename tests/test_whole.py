@@ -1,5 +1,6 @@
 """Queries keep every row of their tables, whatever its id."""
 
+import unicodedata
 from datetime import datetime
 
 import pytest
@@ -46,3 +47,10 @@ def test_hours_and_events(spark, odd_ids):
     instants = {200 + k: ((k % 7 + 1) % 7, k % 24 * 60 + k % 60) for k in range(300)}  # 1 January 2024 was a Monday
     assert got == {i: sum(d == day and s <= m < e for _, d, s, e in windows()) for i, (day, m) in instants.items()}
     assert max(got.values()) > 0
+
+
+def test_nfkc_of_whole_texts(spark, sf_dir):
+    source = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["text"] for r in QUERIES["t01_nfkc"](spark, sf_dir).collect()}
+    assert max(map(len, source.values())) > 200
+    assert got == {k: unicodedata.normalize("NFKC", x) for k, x in source.items()}
