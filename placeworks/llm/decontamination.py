@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, an exact bound on shared words, then Smith-Waterman alignment.
 
-1. Every n-gram of the test items is counted over all documents (once for each document).
-2. The rare ones that occur become seeds: those in at most one of ``RARE`` documents, and of every run of
-   ``SPACING`` n-grams of an item the rarest, so each stretch of an item has one, however common its words are
-   or however often it was copied.
-3. Documents are joined to items on the seeds: the seeds of a block of items are broadcast, and blocks are cut
+1. Every n-gram of the test items is a seed, however common it is in the documents.
+2. Documents are joined to items on the seeds: the seeds of a block of items are broadcast, and blocks are cut
    so that their texts stay below ``BLOCK_BYTES``; documents are never shuffled.
-4. Around its seeds a passage is aligned with the item, word by word. The score is the share of the
+3. A sufficient alignment must match a share of the item's words and can shift by a bounded number of words. Documents, and then
+   passages around seeds, that hold too few of the item's words are left out, which loses nothing.
+4. In what is left a passage is aligned with the item, word by word. The score is the share of the
    best possible one, so substituted, added or dropped words lower it but do not hide a copy.
 """
 
@@ -21,7 +20,9 @@ from pyspark.sql import functions as F
 
 from placeworks.llm import textkit as tk
 
-SEED_WORDS, SPACING, RARE, LEAST_RARE, MATCH, MISMATCH, GAP, THRESHOLD, BLOCK_BYTES = 3, 4, 1000, 100, 2, -1, -1, 0.5, 8 << 20
+SEED_WORDS, MATCH, MISMATCH, GAP, THRESHOLD, BLOCK_BYTES = 3, 2, -1, -1, 0.5, 8 << 20
+#: Rows that are looked up at once.
+ROWS = 1 << 20
 _U = np.uint64
 
 
@@ -67,16 +68,38 @@ class Items:
         self.grams, self.item, self.pos = (np.concatenate(x) for x in (self.grams, self.item, self.pos))
         self.lengths = sorted({min(SEED_WORDS, len(w)) for w in self.words if len(w)})
 
-    def choose(self, counts: dict[int, int], documents: int) -> None:
-        df = np.array([counts.get(int(g), 0) for g in self.grams.view(np.int64)], np.int64)
-        run = self.item * (1 << 32) + self.pos // SPACING
-        order = np.lexsort((self.pos, df, run))
-        order = order[df[order] > 0]
-        first = np.ones(len(order), bool)
-        first[1:] = run[order][1:] != run[order][:-1]
-        seeds = order[first | (df[order] <= max(LEAST_RARE, documents // RARE))]
-        seeds = seeds[np.argsort(self.grams[seeds], kind="stable")]
-        self.grams, self.item, self.pos = self.grams[seeds], self.item[seeds], self.pos[seeds]
+        order = np.argsort(self.grams, kind="stable")
+        self.grams, self.item, self.pos = self.grams[order], self.item[order], self.pos[order]
+        self.vocabulary, self.flat = np.unique(words, return_inverse=True)
+        self.begin, self.size = ends[:-1], np.diff(ends)
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Where words of the items are, sorted by word and place, as word * (len(words) + 1) + place."""
+        if not len(self.vocabulary):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        where = np.flatnonzero(self.vocabulary[at] == words)
+        return np.sort(at[where] * (len(words) + 1) + where)
+
+    def shared(self, places: np.ndarray, n: int, item: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many words of each item lie between a and b of the n words that ``places`` is of."""
+        out = np.zeros(len(item), np.int64)
+        for rows, row, step in _expanded(self.size[item]):
+            word = self.flat[self.begin[item[rows]][row] + step] * (n + 1)
+            at = np.searchsorted(places, word + a[rows][row])
+            found = places[np.minimum(at, len(places) - 1)]
+            out[rows] = np.bincount(row, (at < len(places)) & (found < word + b[rows][row]), minlength=rows.stop - rows.start)
+        return out
+
+
+def _expanded(many: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Slices of rows that are repeated ``many`` times, about ``ROWS`` at once: the slice, and the row in it and number of each repetition."""
+    total, k = np.concatenate(([0], np.cumsum(many))), 0
+    while k < len(many):
+        stop = max(k + 1, int(np.searchsorted(total, total[k] + ROWS, "right")) - 1)
+        row = np.repeat(np.arange(stop - k), many[k:stop])
+        yield slice(k, stop), row, np.arange(len(row)) - (total[k:stop] - total[k])[row]
+        k = stop
 
 
 def _document_grams(words, doc, lengths):
@@ -84,82 +107,59 @@ def _document_grams(words, doc, lengths):
         yield tk.gram_hashes(words, doc, n)
 
 
-def _frequencies(docs: DataFrame, items) -> dict[int, int]:
-    """Documents of each item n-gram that any has; as many rows as the block has n-grams at most."""
-
-    def counted(batches):
-        known = np.unique(items.value.grams)
-        counts = np.zeros(len(known), np.int64)
-        for b in batches:
-            for _, _, data, offsets in tk.text_slices(b.column(0)):
-                words, doc, _, _ = words_of(data, offsets)
-                for grams, first in _document_grams(words, doc, items.value.lengths):
-                    at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
-                    hit = np.flatnonzero(known[at] == grams) if len(known) else np.zeros(0, int)
-                    pair = np.unique(doc[first[hit]] * len(known) + at[hit])
-                    counts += np.bincount(pair % max(len(known), 1), minlength=len(known))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(counts[some])], names=["gram", "n"])
-
-    rows = docs.select("text").mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(rows["gram"].to_pylist(), rows["n"].to_pylist()))
-
-
 def found_in(column: pa.Array, items: Items, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item, score, first byte, byte after the last) of each item found in each text."""
     for first_row, _, data, offsets in tk.text_slices(column):
         words, doc, starts, ends = words_of(data, offsets)
-        hits = []
+        bounds = np.searchsorted(doc, np.arange(len(offsets)))
+        n, places = len(words), items.places(words)
+        slack = np.floor(items.size * MATCH * (1 - threshold)).astype(np.int64)  # words a sufficient alignment can add at most
+        enough = lambda item, a, b: items.shared(places, n, item, a, b) >= threshold * items.size[item]
+        spread, shift = 2 * n + int(items.size.max(initial=0)) + 1, int(items.size.max(initial=0))
+        kept = [np.zeros(0, np.int64)]
         for grams, first in _document_grams(words, doc, items.lengths):
             lo, hi = np.searchsorted(items.grams, grams, "left"), np.searchsorted(items.grams, grams, "right")
-            many = hi - lo
-            at = np.flatnonzero(many)
-            seed = np.repeat(lo[at] - np.concatenate(([0], np.cumsum(many[at])[:-1])), many[at]) + np.arange(many[at].sum())
-            hits.append(np.stack([np.repeat(first[at], many[at]), items.item[seed], items.pos[seed]], 1))
-        hits = np.concatenate(hits) if hits else np.zeros((0, 3), np.int64)
-        if not len(hits):
-            continue
-        owner = doc[hits[:, 0]]
-        hits, owner = hits[(order := np.lexsort((hits[:, 0], hits[:, 1], owner)))], owner[order]
-        bounds = np.searchsorted(doc, np.arange(len(offsets)))
-        begin = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (hits[1:, 1] != hits[:-1, 1]))))
-        for k, stop in zip(begin, np.append(begin[1:], len(hits))):
-            item, row = int(hits[k, 1]), int(owner[k])
-            target = items.words[item]
-            m, slack = len(target), len(target) // 2 + 8
-            best = (0.0, 0, 0)
-            low, high = bounds[row], bounds[row + 1]
+            at = np.flatnonzero(hi > lo)
+            for rows, row, step in _expanded((hi - lo)[at]):
+                place, seed = first[at[rows]][row], lo[at[rows]][row] + step
+                pair, back = np.unique(doc[place] * len(items.ids) + items.item[seed], return_inverse=True)
+                owner, item = np.divmod(pair, len(items.ids))
+                may = enough(item, bounds[owner], bounds[owner + 1])[back]
+                kept.append(np.unique(pair[back[may]] * spread + place[may] - items.pos[seed[may]] + shift))
+        pair, begin = np.divmod(np.unique(np.concatenate(kept)), spread)
+        owner, item = np.divmod(pair, max(len(items.ids), 1))
+        begin -= shift
+        a, b = np.maximum(bounds[owner], begin - slack[item]), np.minimum(bounds[owner + 1], begin + items.size[item] + slack[item])
+        may = enough(item, a, b)
+        pair, owner, item, a, b = (x[may] for x in (pair, owner, item, a, b))
+        begin = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else []
+        for k, stop in zip(begin, np.append(begin[1:], len(pair))):
+            row, target = int(owner[k]), items.words[item[k]]
+            m, best = len(target), (0.0, 0, 0)
             windows: list[list[int]] = []
-            for at, _, pos in hits[k:stop]:
-                a, b = max(low, at - pos - slack), min(high, at - pos + m + slack)
-                if windows and a <= windows[-1][1]:
-                    windows[-1][1] = max(windows[-1][1], b)
+            for low, high in zip(a[k:stop].tolist(), b[k:stop].tolist()):
+                if windows and low <= windows[-1][1]:
+                    windows[-1][1] = max(windows[-1][1], high)
                 else:
-                    windows.append([a, b])
-            for a, b in windows:
-                passage = words[a:b]
-                # As many of the item's words as a sufficient alignment must match, or there is none.
-                if np.isin(target, passage).sum() < threshold * m:
-                    continue
+                    windows.append([low, high])
+            for low, high in windows:
+                passage = words[low:high]
                 score, end = align(target, passage)
                 if score / (MATCH * m) > best[0]:
                     _, back = align(target[::-1], passage[:end][::-1])
-                    best = (score / (MATCH * m), int(starts[a + end - back]), int(ends[a + end - 1]))
+                    best = (score / (MATCH * m), int(starts[low + end - back]), int(ends[low + end - 1]))
             if best[0] >= threshold:
-                yield first_row + row, item, best[0], best[1] - int(offsets[row]), best[2] - int(offsets[row])
+                yield first_row + row, int(item[k]), best[0], best[1] - int(offsets[row]), best[2] - int(offsets[row])
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int):
-    """Broadcast blocks of items with their seeds chosen."""
+    """Broadcast blocks of items with their seeds."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n, documents = max(1, -(-size // block_bytes)), docs.count()
+    n = max(1, -(-size // block_bytes))
     for k in range(n):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().toArrow().to_pandas().sort_values(["item_id", "text"])
-        made = Items(block["item_id"].tolist(), block["text"].tolist())
-        shared = docs.sparkSession.sparkContext.broadcast(made)
-        made.choose(_frequencies(docs, shared), documents)
-        yield docs.sparkSession.sparkContext.broadcast(made)
+        yield docs.sparkSession.sparkContext.broadcast(Items(block["item_id"].tolist(), block["text"].tolist()))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -1,0 +1,26 @@
+"""Cases in which an operator must do the whole job."""
+
+import random
+
+from placeworks.llm import decontamination
+
+
+def test_edited_copies_of_a_common_item(frame, spark):
+    """An item that over 100 documents hold whole, and others with every fourth word replaced."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("bcdfghklm") for _ in range(n))
+    item = [word(6) for _ in range(20)]
+    edited = lambda: " ".join(word(7) if k % 4 == 1 else w for k, w in enumerate(item))
+    rows = [(k, f"{word(5)} {' '.join(item)} {word(5)}") for k in range(110)] + [(k, f"{word(5)} {edited()} {word(5)}") for k in range(200, 350)] + [(k, edited()[:60]) for k in range(400, 410)]
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontamination.contaminated(frame(rows), benchmark).collect()}
+    assert got == {k: 1.0 if k < 200 else 0.625 for k, _ in rows if k < 400}
+
+
+def test_copy_with_many_words_added(frame, spark):
+    """The longest stretch that still scores: after half of the item as many words lie in between as it has."""
+    item = [f"{a}{b}x" for a in "bcdfg" for b in "hklm"]
+    text = " ".join(item[:10] + ["other"] * 20 + item[10:])
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    (row,) = decontamination.contaminated(frame([(1, text), (2, " ".join(item[:9]))]), benchmark).collect()
+    assert (row["doc_id"], row["score"], row["passage"][-3:]) in [(1, 0.5, item[-1]), (1, 0.5, item[9])]
