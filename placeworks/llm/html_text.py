@@ -3,7 +3,8 @@
 Each page's containers are scored by the text their blocks hold, and the page votes for
 the generalised path (tags with classes, digits dropped) of its best container. Votes are summed by host in Spark,
 with map-side combining, so a host of any size is a few rows per task. Pages are then read again and
-the text below the host's winning path is taken; a page without that path falls back to its own best container.
+the text below the host's winning path is taken, widened to what lies around it unless that is mostly links, so
+headlines, lead paragraphs and smaller sections stay; a page without that path falls back to its own best container.
 """
 
 from __future__ import annotations
@@ -157,6 +158,27 @@ def text_below(found, path: str) -> str:
     return "\n".join(text for node, text, _ in found if node.path == path or node.path.startswith(path + "/"))
 
 
+def widened(found, path: str) -> str:
+    """The outermost path around this one whose further blocks are not mostly links: one of an article or main element
+    if there is any, and none outside of these."""
+    inside = lambda node, outer: node.path == outer or node.path.startswith(outer + "/")
+    node = next((node for node, _, _ in found if inside(node, path)), None)
+    while node and node.path != path:
+        node = node.parent
+    around = []
+    while node:
+        around.append(node)
+        node = node.parent
+    around.reverse()
+    meant = [k for k, node in enumerate(around) if node.tag in ("article", "main")]
+    order = [around[k] for k in meant] + [node for node in around[meant[0] if meant else 0 :] if node.tag not in ("article", "main")]
+    for outer in order:
+        further = [(len(text), linked) for node, text, linked in found if inside(node, outer.path) and not inside(node, path)]
+        if 2 * sum(linked for _, linked in further) <= sum(n for n, _ in further):
+            return outer.path
+    return path
+
+
 def host_of(url) -> F.Column:
     """Lower-case host of a URL, without user, port and a leading www. or m.; empty for a null or odd one."""
     host = F.regexp_extract(F.lower(F.coalesce(url.cast("string"), F.lit(""))), r"^\s*(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:\s]+)", 1)
@@ -189,7 +211,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = []
             for page, path in zip(b.column(2), b.column(3).to_pylist()):
                 found = blocks(page.as_py() or "")
-                texts.append((path and text_below(found, path)) or text_below(found, best_path(found)[0]))
+                here = path if path and text_below(found, path) else best_path(found)[0]
+                texts.append(text_below(found, widened(found, here)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b.column(3)], names=["page_id", "url", "text", "n_chars", "path"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host"))

@@ -2,7 +2,7 @@
 
 import random
 
-from placeworks.llm import decontamination
+from placeworks.llm import decontamination, html_text
 
 
 def test_edited_copies_of_a_common_item(frame, spark):
@@ -24,3 +24,21 @@ def test_copy_with_many_words_added(frame, spark):
     benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     (row,) = decontamination.contaminated(frame([(1, text), (2, " ".join(item[:9]))]), benchmark).collect()
     assert (row["doc_id"], row["score"], row["passage"][-3:]) in [(1, 0.5, item[-1]), (1, 0.5, item[9])]
+
+
+def test_articles_of_several_parts(spark):
+    """Headline, lead and smaller sections around the container with most text; menus around it stay out."""
+    body, part = "<p>" + "long text " * 60 + "</p>", "<p>" + "some text " * 12 + "</p>"
+    links = "<div class=box>" + "<a href=/x>another page of the site</a> " * 9 + "</div>"
+    lead = f"<h1>Head</h1><p>Lead.</p><div class=body>{body}</div>"
+    pages = {
+        "article": (f"<body>{links}<article>{lead}</article><div class=box>elsewhere</div></body>", ["Head", "Lead.", body]),
+        "main": (f"<body>{links}<main><h1>Head</h1><article>{body}</article></main>{links}</body>", ["Head", body]),
+        "sections": (f"<body><div class=text><div class=first>{body}</div><div class=second>{part}</div></div>{links}</body>", [body, part]),
+        "bare": (f"<div class=first>{body}</div><div class=second>{part}</div>", [body, part]),
+        "links": (f"<article>{links * 3}<div class=outer><h1>Head</h1><div class=inner>{body}</div></div></article>", ["Head", body]),
+    }
+    rows = [(k, f"https://{host}.example/{k}", page) for k, (host, (page, _)) in enumerate(pages.items())]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    clean = lambda x: x.replace("<p>", "").replace("</p>", "").strip()
+    assert got == {k: "\n".join(map(clean, want)) for k, (_, want) in enumerate(pages.values())}
