@@ -126,6 +126,15 @@ def _hot(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
 
 
+def _class_keys(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Key of each set, of sizes n, from all of its tokens; 0 for an empty one."""
+    begin, full, key = np.concatenate(([0], np.cumsum(n)[:-1])), np.flatnonzero(n), np.zeros(len(n), _U)
+    if len(full):
+        mixed = tk.mix(tokens)
+        key[full] = tk.mix(np.add.reduceat(mixed, begin[full]) + n[full].astype(_U)) ^ np.bitwise_xor.reduceat(mixed, begin[full])
+    return key
+
+
 def prefixes(docs: DataFrame, bitmap, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, key, n, cold, tokens): the class of each document's set, its size, its prefix in the
     common order and how many of the prefix are cold. An empty set has a null key."""
@@ -138,11 +147,7 @@ def prefixes(docs: DataFrame, bitmap, words: int = WORDS, percent: int = PERCENT
                 m = last - first
                 n = np.bincount(owner, minlength=m)
                 begin = np.concatenate(([0], np.cumsum(n)[:-1]))
-                full = np.flatnonzero(n)
-                key = np.zeros(m, _U)
-                if len(full):
-                    mixed = tk.mix(tokens)
-                    key[full] = tk.mix(np.add.reduceat(mixed, begin[full]) + n[full].astype(_U)) ^ np.bitwise_xor.reduceat(mixed, begin[full])
+                key = _class_keys(tokens, n)
                 is_hot = _hot(hot, tokens)
                 order = np.argsort(owner.astype(np.int64) * 2 + is_hot, kind="stable")
                 place = np.arange(len(tokens)) - begin[owner]
@@ -253,14 +258,25 @@ def _compare(pairs: DataFrame, texts: DataFrame, bitmap, words: int, percent: in
     return both.mapInArrow(compared, "a long, b long, linked boolean, n_a long, apart long, lack long")
 
 
-def _texts(docs: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, keys: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """(key, text) of one document of each key. Ids are first sifted by a broadcast set of at most 2^18 hash
-    buckets, so that few texts are shuffled while few are needed."""
+    buckets, so that few texts are shuffled while few are needed. Ids may be null or repeated, so the key of
+    each text left is computed again, and texts are joined on that."""
     wanted = written(keys.join(classes, "key").select("key", "doc_id"))
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 18))
     sifted = docs.select("doc_id", "text").join(F.broadcast(wanted.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi")
-    found = sifted.join(wanted, sifted["doc_id"].eqNullSafe(wanted["doc_id"])).select("key", "text")
-    return written(found)
+
+    def keyed(batches):
+        for b in batches:
+            for first, last, data, offsets in tk.text_slices(b.column(0)):
+                tokens, owner = shingles(data, offsets, words)
+                n = np.bincount(owner, minlength=last - first)
+                key, at = np.unique(_class_keys(tokens, n).view(np.int64), return_index=True)
+                key, at = key[n[at] > 0], at[n[at] > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).slice(first, last - first).take(pa.array(at))], names=["key", "text"])
+
+    found = sifted.select("text").mapInArrow(keyed, "key long, text string").join(wanted.select("key"), "key", "left_semi")
+    return written(found.groupBy("key").agg(F.first("text").alias("text")))
 
 
 def _between_members(stars: DataFrame, percent: int) -> DataFrame:
@@ -302,7 +318,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     stars = written(hot.join(pivots, "token").filter("key != b").select(F.col("key").alias("a"), "b").distinct())
 
     ends = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).unionByName(stars.select(F.col("a").alias("key"))).unionByName(stars.select(F.col("b").alias("key")))
-    texts = _texts(docs, ends.distinct(), classes)
+    texts = _texts(docs, ends.distinct(), classes, words)
 
     star_answers = written(_compare(stars, texts, bitmap, words, percent))
     first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")

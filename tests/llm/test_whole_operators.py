@@ -2,7 +2,9 @@
 
 import random
 
-from placeworks.llm import decontamination, html_text
+from test_documents import brute_groups, groups_of
+
+from placeworks.llm import decontamination, html_text, jaccard_join
 
 
 def test_edited_copies_of_a_common_item(frame, spark):
@@ -42,3 +44,17 @@ def test_articles_of_several_parts(spark):
     got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     clean = lambda x: x.replace("<p>", "").replace("</p>", "").strip()
     assert got == {k: "\n".join(map(clean, want)) for k, (_, want) in enumerate(pages.values())}
+
+
+def test_groups_of_null_and_repeated_ids(frame):
+    """Each id below stands for different texts; those of one id must not be taken for one another."""
+    rng = random.Random(6)
+    text = lambda: [f"v{rng.randrange(10**6)}" for _ in range(40)]
+    one, two, three, four = text(), text(), text(), text()
+    near = lambda words, n: " ".join([*words[:-n], *(f"end{n}x{k}" for k in range(n))])
+    rows = [(None, near(one, 1)), (None, near(two, 1)), (1, near(one, 2)), (2, near(two, 3))]
+    rows += [(7, near(three, 1)), (7, near(four, 1)), (3, near(three, 2)), (4, near(four, 3))]
+    # shares a prefix token with the others but too little to link: it is compared, and must be with its own text
+    rows += [(None, " ".join(one[:24] + text()[:12])), (7, " ".join(three[:24] + text()[:12]))]
+    rows += [(None, " ".join(one[:31] + text()[:5])), (7, " ".join(three[:31] + text()[:5]))]
+    assert groups_of(jaccard_join.groups(frame(rows))) == brute_groups(rows)
