@@ -1,7 +1,8 @@
-"""Document fingerprints: invertible Bloom lookup sketches of hashed paragraph cells.
+"""Document fingerprints: invertible Bloom lookup sketches of hashed paragraphs.
 
-A text is cut at line ends and, within long lines, after words whose hash says so, so cuts depend on content alone. Each
-distinct piece's 64-bit digest goes to three cells of a sketch (count, xor of digests, xor of checks).
+A paragraph is a line that holds a word. One of more than ``LONG_WORDS`` words is cut further, after words whose hash says so
+(one in ``CUT_MASK`` + 1), so cuts depend on content alone and one long line can still be compared in part. Each
+distinct paragraph's 64-bit digest goes to three cells of a sketch (count, xor of digests, xor of checks).
 Subtracting two sketches cancels what the texts share; peeling cells that hold a single digest then
 recovers the digests in which they differ. Where a sketch is too small to be peeled, both are made anew four
 times as large. The likeness of two texts is the share of their digests that did not differ.
@@ -22,24 +23,25 @@ from pyspark.sql import functions as F
 
 from placeworks.llm import textkit as tk
 
-CELLS, GROWTH, CUT_MASK = 18, 4, 3
+CELLS, GROWTH, LONG_WORDS, CUT_MASK = 18, 4, 48, 15
 _U = np.uint64
 _SEEDS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
 
 
 def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct piece digests of the texts, sorted within each, and each one's text."""
-    parts, docs, done = [np.zeros(0, _U)], [np.zeros(0, np.int64)], 0
+    """Distinct paragraph digests of the texts, sorted within each, and each one's text."""
+    parts, docs = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
     for first, _, data, offsets in tk.text_slices(pa.array(texts, pa.string())):
         starts, ends, doc = tk.space_words(data, offsets)
         if not len(starts):
             continue
-        h = tk.span_hashes(data, starts, ends)
-        n = len(h)
         breaks = np.concatenate(([0], np.cumsum(data == 10)))
-        last = (h & _U(CUT_MASK)) == 0
-        last[-1] = True
-        last[:-1] |= (doc[1:] != doc[:-1]) | (breaks[starts[1:]] > breaks[ends[:-1]])
+        last = np.ones(len(starts), bool)
+        last[:-1] = (doc[1:] != doc[:-1]) | (breaks[starts[1:]] > breaks[ends[:-1]])
+        size = np.diff(np.flatnonzero(last), prepend=-1)
+        in_long = np.repeat(size > LONG_WORDS, size)
+        if in_long.any():
+            last[in_long] |= (tk.span_hashes(data, starts[in_long], ends[in_long]) & _U(CUT_MASK)) == 0
         stop = np.flatnonzero(last)
         begin = np.concatenate(([0], stop[:-1] + 1))
         piece = tk.span_hashes(data, starts[begin], ends[stop])
@@ -50,7 +52,6 @@ def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         fresh[1:] = (piece[1:] != piece[:-1]) | (owner[1:] != owner[:-1])
         parts.append(piece[fresh])
         docs.append(owner[fresh] + first)
-        done += n
     return np.concatenate(parts), np.concatenate(docs)
 
 
@@ -132,7 +133,7 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
 
 def _encoded(keys, owner, n, cells) -> list[str]:
     count, keyed, checked = (x.reshape(n, cells) for x in sketch(keys, owner, n, cells))
-    wide = np.concatenate([keyed.astype("<u8").view(np.uint8).reshape(n, -1), count.astype("<u2").view(np.uint8).reshape(n, -1), checked.astype("<u4").view(np.uint8).reshape(n, -1)], 1)
+    wide = np.concatenate([keyed.astype("<u8").view(np.uint8).reshape(n, -1), count.astype("<u4").view(np.uint8).reshape(n, -1), checked.astype("<u4").view(np.uint8).reshape(n, -1)], 1)
     return [base64.b64encode(row.tobytes()).decode() for row in wide]
 
 
@@ -149,71 +150,76 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, at, text, ahead): every row in its range of ids, and at the end of each range the
-    first document of the range below (below the lowest: of the highest) as a row that only is ahead.
+    """(range, known, at, mark, text, ahead): every row in its range of (id, hash of the text), and at the end of each range
+    the first document of the range below (below the lowest: of the highest) as a row that only is ahead.
 
-    Ranges follow the quantiles of the id, one for each partition of the input, so a range is about one
-    partition of text and no order over all rows is needed. Null ids come after all others.
+    Ranges follow the quantiles of the id, one for each partition of the input, and each is one partition: no order over all rows
+    is needed. An id of so many rows that several quantiles fall on it is split by the hash of its texts. Null ids come after all others.
     """
-    # A null id has no place among the longs, so it takes the one below all that ids are likely to be.
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("at"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = docs.select(
+        F.col(id_col).isNotNull().alias("known"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("at"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    ).withColumn("mark", F.xxhash64("text"))
     n = max(1, docs.rdd.getNumPartitions())
-    cuts = np.unique(np.array(base.approxQuantile("at", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else [], dtype=np.int64))
+    cuts = np.array(base.approxQuantile("at", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else [], dtype=np.float64)
 
-    @F.pandas_udf("long")
-    def bucket(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, at.to_numpy(np.int64), "right"))
+    @F.pandas_udf("int")
+    def place(at: pd.Series, mark: pd.Series) -> pd.Series:
+        at = at.to_numpy(np.float64)  # rounded like the cuts
+        low, high = (np.searchsorted(cuts, at, side) for side in ("left", "right"))
+        share = mark.to_numpy(np.float64) / 2.0**64 + 0.5
+        return pd.Series(np.minimum(low + (share * (high - low + 1)).astype(int), high))
 
-    ranged = base.withColumn("bucket", bucket("at"))
-    heads = [tuple(r) for r in ranged.groupBy("bucket").agg(F.max("at")).orderBy("bucket").collect()]  # a row for each range
-    if not heads:
-        return base.select(F.lit(0).cast("long").alias("bucket"), "at", "text", F.lit(False).alias("ahead"))
-    to = {head: heads[(k + 1) % len(heads)][0] for k, (_, head) in enumerate(heads)}
-    target = F.create_map(*[F.lit(x) for pair in to.items() for x in pair])[F.col("at")]
-    ahead = base.filter(F.col("at").isin(list(to))).select(target.alias("bucket"), "at", "text", F.lit(True).alias("ahead"))
-    return ranged.select("bucket", "at", "text", F.lit(False).alias("ahead")).unionByName(ahead).repartition(max(n, len(heads)), "bucket")
+    ranged = base.withColumn("range", place("at", "mark"))
+    first = F.struct("at", "known", "mark")
+    heads = ranged.groupBy("range").agg(F.max(first).alias("head")).orderBy("range").collect()  # a row for each range
+    next_range = [(r["range"], *r["head"], heads[(k + 1) % len(heads)]["range"]) for k, r in enumerate(heads)]
+    to = docs.sparkSession.createDataFrame(next_range, "range int, at long, known boolean, mark long, goes_to int").select("at", "known", "mark", "goes_to")
+    ahead = base.join(F.broadcast(to), ["at", "known", "mark"]).select(F.col("goes_to").alias("range"), "known", "at", "mark", "text", F.lit(True).alias("ahead"))
+    return ranged.select("range", "known", "at", "mark", "text", F.lit(False).alias("ahead")).unionByName(ahead).repartitionById(n, "range")
 
 
 def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
     """Each document against an edited version of itself, and against the next document by falling id.
 
     The edited text has its last floor(n/2) characters replaced by as many of the next one's first (or
-    all of it). Rows of one id follow each other by falling text. A null text is empty, null ids come last
-    and stay null, one document is its own next; other columns are ignored.
+    all of it). Rows of one id follow each other by falling hash of the text, equal rows each other. A null text is empty, null ids come last
+    and stay null, one document is its own next; an empty table gives no rows and other columns are ignored.
     """
 
     def compared(batches):
-        held: list[tuple[int, int, str]] = []
+        held: list[tuple[int | None, str]] = []
 
-        def flush(rows, following):
-            texts = [r[2] for r in rows]
-            nexts = [r[2] for r in rows[1:]] + [following]
+        def flush(following):
+            texts = [r[1] for r in held]
+            nexts = texts[1:] + [following]
             edited = [t[: len(t) - len(t) // 2] + x[: len(t) // 2] for t, x in zip(texts, nexts)]
             n = len(texts)
             own, changed, after = digests(texts), digests(edited), digests(nexts)
             line = np.stack([np.arange(n)] * 2, 1)
             return pa.RecordBatch.from_arrays([
-                pa.array([None if r[1] == -(1 << 63) else r[1] for r in rows], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], pa.string()),
+                pa.array([r[0] for r in held], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], pa.string()),
                 pa.array(_encoded(*own, n, cells), pa.string()), pa.array(_encoded(*changed, n, cells), pa.string()), pa.array(likeness(own, changed, line, cells)), pa.array(likeness(own, after, line, cells)),
             ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-        size = 0
+        size, now = 0, None
         for b in batches:
-            for bucket, at, text, ahead in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+            for place, known, at, text, ahead in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(4), b.column(5).to_pylist()):
                 text = text.as_py()
-                if held and bucket != held[-1][0]:
+                if held and place != now:
                     raise ValueError("a range ends without the document after it")
                 if ahead:
                     if held:  # of several documents ahead the first counts
-                        yield flush(held, text)
+                        yield flush(text)
                     held, size = [], 0
                     continue
                 if size > 2 << 20:
-                    yield flush(held, text)
+                    yield flush(text)
                     held, size = [], 0
-                held.append((bucket, at, text))
-                size += len(text)
+                held.append((at if known else None, text))
+                size, now = size + len(text), place
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    rows = with_next(docs, id_col, text_col).sortWithinPartitions("bucket", F.asc("ahead"), F.desc("at"), F.desc("text"))
+    rows = with_next(docs, id_col, text_col).sortWithinPartitions("range", F.asc("ahead"), F.desc("at"), F.desc("known"), F.desc("mark"))
     return rows.mapInArrow(compared, schema)

@@ -94,23 +94,83 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(31)}, 100: 100, 101: 100, 102: 100}
 
 
+def brute_versions(rows):
+    """(doc_id, n_chars, edited text, text, next text) of each row, by falling id, null ids last; the order of rows of one id is theirs alone."""
+    ordered = sorted(((i is not None, i or 0, t or "") for i, t in rows), key=lambda r: r[:2], reverse=True)
+    out = []
+    for (known, i, text), (_, _, after) in zip(ordered, ordered[1:] + ordered[:1]):
+        out.append((i if known else None, len(text), text[: len(text) - len(text) // 2] + after[: len(text) // 2], text, after))
+    return out
+
+
+def decoded(fingerprint, cells=fingerprints.CELLS):
+    import base64
+
+    raw = base64.b64decode(fingerprint)
+    return np.frombuffer(raw[cells * 8 : cells * 12], "<u4").astype(np.int32), np.frombuffer(raw[: cells * 8], "<u8"), np.frombuffer(raw[cells * 12 :], "<u4").astype(np.uint64)
+
+
+def paragraphs(text):
+    """Plain form of the cells of a text without a long line: its distinct lines, by their words."""
+    return {x.strip(" \t\x0b\f\r") for x in text.split("\n")} - {""}
+
+
+def check_versions(got, rows):
+    want = brute_versions(rows)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_chars"], r["edited_sha256"]) for r in got) == sorted((i is None, i or 0, n, hashlib.sha256(e.encode()).hexdigest()) for i, n, e, _, _ in want)
+    by = {(r["doc_id"], r["edited_sha256"]): r for r in got}
+    for i, _, changed, text, after in want:
+        r = by[i, hashlib.sha256(changed.encode()).hexdigest()]
+        for column, version in (("fingerprint", text), ("edited_fingerprint", changed)):
+            keys, owner = fingerprints.digests([version])
+            count, keyed, checked = fingerprints.sketch(keys, owner, 1, fingerprints.CELLS)
+            assert all((a == b).all() for a, b in zip(decoded(r[column]), (count, keyed, checked)))
+        if all(len(x.split()) <= fingerprints.LONG_WORDS for x in f"{text}\n{changed}\n{after}".split("\n")):
+            a = paragraphs(text)
+            for column, b in (("near_edited", paragraphs(changed)), ("near_next", paragraphs(after))):
+                assert r[column] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0), (text, changed)
+
+
 def test_versions(frame, odd):
-    rows = [r for r in odd if r[0] not in (None, 4)] + [(4, "Hello  world\n"), (20, "one two\nthree four\n" * 30), (21, "one two\nthree four\n" * 29 + "end")]
-    got = {r["doc_id"]: r for r in fingerprints.compare_versions(frame(rows).repartition(3)).collect()}
-    ordered = sorted(rows, reverse=True)
-    assert len(got) == len(rows)
-    for (i, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1]):
-        text, after = text or "", after or ""
-        n = len(text)
-        changed = text[: n - n // 2] + after[: n // 2]
-        assert got[i]["n_chars"] == n
-        assert got[i]["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
-        assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
+    rows = [r for r in odd if r[0] != 4] + [(4, "Hello  world\n"), (20, "one two\nthree four\n" * 30), (21, "one two\nthree four\n" * 29 + "end"), (-(1 << 63), "the lowest id"), ((1 << 63) - 1, "the highest")]
+    for parts in (1, 3, 9):
+        check_versions(fingerprints.compare_versions(frame(rows).repartition(parts)).collect(), rows)
     one = fingerprints.compare_versions(frame([(1, "alone")])).collect()
     assert one[0]["near_next"] == 1.0
     assert fingerprints.compare_versions(frame(rows).limit(0)).count() == 0
 
 
+def test_versions_of_repeated_ids(frame):
+    """One id with many texts is split over ranges: each text is there once, and its next is another of them or what follows."""
+    rows = [(k, f"text {k}\nand more") for k in range(20)] + [(10, f"other {k}\nof one id") for k in range(200)] + [(30, "same\nrow")] * 50
+    ranged = fingerprints.with_next(frame(rows).repartition(8))
+    assert ranged.filter("at = 10 and not ahead").select("range").distinct().count() > 3
+    got = fingerprints.compare_versions(frame(rows).repartition(8)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in rows)
+    follows = lambda i: {t for k, t in rows if k == i} | {t for k, t in rows if k == max([x for x, _ in rows if x < i], default=30)}
+    for r in got:
+        own = {t for k, t in rows if k == r["doc_id"] and len(t) == r["n_chars"]}
+        assert r["edited_sha256"] in {hashlib.sha256((t[: len(t) - len(t) // 2] + x[: len(t) // 2]).encode()).hexdigest() for t in own for x in follows(r["doc_id"])}
+
+
+def test_versions_of_the_table(spark, sf_dir):
+    from placeworks.llm.queries import op4_fingerprints
+
+    check_versions(op4_fingerprints(spark, sf_dir).collect(), [tuple(r) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()])
+
+
+def test_cells_are_paragraphs():
+    """Lines are one cell each; only those of more than LONG_WORDS words are cut, at places that content alone decides."""
+    words = [f"word{k}" for k in range(fingerprints.LONG_WORDS)]
+    assert len(fingerprints.digests(["a b\n\n c d \na b"])[0]) == 2
+    assert len(fingerprints.digests([" ".join(words)])[0]) == 1
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    a, b = (set(fingerprints.digests([" ".join(x)])[0].tolist()) for x in (long, ["new", *long[3:]]))
+    assert len(a) > 10 and len(a & b) >= len(a) - 2
+    assert set(fingerprints.digests(["x\n" + " ".join(words) + "\ny"])[0].tolist()) > set(fingerprints.digests([" ".join(words)])[0].tolist())
+
+
 def test_sketches_recover_differences():
     rng = random.Random(4)
     texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(1, 900))) for _ in range(30)]
