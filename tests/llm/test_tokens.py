@@ -108,6 +108,41 @@ def test_language_of_odd_texts(spark, sf_dir, frame, odd):
     assert language_id.learn(table(spark, sf_dir, "documents").limit(0)) == {}
 
 
+def test_language_by_plain_compression(spark, sf_dir):
+    """Every row of the whole table against compressors made one text and one block at a time."""
+    import zstandard as z
+
+    from placeworks.llm.queries import op1_language_id
+    from placeworks.llm.store import fold
+
+    docs = table(spark, sf_dir, "documents")
+    learned = language_id.learn(docs.filter(fold("doc_id", 3) != 1))
+    assert all(len(d) <= language_id.DICTIONARY_BYTES for d in learned.values())
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = op1_language_id(spark, sf_dir).collect()
+    assert {r["doc_id"] for r in rows} == set(texts) and len(rows) == len(texts)
+
+    def size(lang, data):
+        coder = z.ZstdCompressor(level=language_id.LEVEL, dict_data=z.ZstdCompressionDict(learned[lang], dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(coder.compress(data))
+
+    for r in rows[::7]:
+        text = " " + " ".join("".join(c if c.isalpha() else " " for c in texts[r["doc_id"]].lower()).split()) + " "
+        data, total = text.encode(), {}
+        for lang, content in learned.items():
+            ahead = content[-language_id.CONTEXT_BYTES :]
+            total[lang] = sum(size(lang, ahead + data[k : k + language_id.BLOCK_BYTES]) - size(lang, ahead) for k in range(0, len(data), language_id.BLOCK_BYTES))
+        assert total[r["lang_pred"]] <= min(total.values()) + 2
+
+
+def test_pieces_come_from_whole_texts(spark, frame):
+    """Long texts teach too, from anywhere in them."""
+    rows = [(k, "alpha " * 30_000 + "omega " * 30_000) for k in range(40)]
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in rows], "doc_id long, text string, lang string").selectExpr("doc_id", "concat(doc_id, text) as text", "lang", "'a' as piece", "1 as at", "2 as nth")
+    learned = language_id.learn(docs)["xx"]
+    assert b"alpha" in learned and b"omega" in learned and len(learned) <= language_id.DICTIONARY_BYTES
+
+
 def test_language_held_out(spark, sf_dir):
     from placeworks.llm.queries import op1_language_id
 
