@@ -49,7 +49,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    net = toxicity.learn(docs, labels.filter(fold("doc_id", 5) != 0))
+    dictionaries = language_id.learn(docs.filter(fold("doc_id", 5) != 0))  # thresholds are by language, told from the text alone
+    net = toxicity.learn(docs, labels.filter(fold("doc_id", 5) != 0), dictionaries=dictionaries)
     return toxicity.score(docs, net).withColumn("held_out", fold("doc_id", 5) == 0)
 
 

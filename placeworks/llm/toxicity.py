@@ -2,48 +2,33 @@
 
 A word's embedding is the sum of hashed vectors of the word and of its first 3 to 6 bytes, so
 inflected and compounded forms share weight. Filters of width 1, 2 and 3 run over the words;
-each filter's maximum over the text feeds a logistic output. Because the
+each filter's maximum over the text feeds a logistic output. All weights start at random and are learned together. Because the
 first layer is linear, a word's contribution to each filter tap is a table row: scoring looks up
 one row for each distinct word of a slice.
 
-Thresholds are calibrated by language, on labelled documents kept out of training. The language is guessed
-from the text alone, by its function words.
+Of the labelled documents a part trains, a part says after which epoch to stop, and a part calibrates the thresholds
+by language. The language is that of ``language_id``, told from the text alone.
 """
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from placeworks.llm import language_id
 from placeworks.llm import textkit as tk
 from placeworks.llm.store import bounded_rows
 
-TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 1500, 3500, 30_000
-BUCKETS, SIZE, FILTERS, WIDTHS, EPOCHS, RATE = 1 << 15, 8, 8, (1, 2, 3), 2, 0.003
+TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_BYTES = 1500, 3500, 64 << 20
+BUCKETS, SIZE, FILTERS, WIDTHS, EPOCHS, RATE, DROPPED = 1 << 15, 12, 10, (1, 2, 3), 14, 0.01, 0.1
 PREFIXES = (3, 4, 5, 6)
 
-#: Frequent function words, to tell the language of a text.
-FUNCTION_WORDS = {
-    "en": "the of and to is that was with for it on are this be from",
-    "fr": "le la les des et une est du dans que qui pour pas sur au",
-    "de": "der die und das den von mit ist nicht ein eine dem sich auch zu",
-    "es": "el los las que y en un una por con para del se no al",
-}
-LANGUAGES = (*FUNCTION_WORDS, "other")
-
-
-def _hash_text(words: list[str]) -> np.ndarray:
-    data = "".join(words).encode()
-    ends = np.cumsum([len(w.encode()) for w in words])
-    return tk.span_hashes(np.frombuffer(data, np.uint8), np.concatenate(([0], ends[:-1])), ends)
-
-
-_MARKERS = {lang: _hash_text(words.split()) for lang, words in FUNCTION_WORDS.items()}
-
 
 @dataclass
 class Tokens:
@@ -53,11 +38,9 @@ class Tokens:
     doc: np.ndarray
     n_docs: int
     parts: np.ndarray  # distinct words x (1 + prefixes), buckets
-    language: np.ndarray  # of each document, index into LANGUAGES
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
-    n = len(offsets) - 1
     low = tk.lower_latin(data)
     starts, ends, doc = tk.letter_words(low, offsets)
     h = tk.span_hashes(low, starts, ends)
@@ -65,11 +48,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     length = ends[first] - starts[first]
     parts = [distinct] + [tk.span_hashes(low, starts[first], starts[first] + np.minimum(length, k)) ^ np.uint64(k) for k in PREFIXES]
     buckets = np.stack([(tk.mix(p) % np.uint64(BUCKETS)).astype(np.int32) for p in parts], 1) if len(distinct) else np.zeros((0, 1 + len(PREFIXES)), np.int32)
-    counts = np.zeros((n, len(LANGUAGES)))
-    for k, lang in enumerate(FUNCTION_WORDS):
-        counts[:, k] = np.bincount(doc[np.isin(distinct, _MARKERS[lang])[word]], minlength=n) if len(word) else 0
-    counts[:, -1] = 0.5
-    return Tokens(word.astype(np.int64), doc, n, buckets, counts.argmax(1))
+    return Tokens(word.astype(np.int64), doc, len(offsets) - 1, buckets)
 
 
 @dataclass
@@ -79,7 +58,8 @@ class Network:
     bias: np.ndarray
     out: np.ndarray
     out_bias: float
-    shift: dict[int, float] = field(default_factory=dict)  # logit of the threshold, by language
+    shift: dict[str, float] = field(default_factory=dict)  # logit of the threshold, by language; of all others under ""
+    dictionaries: dict[str, bytes] = field(default_factory=dict)  # of the languages
 
     def word_taps(self, parts: np.ndarray) -> np.ndarray:
         return self.embedding[parts].sum(1) @ self.taps
@@ -112,39 +92,34 @@ class Network:
     def logits(self, t: Tokens) -> np.ndarray:
         return self.pooled(t)[0] @ self.out + self.out_bias
 
-    def score(self, t: Tokens) -> np.ndarray:
-        shift = np.array([self.shift.get(k, 0.0) for k in range(len(LANGUAGES))])
-        return 1 / (1 + np.exp(-np.clip(self.logits(t) - shift[t.language], -500, 500)))
+    def score(self, t: Tokens, languages: list[str]) -> np.ndarray:
+        shift = np.array([self.shift.get(x, self.shift.get("", 0.0)) for x in languages])
+        return 1 / (1 + np.exp(-np.clip(self.logits(t) - shift, -500, 500)))
+
+
+Batches = list[tuple[Tokens, np.ndarray]]
+
+
+def _loss(net: Network, batches: Batches, weight: tuple[float, float]) -> float:
+    total = 0.0
+    for t, y in batches:
+        z = net.logits(t)
+        total += float((np.where(y == 1, weight[1], weight[0]) * np.logaddexp(0, np.where(y == 1, -z, z))).sum())
+    return total
 
 
-def train(batches: list[tuple[Tokens, np.ndarray]], weight: tuple[float, float], epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> Network:
+def train(batches: Batches, weight: tuple[float, float], watched: Batches = (), epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> Network:
     """Adam on the weighted logistic loss; only the positions that won a maximum carry a gradient.
 
-    Few passes suffice, and more fit the words of single documents. The first embedding column starts as each bucket's smoothed log odds of documents, which
-    one filter of every width reads; everything else starts at random.
+    Everything starts at random. A share ``DROPPED`` of the words is left out at each step, so that no single one is learned by heart.
+    Of all epochs, the state with the least loss on ``watched`` is returned (without these the last one).
     """
     rng = np.random.default_rng(seed)
-    counts = np.zeros((2, BUCKETS))
-    totals = np.zeros(2)
-    for t, y in batches:
-        for label in (0, 1):
-            mine = y[t.doc] == label
-            pairs = np.unique((t.doc[mine, None] * BUCKETS + t.parts[t.word[mine]]).ravel())
-            counts[label] += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-            totals[label] += (y == label).sum()
-    odds = np.log((counts[1] + 0.5) / (totals[1] + 1)) - np.log((counts[0] + 0.5) / (totals[0] + 1))
-    odds *= (counts.sum(0) > 2) / 4
-    net = Network(rng.normal(0, 0.05, (BUCKETS, SIZE)).astype(np.float32), rng.normal(0, 0.2, (SIZE, sum(WIDTHS) * FILTERS)).astype(np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), rng.normal(0, 0.2, len(WIDTHS) * FILTERS).astype(np.float32), -2.0)
-    net.embedding[:, 0] = odds
-    column = 0
-    for k, width in enumerate(WIDTHS):
-        net.taps[:, column : column + width * FILTERS : FILTERS] = 0
-        net.taps[0, column : column + width * FILTERS : FILTERS] = 1.0
-        net.bias[k * FILTERS], net.out[k * FILTERS] = -0.5 * width, 0.7
-        column += width * FILTERS
+    n_taps = sum(WIDTHS) * FILTERS
+    net = Network(rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32), rng.normal(0, 0.3, (SIZE, n_taps)).astype(np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), -1.0)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in vars(net).items() if isinstance(v, np.ndarray)}
     state["out_bias"] = (np.zeros(1), np.zeros(1))
-    step = 0
+    step, best = 0, (np.inf, net)
 
     def adam(name, value, grad, rows=slice(None)):
         m, v = state[name]
@@ -156,13 +131,15 @@ def train(batches: list[tuple[Tokens, np.ndarray]], weight: tuple[float, float],
         for which in rng.permutation(len(batches)):
             t, y = batches[which]
             step += 1
+            stay = rng.random(len(t.word)) >= DROPPED
+            t = Tokens(t.word[stay], t.doc[stay], t.n_docs, t.parts)
             pooled, at = net.pooled(t)
             p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.out_bias, -500, 500)))
             g = ((p - y) * np.where(y == 1, weight[1], weight[0]) / len(y)).astype(np.float32)
             back = g[:, None] * net.out[None] * (at >= 0)
             grad_out, grad_bias = pooled.T @ g + 1e-4 * net.out, back.sum(0)
-            grad_taps = 1e-5 * net.taps
-            buckets, into = [], []
+            grad_taps = 1e-4 * net.taps
+            buckets, into = [np.zeros(0, np.int32)], [np.zeros((0, SIZE), np.float32)]
             column = 0
             for k, width in enumerate(WIDTHS):
                 for f in range(FILTERS):
@@ -175,23 +152,28 @@ def train(batches: list[tuple[Tokens, np.ndarray]], weight: tuple[float, float],
                         buckets.append(parts.ravel())
                         into.append(np.repeat(b[:, None] * net.taps[None, :, tap], parts.shape[1], 0))
                 column += width * FILTERS
-            rows, inverse = np.unique(np.concatenate(buckets), return_inverse=True)
-            grad_rows = np.zeros((len(rows), SIZE), np.float32)
-            np.add.at(grad_rows, inverse, np.concatenate(into))
-            net.embedding[rows] = adam("embedding", net.embedding[rows], grad_rows, rows)
+            buckets, into = np.concatenate(buckets), np.concatenate(into)
+            order = np.argsort(buckets, kind="stable")
+            rows, begin = np.unique(buckets[order], return_index=True)
+            if len(rows):
+                net.embedding[rows] = adam("embedding", net.embedding[rows], np.add.reduceat(into[order], begin, 0), rows)
             net.taps = adam("taps", net.taps, grad_taps)
             net.bias = adam("bias", net.bias, grad_bias)
             net.out = adam("out", net.out, grad_out)
             net.out_bias = float(adam("out_bias", np.array([net.out_bias]), np.array([g.sum()]))[0])
-    return net
+        if watched:
+            loss = _loss(net, watched, weight)
+            if loss < best[0]:
+                best = (loss, copy.deepcopy(net))
+    return best[1] if watched and epochs else net
 
 
-def calibrate(net: Network, held: list[tuple[Tokens, np.ndarray]], weight: tuple[float, float]) -> None:
+def calibrate(net: Network, held: Batches, languages: list[list[str]], weight: tuple[float, float]) -> None:
     """For each language the logit that separates its held documents with the least weighted error,
     midway between neighbours; languages without both classes take the threshold over all."""
     logit = np.concatenate([net.logits(t) for t, _ in held]) if held else np.zeros(0)
     y = np.concatenate([y for _, y in held]) if held else np.zeros(0)
-    language = np.concatenate([t.language for t, _ in held]) if held else np.zeros(0, int)
+    language = np.array([x for some in languages for x in some], str)
 
     def best(of: np.ndarray) -> float | None:
         s, t = logit[of], y[of]
@@ -205,59 +187,81 @@ def calibrate(net: Network, held: list[tuple[Tokens, np.ndarray]], weight: tuple
         return float(cuts[good[len(good) // 2]])
 
     overall = best(np.ones(len(y), bool))
-    overall = 0.0 if overall is None else overall
-    for k in range(len(LANGUAGES)):
+    net.shift[""] = 0.0 if overall is None else overall
+    for k in np.unique(language):
         own = best(language == k)
         # A few documents say little about a language: its cut is drawn to the common one.
-        n = float((y[language == k] == 1).sum()) if len(y) else 0.0
-        net.shift[k] = overall if own is None else (n * own + 5 * overall) / (n + 5)
+        n = float((y[language == k] == 1).sum())
+        if own is not None:
+            net.shift[str(k)] = (n * own + 5 * net.shift[""]) / (n + 5)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPLE) -> Network:
-    """Train on at most ``toxic`` and ``clean`` labelled documents, those of the smallest id hash, with texts of up
-    to ``SAMPLE_CHARS`` characters; a fifth of them only calibrates. Null labels and texts are passed over."""
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    counts = {r["label"]: r["count"] for r in known.filter("label in (0, 1)").groupBy("label").count().collect()}
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, toxic: int, clean: int, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, label, text) of at most ``toxic`` and ``clean`` labelled documents, those of the smallest id hash, and of these so many
+    that their texts are ``sample_bytes`` together. Of a repeated id the smallest text counts; null labels and texts are passed over."""
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).distinct()
     some = bounded_rows(known.filter("label = 1"), "doc_id", toxic).unionByName(bounded_rows(known.filter("label = 0"), "doc_id", clean))
-    texts = docs.filter(F.length(text_col) <= SAMPLE_CHARS).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(some), "doc_id").toArrow().to_pandas().sort_values(["doc_id", "label", "text"])
-    y = rows["label"].to_numpy()
-    weight = (max(1.0, counts.get(0, 0) / max(1, (y == 0).sum())), max(1.0, counts.get(1, 0) / max(1, (y == 1).sum())))
-    order = np.random.default_rng(3).permutation(len(rows))
-    held, used = order[: len(rows) // 5], order[len(rows) // 5 :]
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    one = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    up_to = Window.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "label").rowsBetween(Window.unboundedPreceding, 0)  # over the bounded sample
+    return one.withColumn("total", F.sum(F.octet_length("text")).over(up_to)).filter(F.col("total") <= sample_bytes).drop("total")
+
 
-    def batched(which: np.ndarray, size: int = 64) -> list[tuple[Tokens, np.ndarray]]:
-        out = []
-        for k in range(0, len(which), size):
-            part = which[k : k + size]
-            (_, _, data, offsets), *_ = tk.text_slices(pa.array(rows["text"].iloc[part].tolist(), pa.string()), 1 << 40)
-            out.append((tokens(data, offsets), y[part]))
-        return out
+def batched(texts: list[str], y: np.ndarray, size: int = 64) -> Batches:
+    out = []
+    for k in range(0, len(texts), size):
+        (_, _, data, offsets), *_ = tk.text_slices(pa.array(texts[k : k + size], pa.string()), 1 << 40)
+        out.append((tokens(data, offsets), y[k : k + size]))
+    return out
 
+
+def fit(texts: list[str], y: np.ndarray, weight: tuple[float, float], dictionaries: dict[str, bytes]) -> Network:
+    """A trained and calibrated network: of the texts, dealt by a fixed permutation, seven tenths train, three of twenty
+    choose the epoch, the rest calibrates. With one class only every text is of that class."""
     if len(np.unique(y)) < 2:
-        net = train([], weight, 0)
+        net = train([], weight, epochs=0)
         net.out[:], net.out_bias = 0, 5.0 if len(y) and y[0] == 1 else -5.0
         return net
-    net = train(batched(used), (1.0, min(4.0, (y == 0).sum() / max(1, (y == 1).sum()))))
-    calibrate(net, batched(held), weight)
+    order = np.random.default_rng(3).permutation(len(y))
+    used, watched, held = np.split(order, [len(y) * 7 // 10, len(y) * 17 // 20])
+    batches = lambda which: batched([texts[k] for k in which], y[which])
+    balance = (1.0, min(4.0, (y == 0).sum() / max(1, (y == 1).sum())))
+    net = train(batches(used), balance, batches(watched))
+    net.dictionaries = dictionaries
+    coders = language_id.Coders(dictionaries)
+    # The documents that chose the epoch help to calibrate: their logits were not fitted either, and languages are small.
+    both = np.concatenate((watched, held))
+    calibrate(net, batches(both), [[coders.best(texts[k])[0] for k in both]], weight)
     return net
 
 
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPLE, dictionaries: dict[str, bytes] | None = None) -> Network:
+    """Train on the sample of ``labelled_texts``. ``dictionaries`` are those of ``language_id.learn``; without them there is one threshold."""
+    counts = {r["label"]: r["count"] for r in labels.select(F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)").groupBy("label").count().collect()}
+    rows = labelled_texts(docs, labels, id_col, text_col, label_col, toxic, clean).toArrow().to_pandas().sort_values(["doc_id", "label"])
+    y = rows["label"].to_numpy()
+    weight = (max(1.0, counts.get(0, 0) / max(1, (y == 0).sum())), max(1.0, counts.get(1, 0) / max(1, (y == 1).sum())))
+    return fit(rows["text"].tolist(), y, weight, dictionaries or {})
+
+
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted, language) of every row; predicted is 1 at a score of 0.5 or more.
 
-    Texts without letters, null ones too, have no maxima: the output's bias is their score. Repeated rows
+    Texts without letters, null ones too, have no maxima: the output's bias is their score, under the threshold of all languages. Repeated rows
     give repeated results, an empty table none; other columns are ignored.
     """
+    weights = docs.sparkSession.sparkContext.broadcast(net)
 
     def scored(batches):
+        net = weights.value
+        coders = language_id.Coders(net.dictionaries)
         for b in batches:
-            s, language = [np.zeros(0)], [np.zeros(0, int)]
-            for _, _, data, offsets in tk.text_slices(b.column(1)):
-                t = tokens(data, offsets)
-                s.append(net.score(t))
-                language.append(t.language)
-            s, language = np.concatenate(s), np.concatenate(language)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.astype(float)), pa.array((s >= 0.5).astype(np.int32)), pa.array([LANGUAGES[k] for k in language], pa.string())], names=["doc_id", "score", "predicted", "language"])
+            s, languages = [np.zeros(0)], []
+            for first, last, data, offsets in tk.text_slices(b.column(1)):
+                own = [coders.best(b.column(1)[k].as_py())[0] for k in range(first, last)]
+                s.append(net.score(tokens(data, offsets), own))
+                languages += own
+            s = np.concatenate(s)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.astype(float)), pa.array((s >= 0.5).astype(np.int32)), pa.array(languages, pa.string())], names=["doc_id", "score", "predicted", "language"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double, predicted int, language string")

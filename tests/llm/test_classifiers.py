@@ -2,11 +2,11 @@
 
 import numpy as np
 
-from placeworks.llm import quality, toxicity
+from placeworks.llm import language_id, quality, toxicity
 from placeworks.llm.queries import op8_toxicity, op10_quality
-from placeworks.llm.store import table
+from placeworks.llm.store import fold, table
 
-LARGER = "/root/testdata/sf0.01"
+LARGER, LARGEST = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def accuracy(spark, query, label):
@@ -40,13 +40,80 @@ def test_quality_of_odd_texts(spark, sf_dir, frame, odd):
 
 def test_toxicity_of_odd_texts(spark, sf_dir, frame, odd):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    net = toxicity.learn(docs, labels)
+    net = toxicity.learn(docs, labels, dictionaries=language_id.learn(docs))
     rows = toxicity.score(frame(odd), net).collect()
     assert len(rows) == len(odd) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
-    assert {r["language"] for r in rows if r["doc_id"] == 7} == {"de"}
+    assert {r["language"] for r in rows if r["doc_id"] == 7} == {"de"} and {r["language"] for r in rows if r["doc_id"] == 1} == {"und"}
     one_class = toxicity.learn(docs, labels.filter("toxic = 0"))
     assert {r["predicted"] for r in toxicity.score(frame(odd), one_class).collect()} == {0}
     assert toxicity.score(frame(odd).limit(0), net).count() == 0
+    nothing = toxicity.learn(docs.limit(0), labels)
+    assert {r["predicted"] for r in toxicity.score(frame(odd), nothing).collect()} == {0}
+    # repeated rows, labels of both kinds for one text, null labels, and columns of the same names
+    twice = docs.unionByName(docs).selectExpr("*", "'x' as label", "1 as toxic", "2 as total")
+    again = labels.selectExpr("doc_id", "toxic", "'y' as text").unionByName(labels.selectExpr("doc_id", "1 - toxic as toxic", "'y' as text").limit(3)).unionByName(labels.selectExpr("doc_id", "cast(null as int) as toxic", "'z' as text"))
+    assert toxicity.labelled_texts(twice, again, "doc_id", "text", "toxic", 10**6, 10**6).count() == labels.join(docs, "doc_id").filter("toxic is not null").count() + 3
+
+
+def test_labelled_texts_are_bounded_by_size_not_by_length(spark, frame):
+    rows = [(k, "word " * (10 if k else 40_000)) for k in range(20)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int")
+    assert toxicity.labelled_texts(frame(rows), labels, "doc_id", "text", "toxic", 100, 100).count() == 20
+    assert toxicity.labelled_texts(frame(rows), labels, "doc_id", "text", "toxic", 100, 100, 300).count() <= 6
+
+
+def test_network_beats_log_odds_on_learnable_rows(spark):
+    """What the network learns, from a random start: on a part of the learnable rows that it has not seen it ranks better than the
+    largest log odds of a text's words, and far better than without training. The held-out rows have no part in this."""
+    labels = table(spark, LARGEST, "labels").filter(fold("doc_id", 5) != 0)
+    rows = table(spark, LARGEST, "documents").join(labels, "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
+    order = np.random.default_rng(1).permutation(len(rows))
+    some, rest = (rows.iloc[k] for k in np.split(order, [len(rows) * 4 // 5]))
+    y, truth = some["toxic"].to_numpy(), rest["toxic"].to_numpy()
+
+    def auc(s):
+        rank = np.argsort(np.argsort(s, kind="stable"))
+        return (rank[truth == 1].mean() - (truth.sum() - 1) / 2) / (truth == 0).sum()
+
+    learned, unseen = toxicity.batched(some["text"].tolist(), y), toxicity.batched(rest["text"].tolist(), truth)
+    seen = np.zeros((2, toxicity.BUCKETS))
+    for t, label in learned:
+        for k in (0, 1):
+            mine = label[t.doc] == k
+            seen[k] += np.bincount(np.unique((t.doc[mine, None] * toxicity.BUCKETS + t.parts[t.word[mine]]).ravel()) % toxicity.BUCKETS, minlength=toxicity.BUCKETS)
+    odds = np.where(seen.sum(0) > 2, np.log((seen[1] + 0.5) / ((y == 1).sum() + 1)) - np.log((seen[0] + 0.5) / ((y == 0).sum() + 1)), 0)
+
+    def largest(t):
+        out = np.full(t.n_docs, -99.0)
+        np.maximum.at(out, t.doc, odds[t.parts].sum(1)[t.word])
+        return out
+
+    logits = lambda net: np.concatenate([net.logits(t) for t, _ in unseen])
+    fitted = toxicity.fit(some["text"].tolist(), y, (1.0, 1.0), {})
+    baseline = auc(np.concatenate([largest(t) for t, _ in unseen]))
+    assert auc(logits(fitted)) > baseline + 0.001
+    assert auc(logits(toxicity.train(learned, (1.0, 1.0), epochs=0))) < 0.9
+
+
+def test_scores_are_those_of_the_network_alone(spark, sf_dir):
+    """Every row of the whole table against the network applied to one text at a time."""
+    import pyarrow as pa
+
+    from placeworks.llm import textkit as tk
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0)
+    dictionaries = language_id.learn(docs.filter(fold("doc_id", 5) != 0))
+    net = toxicity.learn(docs, labels, dictionaries=dictionaries)
+    coders = language_id.Coders(dictionaries)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = op8_toxicity(spark, sf_dir).collect()
+    assert {r["doc_id"] for r in rows} == set(texts) and len(rows) == len(texts)
+    for r in rows:
+        (_, _, data, offsets), *_ = tk.text_slices(pa.array([texts[r["doc_id"]]], pa.string()), 1 << 40)
+        lang = coders.best(texts[r["doc_id"]])[0]
+        assert abs(net.score(toxicity.tokens(data, offsets), [lang])[0] - r["score"]) < 1e-4 and r["language"] == lang
+    by_language = {k: net.shift[k] for k in net.shift}
+    assert "" in by_language and set(by_language) <= {"", "und", *dictionaries}
 
 
 def test_maxima_are_those_of_a_plain_convolution():
