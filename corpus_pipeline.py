@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeworks.llm import decontamination, jaccard_join, packing, quality, surrogates
+from placeworks.llm.membership import split
 from placeworks.llm.queries import SURROGATE_KEY
 from placeworks.llm.store import fold, table, written
 
@@ -21,22 +22,21 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies; of equal rows one.
+    """One document of each group of near copies, the one of the smallest id; of equal rows (id and text) one.
 
-    Documents without words, or without an id, are linked with nothing that could replace them, and stay.
+    A row is told by its id and its text, so other texts of a repeated id are not touched. Rows without an id count as near copies too and come last.
+    Documents without words are linked with nothing and stay. Texts of rows that go are not shuffled.
     """
-    groups = written(jaccard_join.groups(docs).select("doc_id", "component_id"))
-    copies = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    # A set of at most 2^18 hash buckets, broadcast, tells most documents that stay; only the rest is shuffled.
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 18))
-    suspects = F.broadcast(copies.select(bucket.alias("__bucket")).distinct())
-    hit = bucket == F.col("__bucket")
-    kept = docs.join(suspects, hit, "left_anti").unionByName(docs.join(suspects, hit, "left_semi").join(copies, "doc_id", "left_anti").select(*docs.columns))
-    repeated = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    groups = written(jaccard_join.groups(docs).select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("unknown"), "text_hash", "group_key"))
+    row = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "unknown": F.col("doc_id").isNull(), "text_hash": F.xxhash64("text")}
+    first = groups.filter("group_key is not null").groupBy("group_key").agg(F.min(F.struct("unknown", "id", "text_hash")).alias("first"))
+    others = groups.join(first, "group_key").filter(F.struct("unknown", "id", "text_hash") != F.col("first"))
+    _, kept = split(docs, row, written(others.select(*row).distinct()))
+    repeated = written(groups.filter("group_key is not null or not unknown").groupBy(*row).count().filter("count > 1").select(*row))
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+        return kept
+    twice, once = split(kept, row, repeated)
+    return once.unionByName(twice.dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def groups_of(df):
 
 
 def test_groups_of_odd_texts(frame, odd):
-    rows = [r for r in odd if r[0] != 5] + [(8, "hello WORLD"), (9, "hello world again and again and"), (10, "a b c d"), (11, "a b c")]
+    rows = odd + [(8, "hello WORLD"), (9, "hello world again and again and"), (10, "a b c d"), (11, "a b c")]
     assert groups_of(jaccard_join.groups(frame(rows))) == brute_groups(rows)
     assert jaccard_join.groups(frame(rows).limit(0)).count() == 0
 
@@ -322,7 +322,117 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in private.collect()}
 
 
+def one_of_each(rows):
+    """Brute force: rows (id, text) that stay. Groups are over distinct texts' sets; rows without words stay, equal rows with an id once."""
+    sets = [shingle_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                parent[find(i)] = find(j)
+    kept, first = [], {}
+    for k, (i, t) in enumerate(rows):
+        if sets[k]:
+            first.setdefault(find(k), []).append((i is None, i or 0, t))
+        elif i is None or (i, t) not in kept:
+            kept.append((i, t))
+    chosen = []
+    for members in first.values():
+        least = min(m[:2] for m in members)
+        chosen.append((None if least[0] else least[1], {t for *head, t in members if tuple(head) == least}))
+    return kept, chosen
+
+
+def check_one_of_each(spark, frame, rows):
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, frame(rows), "").collect())
+    plain, chosen = one_of_each(rows)
+    for row in plain:
+        kept[row] -= 1
+    for i, texts in chosen:
+        (mine,) = [(i, t) for t in texts if kept[i, t]][:1]
+        kept[mine] -= 1
+    assert not +kept and min(kept.values()) == 0
+
+
 def test_one_of_each_group_of_odd_rows(spark, frame, odd):
-    rows = [r for r in odd if r[0] != 5] + [(8, "the of AND to is that was")]
-    kept = corpus_pipeline.one_of_each_group(spark, frame(rows), "").collect()
-    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept) == sorted([(1, ""), (2, ""), (3, " \n\t "), (4, "Hello  world\n"), (-1, "The of and to is that was"), (6, odd[7][1]), (7, odd[8][1]), (8, "the of AND to is that was")])
+    check_one_of_each(spark, frame, odd + [(8, "the of AND to is that was")])
+    assert corpus_pipeline.one_of_each_group(spark, frame([(1, "a")]).limit(0), "").count() == 0
+
+
+def test_one_of_each_group_of_repeated_ids(spark, frame):
+    """A copy does not take another text of its id along."""
+    other, more = "totally different words that nothing else has here", "and one more text of quite other words again"
+    check_one_of_each(spark, frame, [(1, "a b c d e f g h"), (4, "a b c d e f g h"), (4, other), (5, more), (5, more), (6, other + " x y"), (None, "a b c d e f g h"), (None, more), (None, "alone without any id at all"), (None, "alone without any id at all")])
+
+
+@pytest.mark.parametrize("max_keys", [1 << 20, 3])
+def test_members_are_told_apart(spark, frame, max_keys):
+    """By filter and, above the bound, by join; half of all rows are members."""
+    from pyspark.sql import functions as F
+
+    from placeworks.llm.membership import split
+    from placeworks.llm.store import written
+
+    docs = frame([(k, f"text {k % 700}") for k in range(2000)] + [(None, None)])
+    keys = written(docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark")))
+    inside, outside = split(docs, {"id": F.coalesce("doc_id", F.lit(-1)), "mark": F.xxhash64("text")}, keys, max_keys)
+    assert inside.columns == outside.columns == docs.columns
+    assert sorted(r["doc_id"] for r in inside.collect()) == list(range(0, 2000, 2))
+    assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in outside.collect()) == [-1, *range(1, 2000, 2)]
+    none, all_ = split(docs, {"id": F.coalesce("doc_id", F.lit(-1)), "mark": F.xxhash64("text")}, written(keys.limit(0)), max_keys)
+    assert none.count() == 0 and all_.count() == 2001
+
+
+def test_share_of_strangers_in_a_filter_does_not_grow(spark):
+    from pyspark.sql import functions as F
+
+    from placeworks.llm.membership import bloom, sift
+
+    for n in (1000, 200_000):
+        keys = spark.range(n).select(F.xxhash64("id").alias("h"))
+        filter_ = spark.sparkContext.broadcast(bloom(keys, n))
+        rows = spark.range(2 * n)
+        passed = sift(rows, F.xxhash64("id"), filter_)
+        assert passed.filter(f"id < {n}").count() == n and passed.count() <= 1.01 * n
+
+
+def test_sets_of_one_key_are_told_apart(frame):
+    rng = random.Random(11)
+    texts = near_copies(1, 30, edits=3) + [" ".join(f"u{rng.randrange(10**6)}" for _ in range(20)) for _ in range(300)]
+    rows = list(enumerate(texts + texts[:40]))
+    assert groups_of(jaccard_join.groups(frame(rows), key_bits=6)) == brute_groups(rows)
+
+
+@pytest.mark.parametrize("edits", [3, 7])
+def test_all_links(frame, odd, edits):
+    rng = random.Random(edits)
+    texts = near_copies(edits, 60, edits=edits) + near_copies(edits + 9, 12) + [" ".join(f"u{rng.randrange(10**6)}" for _ in range(20)) + " " + " ".join(f"p{k}" for k in range(20)) for _ in range(30)]
+    rows = odd + [(100 + k, t) for k, t in enumerate(texts + texts[:5])]
+    pairs, members = jaccard_join.links(frame(rows))
+    sets = [shingle_set(t) for _, t in rows]
+    linked = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    want = sorted((i if i is not None else -1, sum(linked(a, b) for k, b in enumerate(sets) if k != j)) for j, ((i, _), a) in enumerate(zip(rows, sets)))
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_links"]) for r in members.collect()) == want
+    distinct = list({s for s in sets if s})
+    assert pairs.count() == sum(linked(a, b) for k, a in enumerate(distinct) for b in distinct[:k])
+
+
+def test_template_with_many_loose_members(frame):
+    """5,000 texts that are mostly one template, each too far from it to link; some are near copies of each other."""
+    rng = random.Random(12)
+    template = [f"t{k}" for k in range(60)]
+    rows = []
+    for k in range(5000):
+        own = [f"o{rng.randrange(10**7)}" for _ in range(30)]
+        rows.append((k, " ".join(template + own)))
+        if k % 100 == 0:
+            rows.append((10_000 + k, " ".join(template + own[:-1] + ["changed"])))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.groups(frame(rows).repartition(4)).collect()}
+    assert got == {i: i - 10_000 if i >= 10_000 else i for i, _ in rows}
