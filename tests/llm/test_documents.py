@@ -288,11 +288,78 @@ def test_surrogates(frame, odd):
 
 
 def test_surrogates_stay_distinct(spark):
-    units = spark.createDataFrame([("ip", f"1.2.3.{k}", "n", "latin") for k in range(200)] + [("given", f"name{k}", "f", "latin") for k in range(60)] + [("ssn", str(k), "n", "latin") for k in range(10)], "kind string, unit string, gender string, script string")
+    """Spaces that run out: ten units of one digit, which are all there are, and more given names than are listed."""
+    units = spark.createDataFrame([("ip", f"1.2.3.{k}", "n", "latin") for k in range(200)] + [("given", f"name{k}", "f", "latin") for k in range(60)] + [("ssn", str(k), "n", "latin") for k in range(10)] + [("email", f"{c}@x.org", "n", "latin") for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, unit string, gender string, script string")
     rows = surrogates.distinct_surrogates(units, "k").collect()
-    assert len(rows) == 270 and len({(r["kind"], r["surrogate"].lower()) for r in rows}) == 270
+    assert len(rows) == 296 and len({(r["kind"], r["surrogate"].lower()) for r in rows}) == 296
     real = {(r["kind"], r["unit"]) for r in rows}
     assert not any((r["kind"], r["surrogate"].lower()) in real for r in rows)
+    form = {"ip": r"10(\.\d+){3}", "given": r"[A-Z][a-z]+", "ssn": r"\d\d+", "email": "[a-z]+"}
+    assert all(re.fullmatch(form[r["kind"]], r["surrogate"]) for r in rows)
+
+
+def test_longer_surrogates_keep_the_format(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("+1 (212) 555-0143", "9876543210", 10), ("123-45-6789", "98765432101", 9), ("12", "345", 2)], "raw string, new string, size int")
+    assert [r[0] for r in rows.select(surrogates._filled(F.col("raw"), F.col("new"), F.col("size"), "0-9")).collect()] == ["+1 (987) 654-3210", "987-65-432101", "345"]
+
+
+def test_surrogates_keep_forms(frame):
+    """Each kind in its layouts: type, script, case, prefix and shared parts stay, and nothing of the original does."""
+    rows = [
+        (1, "Write to tom.fox@corp.org or eva@corp.org or TOM.FOX@CORP.ORG."),
+        (2, "Mr John Paul van der Smith wrote; later Smith left, but Smithson stayed. MRS was not a name. Dr. SMITH too."),
+        (3, "06 12 34 56 78 and +4915112345678 and +33 6 12 34 56 78 and 212-555-0143."),
+        (4, "ghp_" + "aB3" * 40 + " and sk-proj-" + "xY9_" * 8 + " and " + "0a" * 100 + " end"),
+        (5, "Bare 4111111111111111, not 4111111111111112; grouped 4111-1111-1111-1112."),
+        (6, "Госпожа Анна Петрова и Иван Сидоров."),
+        (7, "DE89 3704 0044 0532 0130 00 or DE89370400440532013000, 123-45-6789, 8.8.8.8"),
+        (8, "12 34 56 78 90 and 2024-01-02 and 1 2 3 stay."),
+    ]
+    got = {r["doc_id"]: r for r in surrogates.pseudonymise(frame(rows), "k", found_col="found").collect()}
+    found = got[1]["found"]
+    domains = {v.lower().split("@")[1] for v in found.values()}
+    assert len(found) == 3 and len(domains) == 1 and domains != {"corp.org"}
+    assert found["TOM.FOX@CORP.ORG"] == found["tom.fox@corp.org"].upper() != found["eva@corp.org"].upper()
+    assert re.fullmatch(r"[a-z]{3}\.[a-z]{3}@.*", found["tom.fox@corp.org"])
+    names = got[2]["text"]
+    assert not re.search(r"John|Paul|\bSmith\b|SMITH", names) and "Smithson" in names and "MRS was not a name" in names
+    whole, shouted = re.match(r"Mr (\w+) (\w+) van der (\w+) wrote; later (\w+) left", names), re.search(r"Dr\. ([A-Z]+) too", names)
+    assert whole[3] == whole[4] and shouted[1] == whole[3].upper()
+    assert len(got[3]["found"]) == 4 and re.fullmatch(r"\d\d \d\d \d\d \d\d \d\d and \+\d{13} and \+\d\d \d \d\d \d\d \d\d \d\d and \d{3}-\d{3}-\d{4}\.", got[3]["text"])
+    assert re.fullmatch(r"ghp_([a-z][A-Z]\d){40} and sk-[a-z]{4}-([a-z][A-Z]\d_){8} and [0-9a-f]{200} end", got[4]["text"]) and "aB3aB3" not in got[4]["text"] and "0a0a0a" not in got[4]["text"]
+    assert "4111111111111112" in got[5]["text"] and len(got[5]["found"]) == 2
+    woman, man = re.fullmatch(r"Госпожа (\w+) (\w+) и (\w+) (\w+)\.", got[6]["text"]).group(1, 3)
+    assert woman in surrogates.GIVEN["f", "cyrillic"].split() and man in surrogates.GIVEN["m", "cyrillic"].split() and man != "Иван"
+    spaced, tight = re.match(r"(DE\d\d(?: \d{4}){4} \d\d) or (DE\d{20}), \d{3}-\d\d-\d{4}, 10\.", got[7]["text"]).groups()
+    assert spaced.replace(" ", "") == tight
+    assert got[8]["text"] == rows[7][1]
+
+
+def test_surrogates_of_the_table(spark, sf_dir):
+    """The query over its whole table: texts are as a plain replacement of the mentions makes them, replacements are
+    one to one, and nothing that simpler patterns know is left."""
+    import regex
+
+    from placeworks.llm.queries import op6_surrogates
+
+    before = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").collect()}
+    out = surrogates.pseudonymise(table(spark, sf_dir, "documents").selectExpr("*", "'x' as mentions", "'y' as text_hash", "'z' as replacements", "'s' as surnames"), "registered-query", found_col="found").collect()
+    after = {r["doc_id"]: r["text"] for r in op6_surrogates(spark, sf_dir).collect()}
+    assert len(out) == len(before) == len(after)
+    pattern = regex.compile(surrogates.ENTITY)
+    maps: dict[str, str] = {}
+    for r in out:
+        found = r["found"] or {}
+        assert r["text"] == after[r["doc_id"]] == pattern.sub(lambda m: found.get(m[0], m[0]), before[r["doc_id"]])
+        assert (r["mentions"], r["text_hash"], r["replacements"], r["surnames"]) == ("x", "y", "z", "s")
+        for old, new in found.items():
+            assert maps.setdefault(old, new) == new != old and [c.isdigit() for c in old if c.isalnum() or "@" in old][:1] == [c.isdigit() for c in new][:1] or "@" in old or "(" in old
+    assert len(set(maps.values())) == len(maps) and not set(maps.values()) & set(maps)
+    plain = regex.compile(r"\w[\w.]*@mail\d+\.example\.com|\+1 \(\d{3}\) 555-\d{4}|\b[0-9a-f]{40}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b")
+    assert not {m for t in before.values() for m in plain.findall(t)} & {m for t in after.values() for m in plain.findall(t)}
+    assert sum(before[i] != t for i, t in after.items()) < len(after) / 4
 
 
 def test_surrogates_run_no_python(spark, sf_dir):
