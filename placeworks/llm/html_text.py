@@ -2,7 +2,7 @@
 
 Each page's containers are scored by the text their blocks hold, and the page votes for
 the generalised path (tags with classes, digits dropped) of its best container. Votes are summed by host in Spark,
-with map-side combining, so a host of any size is a few rows per task. Pages are then read again and
+with map-side combining, so a host of any size is a few rows per task; only hosts whose pages disagree matter then. Pages are read again and
 the text below the host's winning path is taken, widened to what lies around it unless that is mostly links, so
 headlines, lead paragraphs and smaller sections stay; a page without that path falls back to its own best container.
 """
@@ -18,80 +18,122 @@ from pyspark.sql import functions as F
 
 from placeworks.llm.store import written
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
+#: Hosts whose paths are broadcast at once, about 100 bytes each.
+MAX_HOSTS = 1 << 20
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>", re.S)
+#: A tag with a quote that is never closed ends at the next bracket.
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 
 #: Elements of HTML by what they mean here.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg math xmp noembed noframes object canvas".split())
-_LEFT_OUT = frozenset("nav footer aside form menu button select dialog head header label fieldset datalist".split()) | _RAW
-_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th caption hr div section article main body address details summary center html".split())
+_RAW = frozenset("script style template textarea title iframe svg noembed noframes".split())
+_CONTROL = frozenset("button select datalist".split())
+_LEFT_OUT = frozenset("nav footer aside form menu dialog head header".split())
+_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th caption hr div section article main body address details summary center html fieldset legend".split())
 _CONTAINER = frozenset("div section article main body td".split())
 _CLOSED_BY = {"p": _BLOCK - {"body", "html"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
-_BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side-bar|nav(?:bar|igation)?|menu|breadcrumbs?|footer|masthead|site-header|page-header|header|comments?|disqus|respond|replies|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|more-from|widget|pagination|pager|toolbar|copyright|legal|disclaimer|skip|search|login|hidden)(?:$|[\s_-]|\d)", re.I)
+#: Words of class names, ids and roles that mark boilerplate. The first ones do so at the beginning or end of a name, the
+#: others only as a whole name, or where most of the text is links: "related-work" may be part of an article.
+_SURE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus cookie cookies consent gdpr popup modal newsletter subscribe signup share sharing social pagination pager".split())
+_UNSURE = frozenset("banner header respond reply replies notice notices alert overlay related recommended widget toolbar copyright legal disclaimer skip search login hidden more".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _HEADING = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 
 class _Node:
-    __slots__ = ("label", "out", "parent", "path", "tag")
+    __slots__ = ("label", "out", "parent", "path", "suspect", "tag")
 
-    def __init__(self, tag, label, path, parent, out):
-        self.tag, self.label, self.path, self.parent, self.out = tag, label, path, parent, out
+    def __init__(self, tag, label, path, parent, out, suspect=False):
+        self.tag, self.label, self.path, self.parent, self.out, self.suspect = tag, label, path, parent, out, suspect
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """Tag with its classes, digits dropped, and whether its names mark it as boilerplate."""
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Tag with its classes, digits dropped, whether its names mark it as boilerplate, and whether they may."""
     if "=" not in attributes:
-        return tag, False
-    names = {}
+        return tag, False, False
+    values = {}
     for name, a, b, c in _NAMES.findall(attributes):
-        names.setdefault(name.lower(), a or b or c)
-    classes = sorted({re.sub(r"\d+", "", x) for x in names.get("class", "").lower().split()} - {""})
-    marked = any(_BOILERPLATE.search(names.get(k, "")) for k in ("class", "id")) or names.get("role", "").lower() in _ROLES
-    return ".".join([tag, *classes]), marked and tag not in ("html", "body", "article", "main")
+        values.setdefault(name.lower(), a or b or c)
+    classes = sorted({re.sub(r"\d+", "", x) for x in values.get("class", "").lower().split()} - {""})
+    label = ".".join([tag, *classes])
+    if tag in ("html", "body", "article", "main"):
+        return label, False, False
+    marked, suspect = values.get("role", "").lower() in _ROLES, False
+    for name in f"{values.get('class', '')} {values.get('id', '')}".lower().split():
+        words = [w for w in re.split(r"[_-]+|\d+", name) if w]
+        if not words:
+            continue
+        if words[0] in _SURE or words[-1] in _SURE or len(words) == 1 and words[0] in _UNSURE:
+            marked = True
+        elif any(w in _UNSURE or w in _SURE for w in words):
+            suspect = True
+    return label, marked, suspect
 
 
 def blocks(page: str) -> list[tuple[_Node, str, int]]:
     """(innermost container, text, characters in links) of each block of text, in page order; what lies
-    in left-out elements is not there. Inside an article or main element a header keeps its headings and text."""
+    in left-out elements is not there, nor what lies in one whose names may mark it and whose text is mostly links.
+    Inside an article or main element a header keeps its headings and text. Form controls are left out without ending a block."""
     root = _Node("", "", "", None, False)
     top, out = root, []
     text: list[str] = []
     links = [0, 0]  # characters in links; depth of links
+    suspects: dict[_Node, list[int]] = {}  # characters and those in links of elements that may be boilerplate
 
     def end_block():
         if text:
             whole = _SPACE.sub(" ", "".join(text)).strip()
             text.clear()
             if whole and not top.out:
+                linked = min(links[0], len(whole))
+                node = top
+                while node:
+                    if node.suspect:
+                        size = suspects.setdefault(node, [0, 0])
+                        size[0] += len(whole)
+                        size[1] += linked
+                    node = node.parent
                 node = top
                 while node.tag not in _CONTAINER and node.parent:
                     node = node.parent
-                out.append((node, whole, min(links[0], len(whole))))
+                out.append((node, top, whole, linked))
         links[0] = 0
 
-    at, n = 0, len(page)
-    low = None
-    while at < n:
-        m = _TOKEN.search(page, at)
-        piece = page[at : m.start() if m else n]
+    def add(piece, raw=False):
         if piece and not top.out:
-            piece = html.unescape(piece)
+            piece = piece if raw else html.unescape(piece)
             text.append(piece)
             if links[1]:
                 links[0] += len(piece.strip())
-        if not m:
+
+    at, n, last = 0, len(page), page.rfind(">")
+    low = None
+    while at < n:
+        less = page.find("<", at)
+        if less > last and not page.startswith("<!--", less):  # no tag ends from here on
+            less = page.find("<!--", at)
+        add(page[at : less if less >= 0 else n])
+        if less < 0:
             break
+        m = _TOKEN.match(page, less)
+        shift = 0
+        if not m:
+            m, shift = _BROKEN.match(page, less), 1
+        if not m:  # a sign, not a tag
+            add("<")
+            at = less + 1
+            continue
         at = m.end()
-        tag = m[3]
+        closing, tag, attributes = m[2 - shift], m[3 - shift], m[4 - shift]
         if tag is None:
-            if m[1] is not None and not top.out:
-                text.append(m[1])
+            if m[1] is not None:
+                add(m[1], raw=True)
             continue
         tag = tag.lower()
-        if m[2]:
+        if closing:
             if tag == "a" and links[1]:
                 links[1] -= 1
             node = top
@@ -107,10 +149,10 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
         if tag in _VOID:
             if tag == "hr":
                 end_block()
-            elif tag in ("br", "wbr") and not top.out:
-                text.append(" " if tag == "br" else "")
+            elif tag == "br":
+                add(" ", raw=True)
             continue
-        if tag in _RAW:
+        if tag in _RAW or tag in _CONTROL:
             low = low if low is not None else page.lower()
             close = low.find(f"</{tag}", at)
             stop = low.find(">", close) + 1 if close >= 0 else n
@@ -124,13 +166,24 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
         for opened, closers in _CLOSED_BY.items():
             if tag in closers and (top.tag == opened):
                 top = top.parent
-        label, marked = _label(tag, m[4])
+        label, marked, suspect = _label(tag, attributes)
         inside_article = tag == "header" and ("/article" in top.path or "/main" in top.path)
         left_out = top.out or (tag in _LEFT_OUT and not inside_article) or (marked and not inside_article)
         links[1] = 0 if tag in _CONTAINER else links[1]
-        top = _Node(tag, label, f"{top.path}/{label}", top, left_out)
+        top = _Node(tag, label, f"{top.path}/{label}", top, left_out, suspect)
     end_block()
-    return out
+    dense = {node for node, (size, linked) in suspects.items() if 2 * linked >= size}
+    if not dense:
+        return [(node, whole, linked) for node, _, whole, linked in out]
+
+    def kept(node):
+        while node:
+            if node in dense:
+                return False
+            node = node.parent
+        return True
+
+    return [(node, whole, linked) for node, inner, whole, linked in out if kept(inner)]
 
 
 def container_scores(found: list[tuple[_Node, str, int]]) -> dict[str, float]:
@@ -186,7 +239,8 @@ def host_of(url) -> F.Column:
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path): the path that most pages of the host vote for, by votes, score, name."""
+    """(host, path) of the hosts whose pages do not agree: the path that most of the pages vote for, by votes, score, name. Where
+    all pages of a host vote for one path each of them knows it, so such hosts have no row."""
 
     def votes(batches):
         for b in batches:
@@ -195,26 +249,35 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
     seen = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(votes, "host string, path string, score double")
     counted = seen.filter("path != ''").groupBy("host", "path").agg(F.count("*").alias("votes"), F.round(F.sum("score")).alias("score"))
-    return counted.groupBy("host").agg(F.max_by("path", F.struct("votes", "score", "path")).alias("path"))
+    by_host = counted.groupBy("host").agg(F.max_by("path", F.struct("votes", "score", "path")).alias("path"), F.count("*").alias("paths"))
+    return by_host.filter("paths > 1").select("host", "path")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars, path) of every row.
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_hosts: int = MAX_HOSTS) -> DataFrame:
+    """(page_id, url, text, n_chars, path) of every row; ``path`` is that of the container the text was found by, null if there is no text.
 
     A null or empty page, or one without text, has an empty text. Pages without a readable host share the
-    empty host. Repeated rows give repeated results, an empty table none; other columns are ignored.
+    empty host. Repeated rows give repeated results, an empty table none; other columns are ignored. Pages are not shuffled: the paths of
+    disputed hosts are broadcast, ``max_hosts`` at once; pages of a host beyond that are read by a pass of their own.
     """
-    winners = written(host_paths(pages, url_col, html_col))  # Spark sees its size, and broadcasts it only if small
+    winners = written(host_paths(pages, url_col, html_col))
+    passes = max(1, -(-winners.count() // max_hosts))
 
     def read(batches):
         for b in batches:
-            texts = []
+            texts, paths = [], []
             for page, path in zip(b.column(2), b.column(3).to_pylist()):
                 found = blocks(page.as_py() or "")
                 here = path if path and text_below(found, path) else best_path(found)[0]
                 texts.append(text_below(found, widened(found, here)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b.column(3)], names=["page_id", "url", "text", "n_chars", "path"])
+                paths.append(here if texts[-1] else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(paths, pa.string())], names=["page_id", "url", "text", "n_chars", "path"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "path")
-    return joined.mapInArrow(read, "page_id long, url string, text string, n_chars long, path string")
+    out = None
+    for k in range(passes):
+        mine = F.pmod(F.xxhash64("host"), F.lit(passes)) == k
+        some, own = (rows.filter(mine), winners.filter(mine)) if passes > 1 else (rows, winners)
+        found = some.join(F.broadcast(own), "host", "left").select("page_id", "url", "html", "path").mapInArrow(read, "page_id long, url string, text string, n_chars long, path string")
+        out = found if out is None else out.unionByName(found)
+    return out

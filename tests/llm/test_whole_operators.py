@@ -46,6 +46,53 @@ def test_articles_of_several_parts(spark):
     assert got == {k: "\n".join(map(clean, want)) for k, (_, want) in enumerate(pages.values())}
 
 
+def test_nothing_of_an_article_is_dropped(spark):
+    """Odd elements and class names inside the winning container; what the contract names is left out all the same."""
+    long = "long text " * 40
+    kept = {
+        "<p class='related-work'>Work by others.</p>": "Work by others.",
+        "<section class='search-results'><p>What the search gave.</p></section>": "What the search gave.",
+        "<p>Where <math><mi>x</mi></math> is.</p>": "Where x is.",
+        "<noscript><p>Plain form.</p></noscript>": "Plain form.",
+        "<p>text <label>word</label> end</p>": "text word end",
+        "<p>one <button>press</button> two</p>": "one two",
+        "<p>a < b and 3 > 2 &lt;i&gt;</p>": "a < b and 3 > 2 <i>",
+        "<fieldset><legend>Title</legend><p>Inside.</p></fieldset>": "Title\nInside.",
+        "<div class=legal-history><p>Courts, see <a href=/x>this</a> and much more of it.</p></div>": "Courts, see this and much more of it.",
+    }
+    dropped = ["<div class=comments>reader</div>", "<div id='post-comments'><p>reader</p></div>", "<div class='related-posts'><a href=/a>another page</a> <a href=/b>and one more</a></div>", "<aside>side</aside>", "<form><label>name</label> send</form>", "<div class='ad-slot'>buy</div>", "<p class=notice>cookies</p>", "<svg><title>x</title></svg>"]
+    rows = [(k, f"https://h{k}.example", f"<body><article><p>{long}</p>{piece}</article></body>") for k, piece in enumerate([*kept, *dropped])]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "\n".join([long.strip(), *x]) for k, x in enumerate([*([v] for v in kept.values()), *([] for _ in dropped)])}
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for page in ("<a href='x " * 10_000, '<a "' * 10_001 + ">", "<p>" + "<b" * 10_000, "<i '>" * 10_001, "<!" * 10_000, "<p class=" * 10_000):
+        start = time.process_time()
+        html_text.blocks(page)
+        assert time.process_time() - start < 3, page[:12]
+
+
+def test_long_page(spark):
+    body = "".join(f"<p>Paragraph {k} of <b>many</b> &amp; more.</p>" for k in range(20_000))
+    (row,) = html_text.extract(spark.createDataFrame([(1, "https://a.example", f"<body><nav>menu</nav><article>{body}</article></body>")], "page_id long, url string, html string")).collect()
+    assert row["text"] == "\n".join(f"Paragraph {k} of many & more." for k in range(20_000)) and row["n_chars"] == len(row["text"])
+
+
+def test_disputed_hosts_are_read_in_passes(spark):
+    """Pages whose own best container is another one follow their host; with more disputed hosts than go into one broadcast too."""
+    story, box = "<div class=story><p>" + "told here " * 30 + "</p></div>", "<div class=extra><p>" + "other things " * 60 + "</p></div>"
+    short = "<div class=story><p>" + "told here " * 20 + "</p></div>"
+    rows = []
+    for h in range(5):
+        rows += [(10 * h + k, f"https://www.h{h}.example/{k}", f"<body><a href=/>x</a>{story}</body>") for k in range(3)] + [(10 * h + 9, f"https://h{h}.example/9", f"<body>{'<a href=/>many links here</a> ' * 40}{short}{box}</body>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, many = ({r["page_id"]: (r["text"], r["path"]) for r in html_text.extract(pages, max_hosts=n).collect()} for n in (100, 2))
+    assert one == many and len(one) == 20 and {one[10 * h + 9][1] for h in range(5)} == {"/body/div.story"}
+
+
 def test_groups_of_null_and_repeated_ids(frame):
     """Each id below stands for different texts; those of one id must not be taken for one another."""
     rng = random.Random(6)
