@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Keys of a weekly schedule and the fields of a day.
 DAYS = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
 SCHEDULE = "map<string,struct<closed:boolean,open:string,close:string,break_enabled:boolean,break_start:string,break_end:string>>"
 

@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructType
+from pyspark.sql.types import StringType
 
 SPACES = r"[\s　]+"
 #: Separators of lists written into one string.
@@ -104,41 +104,35 @@ def kanji_number(c: Column) -> Column:
     return F.when(c.rlike("^(?:[一二三四五六七八九]?十[一二三四五六七八九]?|[一二三四五六七八九])$"), (tens * 10 + ones).cast("int"))
 
 
-@F.pandas_udf(StructType().add("street", StringType()).add("building", StringType()).add("complete", BooleanType()))
-def address_parts(addresses: pd.Series) -> pd.DataFrame:
-    """Street key (numbers joined by dashes), building and whether the lot number is complete."""
-    import re
+DASHES = "-‐‑‒–—―−ー"
+_NUMBER = "(?:[0-9]+|[一二三四五六七八九十]+)"
+_MARKER = f"(?:丁目|番地|番|号|[{DASHES}])"
 
-    number = "一二三四五六七八九"
 
-    def kanji(match) -> str:
-        s = match.group(1)
-        if "十" in s:
-            a, _, b = s.partition("十")
-            return str((number.index(a) + 1 if a else 1) * 10 + (number.index(b) + 1 if b else 0))
-        return str(number.index(s) + 1)
+def address_parts(c: Column) -> Column:
+    """Street key (what is before the lot, its numbers joined by dashes), building, and whether there is a lot number.
 
-    def one(a):
-        if a is None or not a.strip():
-            return None, None, False
-        s = re.sub(r"\s+", "", unicodedata.normalize("NFKC", a).lower())
-        s = re.sub(r"^(?:日本[、,]?)?(?:〒?\d{3}-?\d{4})?", "", s)
-        s = re.sub(f"([{number}]?十[{number}]?|[{number}])(?=丁目|番|号)", kanji, s)
-        s = re.sub(r"(?<=\d)(?:丁目|番地の?|番|号|[‐‑–—―−ー-])(?=\d)", "-", s)
-        s = re.sub(r"(?<=\d)(?:丁目|番地|番|号)", "", s)
-        m = re.match(r"^(\D*)(\d+(?:-\d+)*)(.*)$", s)
-        if not m:
-            return s, "", False
-        return m.group(1) + m.group(2), m.group(3), m.group(2).count("-") >= 1
-
-    return pd.DataFrame([one(a) for a in addresses], columns=["street", "building", "complete"])
+    A lot begins at the first number with a marker (丁目, 番地, 番, 号 or a dash) behind it and goes on until a number without one, or 号. Without
+    such a number all of the address is the street. ``complete`` also asks for a municipality. NFKC is the one Python step.
+    """
+    text = F.trim(F.lower(nfkc(c)))
+    text = F.trim(F.regexp_replace(text, rf"^(?:日本[、,\s]*)?(?:〒\s*)?\d{{3}}[{DASHES}]?\d{{4}}\s*", ""))
+    lot = rf"(?s)^(.*?)({_NUMBER}\s*{_MARKER}(?:(?<!号)\s*{_NUMBER}\s*{_MARKER})*(?:(?<!号)\s*{_NUMBER})?)(.*)$"
+    before, middle, after = (F.regexp_extract(text, lot, k) for k in (1, 2, 3))
+    number = lambda x: F.when(x.rlike("^[0-9]+$"), x).otherwise(F.coalesce(kanji_number(x).cast("string"), x))
+    numbers = F.array_join(F.transform(F.regexp_extract_all(middle, F.lit(_NUMBER), F.lit(0)), number), "-")
+    found = middle != ""
+    blank = F.coalesce(is_blank(c), F.lit(True))
+    street = F.when(found, F.concat(strip_spaces(before), numbers)).otherwise(strip_spaces(text))
+    complete = found & (F.coalesce(municipality(text), F.lit("")) != "")
+    return F.struct(F.when(~blank, street).alias("street"), F.when(~blank, F.when(found, strip_spaces(after)).otherwise("")).alias("building"), F.when(blank, False).otherwise(complete).alias("complete"))
 
 
 def bigrams(c: Column, most: int = 80) -> Column:
-    """Distinct two-character substrings of the first ``most`` characters; a single character is its own."""
+    """Distinct two-character substrings of the first ``most`` characters, as the measure is defined; a single character has none."""
     s = F.substring(c, 1, most)
     n = F.length(s)
-    return F.when(n >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2))))).otherwise(F.filter(F.array(s), lambda x: x != ""))
+    return F.when(n >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
 
 
 def dice(a: Column, b: Column) -> Column:

@@ -17,10 +17,14 @@ def with_counts(left: DataFrame, events: DataFrame, key: str, name: str, agg: Co
     return left.join(counts, key, "left").fillna(0, [name])
 
 
-def within_windows(instants: DataFrame, windows: DataFrame) -> DataFrame:
-    """Instants (weekday, minute) joined to the windows that hold them: equality on the weekday, a range on the minute."""
-    w = windows.alias("w")
-    return instants.alias("i").join(w, (F.col("i.weekday") == F.col("w.weekday")) & (F.col("w.opens") <= F.col("i.minute")) & (F.col("i.minute") < F.col("w.closes"))).select("i.*", "w.shop_id")
+def within_windows(instants: DataFrame, windows: DataFrame, minutes: int = 30) -> DataFrame:
+    """Instants (weekday, minute) joined to the windows that hold them (J08): equality on the weekday and on slots of so many minutes, of which a window
+    has each that it touches, with the range as residual; so there are as many keys as slots of the week, and a window meets only instants near it."""
+    slots = F.sequence(F.floor(F.col("opens") / minutes), F.floor((F.col("closes") - 1) / minutes))
+    w = windows.filter("opens < closes").withColumn("_slot", F.explode(slots)).alias("w")
+    i = instants.withColumn("_slot", F.floor(F.col("minute") / minutes)).alias("i")
+    found = i.join(w, (F.col("i.weekday") == F.col("w.weekday")) & (F.col("i._slot") == F.col("w._slot")) & (F.col("w.opens") <= F.col("i.minute")) & (F.col("i.minute") < F.col("w.closes")))
+    return found.select("i.*", "w.shop_id").drop("_slot")
 
 
 def count_windows(instants: DataFrame, windows: DataFrame, name: str) -> DataFrame:
@@ -64,33 +68,48 @@ def pairs_within(left: DataFrame, right: DataFrame, metres: float, lat_limit: fl
     return a.join(b, ["cy", "cx"]).filter(F.col("a") != F.col("b")).withColumn("distance_m", distance).filter(F.col("distance_m") <= metres).select("a", "b", "distance_m")
 
 
-def names_in_queries(queries: DataFrame, names: DataFrame, least: int = 2) -> DataFrame:
-    """Queries whose text without spaces contains a name.
+def _substrings(c: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
 
-    A name is found through its first ``least`` characters, which every query has among its substrings of
-    that length: an equality join with the containment as a residual, not a loop over all pairs.
+
+def contained_in(whole: DataFrame, parts: DataFrame, gram: int = 4) -> DataFrame:
+    """(whole, part) of distinct strings ``text`` on either side of which the second lies in the first.
+
+    A part is looked up by its rarest substring of ``gram`` characters, counted over all of ``whole``: an equality join with the containment as
+    residual. Shorter parts are looked up by themselves among the substrings of their own length, so none is lost; empty ones match nothing.
     """
-    text = F.regexp_replace(F.lower("query"), r"[\s　]+", "")
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - least + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(least))))
-    q = queries.withColumn("_text", text).withColumn("_start", F.explode(starts))
-    n = names.select(F.regexp_replace(F.lower("name"), r"[\s　]+", "").alias("_name")).filter(F.length("_name") >= least).distinct().withColumn("_start", F.substring("_name", 1, least))
-    return q.join(n, "_start").filter(F.expr("contains(_text, _name)")).select(*queries.columns).distinct()
+    w = whole.select("text").filter("text != ''").distinct()
+    p = parts.select("text").filter("text != ''").distinct()
+    grams = w.select(F.col("text").alias("whole"), F.explode(_substrings(F.col("text"), gram)).alias("g"))
+    counts = grams.groupBy("g").agg(F.count("*").alias("n"))
+    long = p.filter(F.length("text") >= gram).select(F.col("text").alias("part"), F.explode(_substrings(F.col("text"), gram)).alias("g"))
+    # A gram that no whole has rules the part out, and is its rarest: the count is 0.
+    rarest = long.join(counts, "g", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).filter("r.n > 0").select("part", F.col("r.g").alias("g"))
+    found = grams.join(rarest, "g").filter(F.expr("contains(whole, part)")).select("whole", "part")
+    short = p.filter(F.length("text") < gram).withColumnRenamed("text", "part")
+    pieces = None
+    for n in range(1, gram):
+        own = w.filter(F.length("text") >= n).select(F.col("text").alias("whole"), F.explode(_substrings(F.col("text"), n)).alias("part"))
+        pieces = own if pieces is None else pieces.unionByName(own)
+    return found.unionByName(pieces.join(short, "part").select("whole", "part")) if pieces is not None else found
+
+
+def names_in_queries(queries: DataFrame, names: DataFrame, least: int = 2, gram: int = 4) -> DataFrame:
+    """Queries whose text without spaces contains a name of ``least`` characters or more."""
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[\s　]+", "")
+    texts = queries.withColumn("_text", plain("query"))
+    known = names.select(plain("name").alias("text")).filter(F.length("text") >= least)
+    hits = contained_in(texts.select(F.col("_text").alias("text")), known, gram).select(F.col("whole").alias("_text")).distinct()
+    return texts.join(hits, "_text", "left_semi").select(*queries.columns).distinct()
 
 
 def containing_addresses(left: DataFrame, right: DataFrame, gram: int = 4) -> DataFrame:
-    """Pairs whose normalised addresses contain one another (J11): the shorter one's first ``gram`` characters are
-    a substring of the longer, so an equality join finds them and containment is the residual."""
-
-    def grams(df, side):
-        a = F.col("address")
-        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(a) - gram + 1, F.lit(1))), lambda i: F.substring(a, i, F.lit(gram)))
-        base = df.filter(F.length("address") >= gram)
-        return base.select(F.col("id").alias(side), a.alias(f"address_{side}"), F.explode(F.array_distinct(every)).alias("g")), base.select(F.col("id").alias(side), a.alias(f"address_{side}"), F.substring(a, 1, gram).alias("g"))
-
-    left_all, left_first = grams(left, "a")
-    right_all, right_first = grams(right, "b")
-    found = left_all.join(right_first, "g").filter(F.expr("contains(address_a, address_b)")).select("a", "b")
-    return found.unionByName(left_first.join(right_all, "g").filter(F.expr("contains(address_b, address_a)")).select("a", "b")).filter("a != b").distinct()
+    """Pairs (a, b) of ids whose normalised addresses contain one another (J11); ids of equal addresses meet by equality alone."""
+    a, b = left.select(F.col("id").alias("a"), F.col("address").alias("whole")), right.select(F.col("id").alias("b"), F.col("address").alias("part"))
+    texts = lambda df: df.select(F.col("address").alias("text"))
+    inside = contained_in(texts(left), texts(right), gram)
+    around = contained_in(texts(right), texts(left), gram).filter("whole != part").select(F.col("whole").alias("part"), F.col("part").alias("whole"))
+    return a.join(inside.unionByName(around), "whole").join(b, "part").filter("a != b").select("a", "b").distinct()
 
 
 def first_rule_join(rows: DataFrame, text: str, rules: DataFrame, key: str) -> DataFrame:

@@ -112,8 +112,8 @@ def latest_reason_in(shops: DataFrame, reports: DataFrame, status: str, reasons:
     return shops.join(last.filter(F.col("reason").isin(*reasons)), "shop_id", "left_semi")
 
 
-#: Parts of the agents of crawlers and scripts.
-BOTS = ("bot", "crawler", "spider", "slurp", "preview", "facebookexternalhit", "headless", "curl", "wget", "python", "monitor", "lighthouse", "scraper")
+#: Parts of the agents of crawlers.
+BOTS = ("bot", "crawl", "spider", "slurp", "bingpreview", "duckduckbot", "yandex", "googlebot", "baiduspider", "facebookexternalhit", "twitterbot", "embedly", "pinterest")
 
 
 def is_bot(agent: Column) -> Column:

@@ -57,10 +57,31 @@ def audit(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return after.join(b, key).filter(~F.col("was").eqNullSafe(F.col("state"))).select(key, F.to_json(F.struct(F.col("was").alias("from"), F.col("state").alias("to"))).alias("payload"))
 
 
+def tab_conditions(state: Column, klass: Column, match_done: Column, url_conflict: Column) -> dict[str, Column]:
+    """The condition of each of the five tabs; the first that holds decides."""
+    return {
+        "registered": state.isin(*DONE) | ((klass == "registered") & (state != "rolled_back")) | match_done,
+        "excluded": state == "excluded",
+        "held": state == "held",
+        "url_conflict": (state == "url_conflict") | url_conflict,
+        "unregistered": state.isin("pending", "confirmed", "conflict", "rolled_back"),
+    }
+
+
 def tab(state: Column, klass: Column, match_done: Column, url_conflict: Column) -> Column:
     """One of five tabs, disjoint by construction (L07): the first that fits."""
-    registered = state.isin(*DONE) | ((klass == "registered") & (state != "rolled_back")) | match_done
-    return F.when(registered, "registered").when(state == "excluded", "excluded").when(state == "held", "held").when((state == "url_conflict") | url_conflict, "url_conflict").otherwise("unregistered")
+    (first, condition), *rest, _ = tab_conditions(state, klass, match_done, url_conflict).items()
+    out = F.when(condition, first)
+    for name, condition in rest:
+        out = out.when(condition, name)
+    return out.otherwise("unregistered")
+
+
+def in_several_tabs(rows: DataFrame, key: str, conditions: dict[str, Column]) -> DataFrame:
+    """(key, n, first, last) of rows that more than one condition holds for."""
+    held = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in conditions.items()]), lambda x: x.isNotNull())
+    found = rows.select(key, F.array_sort(held).alias("tabs")).filter(F.size("tabs") > 1)
+    return found.select(key, F.size("tabs").cast("long").alias("n"), F.element_at("tabs", 1).alias("first"), F.element_at("tabs", -1).alias("last"))
 
 
 def tab_order(group: str) -> list[Column]:

@@ -126,25 +126,12 @@ def c20_next_move_type(t: Tables):
     return _log(t).select("query", "page", S.next_move_type(strategy, c("ctr"), c("impressions"), c("theme").isNotNull(), c("clicks"), c("pos"), F.lit("maintain")).alias("move"))
 
 
-@query("""WITH q AS (SELECT DISTINCT query FROM b_querylog), w AS (SELECT DISTINCT query, lower(w) AS word FROM (SELECT query, unnest(string_split(query, ' ')) AS w FROM q) WHERE length(w) > 1),
-a AS (SELECT p_partkey AS article, lower(p_name) AS title FROM part WHERE p_partkey % 10 = 0), tw AS (SELECT DISTINCT article, unnest(string_split(title, ' ')) AS word FROM a)
-SELECT query, arg_max(article, (score, -article)) AS article, max(score) AS score FROM (SELECT query, article, count(*) * 5 AS score FROM w JOIN tw USING (word) GROUP BY ALL) GROUP BY 1""")
-def c21_article_relevance(t: Tables):
-    """Best article for each query by shared words: an equality join on words, not queries times articles."""
-    from placeworks.operators.joins import best_match
-
-    word = lambda df, key, c: df.select(key, F.explode(F.array_distinct(F.split(F.lower(c), " "))).alias("word"))
-    words = word(t.querylog.select("query").distinct(), "query", "query").filter(F.length("word") > 1)
-    titles = word(t.base("part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("article"), "p_name"), "article", "p_name")
-    hits = words.join(titles, "word").groupBy("query", "article").agg(F.count("*").alias("n"))
-    return best_match(hits.withColumn("score", S.article_relevance(F.lit(False), F.lit(False), F.lit(False), F.lit(False), F.col("n"))), "query", "score", "article")
-
-
 @query("""WITH q AS (SELECT DISTINCT query FROM b_querylog), w AS (SELECT DISTINCT query, lower(w) AS word FROM (SELECT query, unnest(string_split(query, ' ')) AS w FROM q) WHERE length(w) > 1),
 a AS (SELECT p_partkey AS article, lower(p_name) AS title FROM part), tw AS (SELECT DISTINCT article, unnest(string_split(title, ' ')) AS word FROM a)
 SELECT query, arg_max(article, (score, -article)) AS article, max(score) AS score FROM (SELECT query, article, count(*) * 5 AS score FROM w JOIN tw USING (word) GROUP BY ALL) GROUP BY 1""")
-def c21_any_article_relevance(t: Tables):
-    """The same among all articles. Those of one title score alike, so the smallest stands for them."""
+def c21_article_relevance(t: Tables):
+    """Best article for each query by shared words: an equality join on words, not queries times articles. Articles of one title score
+    alike, so the smallest stands for them."""
     from placeworks.operators.joins import best_match
 
     word = lambda df, key, c: df.select(key, F.explode(F.array_distinct(F.split(F.lower(c), " "))).alias("word"))

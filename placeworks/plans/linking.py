@@ -15,30 +15,32 @@ _GRAMS = "list_distinct([substr(left({c}, 80), CAST(i AS INTEGER), 2) FOR i IN r
 _DICE = "CASE WHEN a.name = b.name AND a.name <> '' THEN 1.0e0 WHEN len(a.g) + len(b.g) > 0 THEN 2.0e0 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)) ELSE 0.0e0 END"
 
 
-@query(f"SELECT id, len({_GRAMS.format(c='name')}) AS n FROM b_record WHERE length(name) >= 2")
+@query(f"SELECT id, CASE WHEN length(name) >= 2 THEN len({_GRAMS.format(c='name')}) ELSE 0 END AS n FROM (SELECT id, CASE WHEN id % 9 = 0 THEN left(name, 1) ELSE name END AS name FROM b_record)")
 def t14_bigrams(t: Tables):
-    return t.record.filter(F.length("name") >= 2).select("id", F.size(bigrams(F.col("name"))).cast("long").alias("n"))
+    """Grams of names, some of one character, which have none."""
+    name = F.when(F.col("id") % 9 == 0, F.substring("name", 1, 1)).otherwise(F.col("name"))
+    return t.record.select("id", F.size(bigrams(name)).cast("long").alias("n"))
 
 
 @query(f"""WITH r AS (SELECT *, {_GRAMS.format(c='name')} AS g FROM b_record WHERE length(name) >= 2 AND NOT regexp_full_match(name, '[\\s　]*')) SELECT a.id AS a, b.id AS b, CAST(floor({_DICE} * 1000 + 0.5e0) AS BIGINT) AS x1000
-FROM r a JOIN r b ON a.city = b.city AND a.street = b.street AND a.id < b.id""")
+FROM r a JOIN r b ON a.id = b.id - 1""")
 def t15_dice(t: Tables):
-    """Similarity of all records of one city and street."""
+    """Similarity of each record and the next by id."""
     r = t.record.filter(F.length("name") >= 2).filter(~F.col("name").rlike("^[\\s　]*$"))
     g = r.withColumn("g", bigrams(F.col("name")))
-    a, b = g.alias("a"), g.alias("b")
+    a, b = g.alias("a"), g.withColumn("before", F.col("id") - 1).alias("b")
     like = F.when(F.col("a.name") == F.col("b.name"), 1.0).otherwise(dice(F.col("a.g"), F.col("b.g")))
-    return a.join(b, (F.col("a.city") == F.col("b.city")) & (F.col("a.street") == F.col("b.street")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.floor(like * 1000 + 0.5).cast("long").alias("x1000"))
+    return a.join(b, F.col("a.id") == F.col("b.before")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.floor(like * 1000 + 0.5).cast("long").alias("x1000"))
 
 
 def _sides(t: Tables):
     """Even records are the catalogue, odd ones the file."""
-    r = t.record.withColumn("name", F.regexp_replace("name", r"[\s　]+", "")).withColumn("address", F.concat_ws("|", "street", F.col("id").cast("string").substr(F.lit(1), F.lit(1))))
+    r = t.record.withColumn("name", F.regexp_replace("name", r"[\s　]+", "")).withColumn("address", F.concat(F.coalesce("city", F.lit("?")), F.lit("|1-2")))
     r = r.withColumn("complete", F.lit(True)).withColumn("url", F.when(F.col("id") % 7 == 0, F.concat(F.lit("u"), (F.col("id") % 90).cast("string"))))
     return r.filter("id % 2 = 0"), r.filter("id % 2 = 1")
 
 
-_SIDES = """r AS (SELECT id, regexp_replace(name, '[\\s　]+', '', 'g') AS name, city, street, street || '|' || substr(CAST(id AS VARCHAR), 1, 1) AS address, CASE WHEN id % 7 = 0 THEN 'u' || CAST(id % 90 AS VARCHAR) END AS url FROM b_record),
+_SIDES = """r AS (SELECT id, regexp_replace(name, '[\\s　]+', '', 'g') AS name, city, street, coalesce(city, '?') || '|1-2' AS address, CASE WHEN id % 7 = 0 THEN 'u' || CAST(id % 90 AS VARCHAR) END AS url FROM b_record),
 t AS (SELECT * FROM r WHERE id % 2 = 0), f AS (SELECT * FROM r WHERE id % 2 = 1)"""
 @query("""WITH s AS (SELECT c_custkey AS id, CAST(c_custkey * 7 % 60 AS INTEGER) AS like, c_custkey % 4 = 0 AS same_address, c_custkey % 3 = 0 AS same_street, c_custkey % 2 = 0 AS same_city, c_custkey % 5 = 0 AS same_name FROM customer)
 SELECT id, CAST(CASE WHEN same_name AND same_address THEN 400 WHEN same_street AND same_name THEN 200 WHEN same_city AND same_name THEN 100 ELSE 0 END AS INTEGER) AS score FROM s""")
@@ -105,10 +107,10 @@ def q27_duplicate_candidates(t: Tables):
     return L.duplicate_candidates(_people(t))
 
 
-@query("SELECT a.id FROM (SELECT c_custkey AS id, c_custkey % 811 AS n, c_custkey % 13 AS a FROM customer WHERE c_acctbal < 0) a WHERE EXISTS (SELECT 1 FROM customer b WHERE b.c_acctbal >= 0 AND b.c_custkey % 811 = a.n AND b.c_custkey % 13 = a.a)")
+@query("SELECT a.id FROM (SELECT c_custkey AS id, c_custkey % 31 AS n, c_custkey % 3 AS a FROM customer WHERE c_acctbal < 0) a WHERE EXISTS (SELECT 1 FROM customer b WHERE b.c_acctbal >= 0 AND b.c_custkey % 31 = a.n AND b.c_custkey % 3 = a.a)")
 def e25_approval_gate(t: Tables):
     k = F.col("c_custkey")
-    rows = t.base("customer").select(k.alias("id"), (k % 811).alias("name"), (k % 13).alias("address"), (F.col("c_acctbal") >= 0).alias("approved"))
+    rows = t.base("customer").select(k.alias("id"), (k % 31).alias("name"), (k % 3).alias("address"), (F.col("c_acctbal") >= 0).alias("approved"))
     return L.approval_blocked(rows.filter("not approved"), rows).select("id")
 
 
@@ -126,10 +128,24 @@ def w04_rank_and_cap(t: Tables):
     return R.top_by(t.shop.select("shop_id", F.col("area").alias("tab"), "smoking_area"), "tab", 25, [F.desc("smoking_area"), F.asc("shop_id")]).select("shop_id", "tab", "rank")
 
 
-@query("SELECT id FROM b_record WHERE regexp_matches(name, 'zzzz') AND city = 'none'")
+_TAB_SQL = {
+    "registered": "state IN ('applied', 'skipped') OR shop_id % 11 = 0",
+    "excluded": "state = 'excluded'",
+    "held": "state = 'held'",
+    "url_conflict": "state = 'url_conflict' OR shop_id % 13 = 0",
+    "unregistered": "state = 'pending'",
+}
+
+
+@query(f"""WITH s AS (SELECT shop_id, CASE shop_id % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'applied' WHEN 2 THEN 'excluded' WHEN 3 THEN 'held' WHEN 4 THEN 'url_conflict' ELSE 'skipped' END AS state FROM b_shop),
+m AS ({' UNION ALL '.join(f"SELECT shop_id, '{k}' AS tab FROM s WHERE {v}" for k, v in _TAB_SQL.items())}) SELECT shop_id, count(*) AS n, min(tab) AS first, max(tab) AS last FROM m GROUP BY 1 HAVING count(*) > 1""")
 def v04_no_overlap(t: Tables):
-    """Records that are in two tabs: none."""
-    return t.record.filter(F.col("name").rlike("zzzz") & (F.col("city") == "none")).select("id")
+    """Records that the conditions of more than one tab hold for, with how many; the order of the tabs decides between them."""
+    k = F.col("shop_id") % 6
+    state = F.when(k == 0, "pending").when(k == 1, "applied").when(k == 2, "excluded").when(k == 3, "held").when(k == 4, "url_conflict").otherwise("skipped")
+    rows = t.shop.select("shop_id", state.alias("state"))
+    tabs = review.tab_conditions(F.col("state"), F.lit("review"), F.col("shop_id") % 11 == 0, F.col("shop_id") % 13 == 0)
+    return review.in_several_tabs(rows, "shop_id", tabs)
 
 
 @query()

@@ -169,9 +169,9 @@ def f08_wildcards(t: Tables):
     return t.shop.filter(F.lower("name").like("%#000_0%")).select("shop_id")
 
 
-@query("SELECT shop_id FROM b_shop WHERE contains(lower(name), 'air') OR contains(lower(genre), 'air') OR contains(lower(area), 'air')")
+@query("SELECT shop_id FROM b_shop WHERE contains(lower(name), 'build') OR contains(lower(genre), 'build') OR contains(lower(area), 'build')")
 def f09_keyword(t: Tables):
-    return t.shop.filter(P.keyword([F.col(c) for c in ("name", "genre", "area")], "Air")).select("shop_id")
+    return t.shop.filter(P.keyword([F.col(c) for c in ("name", "genre", "area")], "Build")).select("shop_id")
 
 
 @query("SELECT shop_id FROM b_shop WHERE (contains(lower(name), 'build') OR contains(lower(genre), 'build')) AND (contains(lower(name), '00') OR contains(lower(genre), '00'))")
@@ -225,9 +225,13 @@ def f23_interval_stab(t: Tables):
     return open_at(exploded(t.hours), 3, 600)
 
 
-@query("SELECT page_id, regexp_matches(lower(url), 'bot|crawler|spider|slurp|preview|facebookexternalhit|headless|curl|wget|python|monitor|lighthouse|scraper') AS bot FROM pages")
+_AGENTS = ("Mozilla/5.0", "Mozilla/5.0 (compatible; YandexImages/3.0)", "Embedly/0.2", "Pinterest/0.2", "curl/8.5", "python-requests/2", "SomeCrawl/1", "Googlebot/2.1")
+
+
+@query("SELECT event_id, regexp_matches(lower(agent), 'bot|crawl|spider|slurp|bingpreview|duckduckbot|yandex|googlebot|baiduspider|facebookexternalhit|twitterbot|embedly|pinterest') AS bot FROM (SELECT event_id, [" + ", ".join(f"'{a}'" for a in _AGENTS) + "][1 + event_id % 8] AS agent FROM events)")
 def f24_bots(t: Tables):
-    return t.base("pages").select("page_id", P.is_bot(F.col("url")).alias("bot"))
+    agent = F.element_at(F.array(*[F.lit(a) for a in _AGENTS]), (1 + F.col("event_id") % 8).cast("int"))
+    return t.base("events").select("event_id", P.is_bot(agent).alias("bot"))
 
 
 @query("SELECT query, page FROM b_querylog WHERE NOT regexp_matches(lower(query), 'red|blue')")
@@ -271,10 +275,14 @@ def j05_anti(t: Tables):
     return t.shop.join(t.click, "shop_id", "left_anti").select("shop_id")
 
 
-@query("WITH i AS (SELECT event_id, CAST(dayofweek(ts) AS INTEGER) AS weekday, CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS minute FROM b_event WHERE event_id < 200) SELECT event_id, w.shop_id FROM i JOIN b_window w ON i.weekday = w.weekday AND opens <= i.minute AND i.minute < closes")
+@query("""WITH i AS (SELECT p_partkey, CAST(p_partkey % 7 AS INTEGER) AS weekday, CAST(p_partkey * 11 % 1440 AS INTEGER) AS minute FROM part), w AS (SELECT c_custkey AS shop_id, CAST(c_custkey % 7 AS INTEGER) AS weekday, CAST(c_custkey * 17 % 1400 AS INTEGER) AS opens, CAST(c_custkey * 17 % 1400 + 1 + c_custkey % 30 AS INTEGER) AS closes FROM customer)
+SELECT p_partkey, w.shop_id FROM i JOIN w ON i.weekday = w.weekday AND opens <= i.minute AND i.minute < closes""")
 def j08_interval_join(t: Tables):
-    instants = t.event.filter("event_id < 200").select("event_id", (F.dayofweek("ts") - 1).alias("weekday"), (F.hour("ts") * 60 + F.minute("ts")).alias("minute"))
-    return J.within_windows(instants, exploded(t.hours)).select("event_id", "shop_id")
+    """Instants against short windows, all of both."""
+    k, c = F.col("p_partkey"), F.col("c_custkey")
+    instants = t.base("part").select(k, (k % 7).cast("int").alias("weekday"), (k * 11 % 1440).cast("int").alias("minute"))
+    windows = t.base("customer").select(c.alias("shop_id"), (c % 7).cast("int").alias("weekday"), (c * 17 % 1400).cast("int").alias("opens"), (c * 17 % 1400 + 1 + c % 30).cast("int").alias("closes"))
+    return J.within_windows(instants, windows).select("p_partkey", "shop_id")
 
 
 @query("""WITH i AS (SELECT event_id, CAST(dayofweek(ts) AS INTEGER) AS weekday, CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS minute FROM b_event),
@@ -297,15 +305,8 @@ def j09_pairs_within_radius(t: Tables):
     return near.select("a", "b", F.floor(F.col("distance_m") + 0.5).cast("long").alias("metres")).filter("metres <= 800")
 
 
-@query("SELECT DISTINCT q.query FROM b_querylog q WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part WHERE p_partkey % 7 = 0) n WHERE contains(replace(lower(q.query), ' ', ''), replace(lower(n.name), ' ', '')))")
-def j10_name_in_query(t: Tables):
-    names = t.base("part").filter("p_partkey % 7 = 0").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")).distinct()
-    return J.names_in_queries(t.querylog.select("query").distinct(), names).select("query")
-
-
 @query("SELECT DISTINCT q.query FROM b_querylog q WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part) n WHERE contains(replace(lower(q.query), ' ', ''), replace(lower(n.name), ' ', '')))")
-def j10_any_name_in_query(t: Tables):
-    """The same with the names of all parts."""
+def j10_name_in_query(t: Tables):
     names = t.base("part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")).distinct()
     return J.names_in_queries(t.querylog.select("query").distinct(), names).select("query")
 
@@ -412,9 +413,9 @@ def u04_distinct(t: Tables):
     return t.shop.select("genre", "area").distinct()
 
 
-@query("SELECT shop_id FROM b_shop WHERE shop_id NOT IN (SELECT shop_id FROM b_report)")
+@query("SELECT shop_id FROM b_shop WHERE shop_id NOT IN (SELECT shop_id FROM b_report WHERE reason = '1-URGENT')")
 def u06_subtract(t: Tables):
-    return t.shop.select("shop_id").join(t.report.select("shop_id"), "shop_id", "left_anti")
+    return t.shop.select("shop_id").join(t.report.filter("reason = '1-URGENT'").select("shop_id"), "shop_id", "left_anti")
 
 
 @query("SELECT shop_id, CASE WHEN last_confirmed_on IS NULL THEN 0 ELSE CAST(strftime(last_confirmed_on, '%Y%m%d') AS INTEGER) END AS day_key FROM b_shop")

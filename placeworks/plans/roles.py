@@ -39,7 +39,7 @@ SQL = {
     "b_click": """SELECT event_id, user_id AS shop_id, CASE event_type WHEN 'click' THEN 'article_shop_click' WHEN 'purchase' THEN 'affiliate_click'
         WHEN 'signup' THEN 'phone_click' ELSE 'map_click' END AS kind, CASE WHEN event_type = 'click' AND k < 40 THEN k END AS article_id, ts AS created_at
         FROM b_event WHERE event_type <> 'view'""",
-    "b_article": """SELECT doc_id AS article_id, substr(text, 1, 40) AS title, source || '-' || CAST(doc_id AS VARCHAR) AS slug, lang <> 'fr' AS published FROM documents""",
+    "b_article": """SELECT doc_id AS article_id, text AS title, source || '-' || CAST(doc_id AS VARCHAR) AS slug, lang <> 'fr' AS published FROM documents""",
     "b_review": """SELECT o_custkey AS shop_id, CAST(1 + l_linenumber % 5 AS INTEGER) AS rating, l_returnflag <> 'R' AS approved, l_shipdate AS created_at
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "b_report": """SELECT o_orderkey AS id, o_custkey AS shop_id, o_orderstatus AS status, o_orderpriority AS reason, o_orderdate AS updated_at FROM orders""",
@@ -47,7 +47,7 @@ SQL = {
         CAST((o_orderkey * 53) % 1441 AS INTEGER) AS close_min FROM orders""",
     "b_querylog": """SELECT p_name AS query, '/p/' || CAST(p_partkey AS VARCHAR) AS page, CAST(1 + p_size AS INTEGER) AS pos, CAST(sum(l_quantity) AS BIGINT) AS impressions,
         count(*) FILTER (WHERE l_returnflag = 'R') AS clicks FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY ALL""",
-    "b_record": """SELECT doc_id AS id, lower(substr(text, 1, 80)) AS name, lang AS city, source AS street FROM documents""",
+    "b_record": """SELECT doc_id AS id, lower(text) AS name, lang AS city, source AS street FROM documents""",
     "b_window": """SELECT shop_id, weekday, r.s AS opens, r.e AS closes FROM (SELECT shop_id, weekday, unnest(CASE
         WHEN open_min = 1440 AND close_min = 1440 THEN [] WHEN open_min = close_min THEN [{'s': 0, 'e': 1440}]
         WHEN open_min = 1440 THEN [{'s': 0, 'e': close_min}] WHEN close_min = 0 THEN [{'s': open_min, 'e': 1440}]
@@ -114,7 +114,7 @@ class Tables:
 
     @cached_property
     def article(self) -> DataFrame:
-        return self.base("documents").select(F.col("doc_id").alias("article_id"), F.substring("text", 1, 40).alias("title"), F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("slug"), (F.col("lang") != "fr").alias("published"))
+        return self.base("documents").select(F.col("doc_id").alias("article_id"), F.col("text").alias("title"), F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("slug"), (F.col("lang") != "fr").alias("published"))
 
     @cached_property
     def review(self) -> DataFrame:
@@ -138,7 +138,7 @@ class Tables:
 
     @cached_property
     def record(self) -> DataFrame:
-        return self.base("documents").select(F.col("doc_id").alias("id"), F.lower(F.substring("text", 1, 80)).alias("name"), F.col("lang").alias("city"), F.col("source").alias("street"))
+        return self.base("documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("name"), F.col("lang").alias("city"), F.col("source").alias("street"))
 
     @cached_property
     def rating(self) -> DataFrame:

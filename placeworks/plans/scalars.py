@@ -48,9 +48,13 @@ def t09_digits(t: Tables):
     return t.base("customer").select("c_custkey", T.digits(F.col("c_name")).alias("digits"))
 
 
-@query()
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '梅田ビル2f' ELSE '大阪府大阪市北区梅田' || CAST(c_custkey % 30 + 1 AS VARCHAR) || '-' || CAST(c_custkey % 7 + 1 AS VARCHAR) || CASE WHEN c_custkey % 5 = 1 THEN '' ELSE '-3' END END AS street,
+CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN 'サンパーク2f' ELSE '第1-2号館' END AS building, c_custkey % 5 <> 0 AS complete FROM customer""")
 def t10_address_parts(t: Tables):
-    address = F.concat(F.lit("〒530-0001 大阪市北区"), (F.col("c_custkey") % 30 + 1).cast("string"), F.lit("丁目"), (F.col("c_custkey") % 7 + 1).cast("string"), F.lit("番3号 ビル2F"))
+    """Addresses with a lot that ends at 号, with one that goes on to the building, and without one."""
+    k = F.col("c_custkey")
+    numbers = F.concat((k % 30 + 1).cast("string"), F.lit("丁目"), (k % 7 + 1).cast("string"))
+    address = F.when(k % 5 == 0, "〒530-0001 梅田 ビル２Ｆ").when(k % 5 == 1, F.concat(F.lit("大阪府大阪市北区梅田"), numbers, F.lit(" サンパーク２Ｆ"))).otherwise(F.concat(F.lit("〒530-0001 大阪府大阪市北区 梅田"), numbers, F.lit("番三号 第1-2号館")))
     return t.base("customer").select("c_custkey", T.address_parts(address).alias("p")).select("c_custkey", "p.*")
 
 
@@ -119,9 +123,10 @@ def t26_slug(t: Tables):
     return t.base("part").select("p_partkey", T.slug(F.concat("p_name", F.lit("!"))).alias("slug"))
 
 
-@query("SELECT o_orderkey, substr(sha256('SELECT ? FROM t WHERE id = ? AND n = ?'), 1, 16) AS fingerprint FROM orders")
+@query("SELECT o_orderkey, substr(sha256('SELECT ? FROM ' || o_orderstatus || ' WHERE id = ? AND ' || replace(o_orderpriority, left(o_orderpriority, 1), '?') || ' = ?'), 1, 16) AS fingerprint FROM orders")
 def t27_sql_fingerprint(t: Tables):
-    text = F.concat(F.lit("SELECT 'it''s'  FROM t /* c */ WHERE id = "), F.col("o_orderkey").cast("string"), F.lit(" AND n = 1.5"))
+    """Statements of as many forms as there are statuses and priorities, with literals and comments of each order."""
+    text = F.concat(F.lit("SELECT 'it''s'  FROM "), "o_orderstatus", F.lit(" /* "), "o_clerk" if "o_clerk" in t.base("orders").columns else F.lit("c"), F.lit(" */ WHERE id = "), F.col("o_orderkey").cast("string"), F.lit(" AND "), "o_orderpriority", F.lit(" = 1.5"))
     return t.base("orders").select("o_orderkey", T.sql_fingerprint(text).alias("fingerprint"))
 
 
@@ -229,10 +234,10 @@ def m08_pages(t: Tables):
     return rows.groupBy("n_name").agg(G.pages(F.count("*"), 7).alias("pages"))
 
 
-@query("SELECT a.c_custkey FROM customer a WHERE c_custkey % 5 > 0")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN sha256(CAST(to_json([c_name, c_mktsegment]) AS VARCHAR)) END AS digest FROM customer")
 def m09_identity(t: Tables):
     blank = F.when(F.col("c_custkey") % 5 == 0, " ").otherwise(F.col("c_name"))
-    return t.base("customer").filter(G.identity_digest(blank, F.col("c_mktsegment")).isNotNull()).select("c_custkey")
+    return t.base("customer").select("c_custkey", G.identity_digest(blank, F.col("c_mktsegment")).alias("digest"))
 
 
 @query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1.5e0 WHEN 'MACHINERY' THEN 1.2e0 ELSE 1.0e0 END AS fit FROM customer")

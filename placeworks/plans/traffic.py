@@ -211,9 +211,10 @@ def a15_tally(t: Tables):
     return t.click.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT area, list(shop_id ORDER BY shop_id) AS shops FROM b_shop GROUP BY 1")
+@query("SELECT shop_id, list(smoking_area ORDER BY smoking_area) AS areas FROM (SELECT DISTINCT shop_id, CAST(k % 5 AS INTEGER) AS smoking_area FROM (SELECT shop_id, event_id AS k FROM b_click)) GROUP BY 1")
 def a16_grouped_lists(t: Tables):
-    return t.shop.groupBy("area").agg(F.array_sort(F.collect_list("shop_id")).alias("shops"))
+    """Lists with a bound of their own: the distinct codes, five at most, of each shop."""
+    return t.click.groupBy("shop_id").agg(F.array_sort(F.collect_set((F.col("event_id") % 5).cast("int"))).alias("areas"))
 
 
 @query("SELECT shop_id, CASE WHEN bool_or(status IN ('F', 'O')) THEN 'approved_or_rejected' WHEN bool_or(status = 'P') THEN 'pending_only' ELSE 'none' END AS outcome FROM b_report GROUP BY 1")
