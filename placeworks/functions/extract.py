@@ -17,12 +17,18 @@ from placeworks.functions.text import SPACES, first_rule, half_width, phone, pre
 DAY_NAMES = "日月火水木金土"
 
 
-def field(text: Column, label: str, labels: list[str]) -> Column:
-    """Value behind a label on its line (tab, colon or spaces between), or on the lines below it up to the next known label."""
+def field(text: Column, label: str, labels: list[str], continued: bool = False) -> Column:
+    """Value behind a label on its line (tab, colon or spaces between), or on the lines below it up to the next known label.
+
+    Behind a tab the value ends with the line, unless it is ``continued`` on lines below.
+    """
     every = "|".join(re.escape(x) for x in labels)
     gap = r"[ \t　:：]"
-    pattern = rf"(?m)^{re.escape(label)}(?:{gap}+|$)\n?(.*(?:\n(?!(?:{every})(?:{gap}|$)).*)*)"
-    return presence(F.trim(F.regexp_extract(text, pattern, 1)))
+    below = rf"(.*(?:\n(?!(?:{every})(?:{gap}|$)).*)*)"
+    block = F.regexp_extract(text, rf"(?m)^{re.escape(label)}(?:{gap}+|$)\n?{below}", 1)
+    tabbed = rf"(?m)^{re.escape(label)}\t"
+    same = F.regexp_extract(text, tabbed + (below if continued else "(.*)$"), 1)
+    return presence(F.trim(F.when(text.rlike(tabbed), same).otherwise(block)))
 
 
 def fields(text: Column, labels: list[str]) -> Column:
