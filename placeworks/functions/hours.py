@@ -72,3 +72,38 @@ def with_spill(today: Column, yesterday: Column, minute: Column) -> Column:
     """Point test in which a night's hours belong to the next day, unlike :func:`segments`."""
     inside = lambda r: F.when(r["start"] < r["end"], (r["start"] <= minute) & (minute < r["end"])).otherwise(r["start"] <= minute)
     return F.exists(today, inside) | F.exists(yesterday, lambda r: (r["end"] <= r["start"]) & (minute < r["end"]))
+
+
+def without_ban(opens: Column, ban_start: Column, ban_end: Column) -> Column:
+    """Opening ranges without a daily ban (I09): a ban that ends before a range opens is that of the next day, 24 hours on, and a ban that covers the
+    first opening leaves one range from the first allowed minute to the last, across breaks but never across the ban."""
+    end = F.when(ban_end <= ban_start, ban_end + 1440).otherwise(ban_end)
+
+    def allowed(r: Column) -> Column:
+        shift = F.when(end <= r["start"], 1440).otherwise(0)
+        a, b = ban_start + shift, end + shift
+        parts = F.array(_range(r["start"], F.least(r["end"], a)), _range(F.greatest(r["start"], b), r["end"]))
+        return F.filter(parts, lambda x: x["start"] < x["end"]).cast(RANGES)
+
+    left = F.flatten(F.transform(opens.cast(RANGES), allowed))
+    covers_first = ban_start <= F.get(opens, F.lit(0))["start"]
+    return F.when((F.size(left) > 0) & covers_first, F.array(_range(F.element_at(left, 1)["start"], F.element_at(left, -1)["end"]))).otherwise(left).cast(RANGES)
+
+
+def smoking_now(open_now: Column, non_smoking: Column, restricted: Column, text: Column, weekday: str, holiday: Column, minute: Column) -> Column:
+    """Whether smoking is allowed now. Closed or known non-smoking is no; without hours, unless a restriction is noted; a ban on the
+    weekday holds on holidays too; else the line of the holiday or weekday, or a text without days, has a range that holds the minute."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    banned = F.exists(lines, lambda x: F.trim(x).rlike(rf"^{weekday}\s+(?:喫煙不可|終日禁煙)$"))
+    label = F.when(holiday, F.lit("祝日")).otherwise(F.lit(weekday))
+    own = F.get(F.filter(lines, lambda x: x.startswith(F.concat(label, F.lit(" ")))), F.lit(0))
+    line = F.coalesce(own, F.when(~text.rlike("^[月火水木金土日祝]"), text))
+    ranges = F.transform(text_ranges(F.coalesce(line, F.lit("")), ""), lambda r: r)
+    inside = F.exists(ranges, lambda r: F.when(r["start"] < r["end"], (r["start"] <= minute) & (minute < r["end"])).otherwise((r["start"] <= minute) | (minute < r["end"])))
+    return (
+        F.when(~open_now | non_smoking, False)
+        .when(text.isNull() | (F.trim(text) == ""), ~restricted)
+        .when(banned, False)
+        .when(line.isNull() | line.rlike("喫煙不可|未設定|終日禁煙"), False)
+        .otherwise(F.coalesce(inside, F.lit(False)))
+    )

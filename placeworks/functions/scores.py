@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from placeworks.functions.geo import clamp, half_up
+from placeworks.functions.text import contains_any
 
 
 def banded(c: Column, bands: list[tuple[float, float, float]], default: float, closed: bool = True) -> Column:
@@ -164,3 +165,67 @@ def unnatural(query: Column, topic: str, definition: str, allowed: str) -> Colum
 def page_type(path: Column) -> Column:
     """C34."""
     return F.when(path.startswith("/articles"), "article").when(path.startswith("/shops"), "shop").when(path.rlike("^/[a-z-]+(?:/|$)"), "list").otherwise("other")
+
+
+def intent(query: Column, keywords: dict[str, list[str]]) -> Column:
+    """The first level, in the order given, of which the query contains a keyword; else unknown."""
+    out = None
+    for level, words in keywords.items():
+        hit = contains_any(query, words)
+        out = F.when(hit, level) if out is None else out.when(hit, level)
+    return (out if out is not None else F.when(F.lit(False), "")).otherwise("unknown")
+
+
+def component_scores(impressions: Column, clicks: Column, position: Column, ctr: Column, fit: Column, supplied: Column) -> Column:
+    """Demand, growth, views, revenue, gap and rate of one query as a struct; ``fit`` includes the intent's multiplier."""
+    demand = impressions + clicks * 5
+    growth = position_multiplier(position) * ctr_multiplier(ctr)
+    return F.struct(demand.alias("demand"), growth.alias("growth"), (demand * growth).alias("views"), (demand * growth * fit).alias("revenue"), (demand / F.greatest(supplied, F.lit(5))).alias("gap"), (impressions * ctr_multiplier(ctr)).alias("rate"))
+
+
+def landing_page(best_path: Column, best_score: Column, area: Column, genre: Column, area_pages: dict[str, str], genre_pages: dict[tuple[str, str], str]) -> Column:
+    """The best article's path or a page of the area (2) or of its genre (4), whichever scores most; the first named wins ties, empty without any."""
+    option = lambda path, score, order: F.struct(score.cast("double").alias("score"), F.lit(-order).alias("order"), path.alias("path"))
+    fixed = lambda table, key: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key] if table else F.lit(None).cast("string")
+    of_area = fixed(area_pages, area)
+    of_genre = fixed({f"{a}|{g}": path for (a, g), path in genre_pages.items()}, F.concat_ws("|", area, genre))
+    options = F.array(F.when(best_path.isNotNull() & (best_path != ""), option(best_path, best_score, 0)), F.when(of_area.isNotNull(), option(of_area, F.lit(2), 1)), F.when(of_genre.isNotNull(), option(of_genre, F.lit(4), 2)))
+    return F.coalesce(F.array_max(F.filter(options, lambda x: x.isNotNull()))["path"], F.lit(""))
+
+
+def advice(rules: list[tuple[Column, Column]], fallback: str) -> Column:
+    """The texts of all rules that hold, in order and distinct; the fallback where none does. Texts may be built from columns."""
+    said = F.array_distinct(F.filter(F.array(*[F.when(F.coalesce(when, F.lit(False)), text) for when, text in rules]), lambda x: x.isNotNull()))
+    return F.when(F.size(said) > 0, said).otherwise(F.array(F.lit(fallback)))
+
+
+def work_items(action_: Column, shops: Column, confirmed: Column, articles: Column, ctr: Column, impressions: Column, position: Column, area: Column, genre: Column) -> Column:
+    """What to do for a query, as labels."""
+    placed = area.isNotNull() & genre.isNotNull()
+    return advice(
+        [
+            (action_ == "near win", F.lit("improve title, links and lead: position 8 to 20")),
+            ((shops < 20) & placed, F.concat(F.lit("collect shops: "), area, F.lit(" "), genre)),
+            ((confirmed < 10) & (shops > 0), F.lit("confirm known shops")),
+            ((articles == 0) & placed, F.concat(F.lit("write an article: "), area, F.lit(" "), genre)),
+            ((ctr < 2.0) & (impressions >= 30), F.lit("improve title and description")),
+            ((position >= 8) & (position <= 30), F.lit("link from related pages")),
+        ],
+        "check existing pages",
+    )
+
+
+def theme_type(theme: Column) -> Column:
+    """C35."""
+    return F.when(theme.isin("date", "shisha", "bar"), "circulation").when(theme.isin("private", "night"), "conversion").otherwise("search")
+
+
+def hit_score(name: Column, short: Column, town: Column, title: Column, snippet: Column, link: Column, places: list[str], path: str) -> Column:
+    """Additive evidence that a search hit is a shop's page: its names in title and snippet, its town, known places, the path."""
+    held = lambda text, part: (F.coalesce(part, F.lit("")) != "") & F.contains(text, part)
+    add = lambda when, n: F.when(F.coalesce(when, F.lit(False)), n).otherwise(0)
+    low, below = F.lower(title), F.lower(snippet)
+    total = add(held(low, name), 35) + add(held(low, short), 30) + add(held(below, name), 20) + add(held(below, short), 15) + add(held(title, town) | held(snippet, town), 20)
+    for place in places:
+        total = total + add(title.contains(place) | snippet.contains(place), 15)
+    return total + add(link.contains(path), 10)

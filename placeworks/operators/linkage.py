@@ -214,3 +214,53 @@ def approval_blocked(waiting: DataFrame, shops: DataFrame) -> DataFrame:
     """Records for which an approved one of the same name and address exists."""
     ok = shops.filter("approved").select(F.col("id").alias("other"), "name", "address")
     return waiting.join(ok, ["name", "address"]).filter(F.col("id") != F.col("other")).select(*waiting.columns).distinct()
+
+
+def in_scope(records: DataFrame, city: str, prefix: str | None = None, trial: int | None = None, order: str = "id") -> DataFrame:
+    """Records whose municipality begins so, and for a trial run the first by id or line."""
+    out = records.filter(F.col(city).startswith(prefix)) if prefix else records
+    return out.orderBy(order).limit(trial) if trial else out
+
+
+def best_hit(hits: DataFrame, least: int = 30) -> DataFrame:
+    """For each target the highest scored hit of at least ``least``, the first one on ties."""
+    return hits.filter(F.col("score") >= least).groupBy("target").agg(F.max_by(F.struct("hit", "score"), F.struct(F.col("score"), -F.col("hit"))).alias("b")).select("target", "b.hit", "b.score")
+
+
+def duplicate_cascade(records: DataFrame, keys: list[str]) -> DataFrame:
+    """(id, other, key): for each record the first key, in order, that another record shares, and the smallest id that does.
+
+    The two smallest ids of each value are enough to know another one, so no value's records are paired.
+    """
+    out = records.select("id", *keys)
+    for k, key in enumerate(keys):
+        least = F.min("id")
+        firsts = records.filter(F.col(key).isNotNull() & (F.trim(F.col(key).cast("string")) != "")).groupBy(key).agg(least.alias(f"_a{k}"), F.count("*").alias(f"_n{k}"))
+        others = records.join(firsts, key).filter(F.col("id") != F.col(f"_a{k}")).groupBy(key).agg(least.alias(f"_b{k}"))
+        out = out.join(firsts.filter(f"_n{k} > 1"), key, "left").join(others, key, "left")
+        out = out.withColumn(f"_o{k}", F.when(F.col(f"_a{k}") != F.col("id"), F.col(f"_a{k}")).otherwise(F.col(f"_b{k}"))).drop(f"_a{k}", f"_b{k}", f"_n{k}")
+    other = F.coalesce(*[F.col(f"_o{k}") for k in range(len(keys))])
+    which = F.coalesce(*[F.when(F.col(f"_o{k}").isNotNull(), F.lit(key)) for k, key in enumerate(keys)])
+    return out.select("id", other.alias("other"), which.alias("key")).filter("other is not null")
+
+
+def page_states(page: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a page with whether any record outside the page shares one of the keys."""
+    outside = records.join(page.select("id"), "id", "left_anti")
+    hit, out = F.lit(False), page
+    for k, key in enumerate(keys):
+        known = outside.filter(F.col(key).isNotNull()).select(F.col(key).alias(f"_k{k}")).distinct().withColumn(f"_h{k}", F.lit(True))
+        out = out.join(known, F.col(key) == F.col(f"_k{k}"), "left")
+        hit = hit | F.coalesce(F.col(f"_h{k}"), F.lit(False))
+    return out.withColumn("duplicate", hit).select(*page.columns, "duplicate")
+
+
+def import_duplicates(new: DataFrame, known: DataFrame) -> DataFrame:
+    """New rows whose name or address some record has, or whose normalised address contains or is contained in one's. Phones do not count:
+    branches share them."""
+    from placeworks.operators.joins import containing_addresses
+
+    keyed = lambda df: df.select("id", F.col("address_key").alias("address"))
+    same = lambda c: new.filter(F.trim(c) != "").join(known.select(c).distinct(), c, "left_semi").select("id")
+    near = containing_addresses(keyed(new), keyed(known)).select(F.col("a").alias("id"))
+    return new.join(same("name").unionByName(same("address")).unionByName(near).distinct(), "id", "left_semi")

@@ -130,3 +130,8 @@ def invalid_rows(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def with_support(df: DataFrame, count: str, least: int, rate: str, below: float) -> DataFrame:
     """F26."""
     return df.filter((F.col(count) >= least) & (F.col(rate) < below))
+
+
+def filled_json(c: Column) -> Column:
+    """Whether a JSON text holds anything: not null, no empty object or array, no JSON null (F16)."""
+    return F.coalesce(~F.trim(c.cast("string")).isin("", "{}", "[]", "null"), F.lit(False))

@@ -101,3 +101,29 @@ def union_ranked(branches: list[DataFrame], key: str) -> DataFrame:
         one = b.select(key).withColumn("branch", F.lit(k))
         out = one if out is None else out.unionByName(one)
     return out.groupBy(key).agg(F.min("branch").alias("branch"))
+
+
+def related(shops: DataFrame, articles: DataFrame, n: int = 3) -> DataFrame:
+    """(shop_id, article, score, rank): the ``n`` published articles nearest to each shop's area and genre.
+
+    Articles have id, areas, genres and has_image. The score depends on a shop's area and genre alone, so articles are ranked for each such pair; only the
+    best ``n`` of an area, of a genre and of both can be among them, and no shop meets all articles. Where nothing fits, the newest articles stand.
+    """
+    of_area = articles.select("id", "has_image", F.explode(F.array_distinct("areas")).alias("area"))
+    of_genre = articles.select("id", "has_image", F.explode(F.array_distinct("genres")).alias("genre"))
+    both = of_area.join(of_genre.select("id", "genre"), "id")
+    best = lambda df, keys: df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("has_image"), F.desc("id")))).filter(F.col("_n") <= n).drop("_n")
+    pairs = shops.select("area", "genre").distinct()
+    found = pairs.join(best(of_area, ["area"]).select("area", "id"), "area").select("area", "genre", "id")
+    found = found.unionByName(pairs.join(best(of_genre, ["genre"]).select("genre", "id"), "genre").select("area", "genre", "id"))
+    found = found.unionByName(pairs.join(best(both, ["area", "genre"]).select("area", "genre", "id"), ["area", "genre"]).select("area", "genre", "id")).distinct()
+    scored = found.join(articles, "id").withColumn("score", F.when(F.array_contains("areas", F.col("area")), 10).otherwise(0) + F.when(F.array_contains("genres", F.col("genre")), 6).otherwise(0) + F.when(F.col("has_image"), 2).otherwise(0))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("area", "genre").orderBy(F.desc("score"), F.desc("id")))).filter(F.col("rank") <= n)
+    newest = articles.orderBy(F.desc("id")).limit(n).select("id").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("id"))))  # n rows
+    rest = shops.join(ranked.select("area", "genre").distinct(), ["area", "genre"], "left_anti").select("shop_id").join(F.broadcast(newest)).select("shop_id", F.col("id").alias("article"), F.lit(0).alias("score"), "rank")
+    return shops.join(ranked, ["area", "genre"]).select("shop_id", F.col("id").alias("article"), "score", "rank").unionByName(rest)
+
+
+def in_rank_order(rows: DataFrame, ranked: DataFrame, key: str) -> DataFrame:
+    """Rows of ranked keys with their rank, in its order."""
+    return ranked.select(key, "rank").join(rows, key).orderBy("rank")

@@ -56,7 +56,7 @@ def _pages(t: Tables):
 @query(f"""SELECT c_custkey, c_name AS name, '06-1234-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone, '大阪府大阪市北区' || CAST(c_custkey AS VARCHAR) AS address, CAST(c_custkey % 9 + 1 AS VARCHAR) || ',000～9,999' AS budget_range,
 {_case([r[1] for r in ROOMS])} AS private_room_type, CASE WHEN c_custkey % 2 = 0 THEN ['counter', 'sofa'] ELSE ['counter'] END || CASE WHEN {_case([s[0] for s in SMOKING])} LIKE '%テラス%' THEN ['terrace'] ELSE [] END AS seat_type_tags, CASE WHEN c_custkey % 5 = 0 THEN 'has_all_you_can_drink' ELSE 'unknown' END AS all_you_can_drink_type FROM customer""")
 def x01_parsed_pages(t: Tables):
-    p = _pages(t).select("c_custkey", X.parsed(F.col("page")).alias("p"))
+    p = X.parsed(_pages(t), "page", "p")
     return p.select("c_custkey", *[f"p.{c}" for c in ("name", "phone", "address", "budget_range", "private_room_type", "seat_type_tags", "all_you_can_drink_type")])
 
 
