@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 from placeworks.functions.text import presence
 
-MAX_ROWS, MAX_BYTES = 100_000, 25 << 20
+MAX_ROWS, MAX_BYTES, MAX_PAGE = 100_000, 25 << 20, 10_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where files of a job may lie so that all executors see them: the folder in spark.checkpoint.dir, else one under the warehouse."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return shared.rstrip("/") if shared else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_files"
+
+
 def _parsed(lines: DataFrame, header: str) -> DataFrame:
     import csv
 
@@ -124,7 +130,9 @@ def write_csv(df: DataFrame, path: str, header: list[str]) -> None:
 
 
 def write_json_page(df: DataFrame, total: int, page: DataFrame | None = None) -> DataFrame:
-    """One JSON document with the total and a page's rows."""
+    """One JSON document with the total and a page's rows (K06); without a page the table must be one, of ``MAX_PAGE`` rows at most."""
+    if page is None and total > MAX_PAGE:
+        raise ValueError(f"{total} rows are no page")
     rows = (page or df).agg(F.collect_list(F.struct(*(page or df).columns)).alias("rows"))
     return rows.select(F.to_json(F.struct(F.lit(total).alias("total"), "rows")).alias("json"))
 
