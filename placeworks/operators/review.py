@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 DONE = ("applied", "skipped", "rollback_conflict")
 
@@ -109,3 +110,41 @@ def resolved(shops: DataFrame, reports: DataFrame) -> DataFrame:
     last = reports.filter("status = 'resolved'").groupBy("shop_id").agg(F.max_by("reason", F.struct("updated_at", "id")).alias("reason"))
     hold = F.create_map(*[F.lit(x) for pair in HOLDS.items() for x in pair])[F.col("reason")]
     return shops.join(last, "shop_id", "left").withColumn("hold_reason", F.coalesce(hold, "hold_reason")).withColumn("on_hold", F.col("on_hold") | hold.isNotNull()).drop("reason")
+
+
+#: Fixed value: beginning of the address that marks a link as searched for and not found.
+NOT_FOUND = "https://not-found.local/"
+
+
+def queue_conditions(affiliates: list[str], plain: list[str], suspect: str) -> dict[str, tuple[Column, bool]]:
+    """Condition of each status of the admin queue, and whether its rows are ranked by views (Q15).
+
+    Of an affiliate provider the link <p>_affiliate_url says whether it is set up, and <p>_url whether it was searched for in vain; of a plain one <p>_url says both.
+    """
+    c = lambda name: F.coalesce(F.col(name), F.lit(""))
+    ok = F.col("approved")
+    lost = lambda p: c(f"{p}_url").startswith(NOT_FOUND)
+    out = {
+        "pending": (~ok & ~F.coalesce("rejected", F.lit(False)) & ~F.coalesce("on_hold", F.lit(False)), False),
+        "rejected": (F.coalesce("rejected", F.lit(False)), False),
+        "all": (F.lit(True), False),
+        "unverified": (F.coalesce("unverified", F.lit(False)), False),
+        "hold": (F.coalesce("on_hold", F.lit(False)), False),
+        f"{suspect}_suspect": (c(f"{suspect}_candidate_url") != "", False),
+    }
+    for p in affiliates:
+        link = c(f"{p}_affiliate_url")
+        out |= {f"{p}_missing": (ok & (link == "") & ~lost(p), True), f"{p}_configured": (ok & (link != ""), True), f"{p}_not_found": (ok & lost(p), True)}
+    for p in plain:
+        link = c(f"{p}_url")
+        out |= {f"{p}_missing": (ok & (link == ""), True), f"{p}_configured": (ok & (link != "") & ~lost(p), True), f"{p}_not_found": (ok & lost(p), True)}
+    return out
+
+
+def queues(shops: DataFrame, views: DataFrame, conditions: dict[str, tuple[Column, bool]], n: int) -> DataFrame:
+    """(status, rank, shop_id, views): the first ``n`` shops of every status, in one pass: by views where the status says so, then the newest."""
+    of = F.filter(F.array(*[F.when(when, F.struct(F.lit(name).alias("status"), F.lit(by_views).alias("by_views"))) for name, (when, by_views) in conditions.items()]), lambda x: x.isNotNull())
+    rows = shops.join(views, "shop_id", "left").fillna(0, ["views"]).select("shop_id", "created_on", "views", F.explode(of).alias("s"))
+    order = [F.when(F.col("s.by_views"), F.col("views")).otherwise(0).desc(), F.desc("created_on"), F.desc("shop_id")]
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("s.status").orderBy(*order))).filter(F.col("rank") <= n)
+    return ranked.select(F.col("s.status").alias("status"), "rank", "shop_id", "views")

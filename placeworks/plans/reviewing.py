@@ -306,3 +306,41 @@ def k07_sitemap(t: Tables):
     from placeworks.sources import write_sitemap
 
     return write_sitemap(t.shop.select(F.concat(F.lit("/s/"), F.col("shop_id").cast("string")).alias("path"), F.col("created_on").alias("updated_on")), "https://x.example")
+
+
+_QUEUE = {
+    "pending": ("NOT approved AND NOT rejected AND NOT on_hold", 0), "rejected": ("rejected", 0), "all": ("true", 0), "unverified": ("unverified", 0), "hold": ("on_hold", 0), "one_suspect": ("candidate <> ''", 0),
+    "one_missing": ("approved AND one_link = '' AND NOT starts_with(one, 'https://not-found.local/')", 1), "one_configured": ("approved AND one_link <> ''", 1), "one_not_found": ("approved AND starts_with(one, 'https://not-found.local/')", 1),
+    "two_missing": ("approved AND two_link = '' AND NOT starts_with(two, 'https://not-found.local/')", 1), "two_configured": ("approved AND two_link <> ''", 1), "two_not_found": ("approved AND starts_with(two, 'https://not-found.local/')", 1),
+    "three_missing": ("approved AND three = ''", 1), "three_configured": ("approved AND three <> '' AND NOT starts_with(three, 'https://not-found.local/')", 1), "three_not_found": ("approved AND starts_with(three, 'https://not-found.local/')", 1),
+}
+
+
+@query("""WITH s AS (SELECT shop_id, approved, on_hold, created_on, shop_id % 8 = 1 AS rejected, smoking_type = 3 AS unverified, CASE WHEN shop_id % 5 = 0 THEN 'c' ELSE '' END AS candidate, CASE WHEN shop_id % 3 = 0 THEN 'l' ELSE '' END AS one_link, CASE WHEN shop_id % 7 = 0 THEN 'https://not-found.local/1' ELSE '' END AS one,
+CASE WHEN shop_id % 4 = 0 THEN 'l' ELSE '' END AS two_link, CASE WHEN shop_id % 9 = 0 THEN 'https://not-found.local/2' ELSE 'https://x.example' END AS two, CASE shop_id % 3 WHEN 0 THEN 'https://not-found.local/3' WHEN 1 THEN 'https://y.example' ELSE '' END AS three, coalesce(v.n, 0) AS views
+FROM b_shop LEFT JOIN (SELECT shop_id, count(*) AS n FROM b_view WHERE NOT is_bot GROUP BY 1) v USING (shop_id)), m AS (""" + " UNION ALL ".join(f"SELECT '{name}' AS status, shop_id, created_on, views, {by} * views AS k FROM s WHERE {when}" for name, (when, by) in _QUEUE.items()) + """)
+SELECT status, rank, shop_id, views FROM (SELECT *, CAST(row_number() OVER (PARTITION BY status ORDER BY k DESC, created_on DESC, shop_id DESC) AS INTEGER) AS rank FROM m) WHERE rank <= 20""")
+def q15_all_queues(t: Tables):
+    """The first twenty of each of the fifteen statuses, nine of which are ranked by views."""
+    k = F.col("shop_id")
+    some = lambda n, text, other=None: F.when(k % n == 0, text).otherwise(F.lit(other).cast("string"))
+    shops = t.shop.select("shop_id", "approved", "on_hold", "created_on", (k % 8 == 1).alias("rejected"), (F.col("smoking_type") == 3).alias("unverified"), some(5, "c").alias("one_candidate_url"), some(3, "l", "").alias("one_affiliate_url"), some(7, "https://not-found.local/1").alias("one_url"), some(4, "l").alias("two_affiliate_url"),
+        some(9, "https://not-found.local/2", "https://x.example").alias("two_url"), F.when(k % 3 == 0, "https://not-found.local/3").when(k % 3 == 1, "https://y.example").alias("three_url"))
+    views = t.view.filter(~F.col("is_bot")).groupBy("shop_id").agg(F.count("*").alias("views"))
+    return review.queues(shops, views, review.queue_conditions(["one", "two"], ["three"], "one"), 20)
+
+
+@query("""WITH q AS (SELECT p_name AS query, CAST(sum(l_quantity) AS BIGINT) AS impressions, count(*) FILTER (WHERE l_returnflag = 'R') AS clicks, CAST(avg(1 + p_size) AS INTEGER) AS pos FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY 1),
+x AS (SELECT *, CASE WHEN contains(query, 'widget') THEN 'BUILDING' WHEN contains(query, 'gadget') THEN 'FURNITURE' WHEN contains(query, 'cold') THEN 'MACHINERY' END AS genre FROM q),
+n AS (SELECT genre, count(*) AS shops, count(*) FILTER (WHERE last_confirmed_on IS NOT NULL) AS confirmed FROM b_shop WHERE approved AND NOT on_hold GROUP BY 1)
+SELECT query, genre, coalesce(shops, 0) AS shops, coalesce(confirmed, 0) AS confirmed, greatest(coalesce(shops, 0) + 2 * coalesce(confirmed, 0) + 20, 5) AS supply, CAST(floor((impressions + clicks * 5) * 10.0e0 / greatest(coalesce(shops, 0) + 2 * coalesce(confirmed, 0) + 20, 5) + 0.5e0) AS BIGINT) AS gap_x10 FROM x LEFT JOIN n USING (genre)""")
+def q21_supply_by_query(t: Tables):
+    """Each query with the genre its words name, and the supply of that genre: counts are made by genre once, then joined."""
+    from placeworks.functions.text import first_rule
+
+    log = t.base("part").join(t.base("lineitem"), F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("p_name").alias("query")).agg(F.sum("l_quantity").cast("long").alias("impressions"), F.count_if(F.col("l_returnflag") == "R").alias("clicks"))
+    log = log.withColumn("genre", first_rule(F.col("query"), [("BUILDING", "widget"), ("FURNITURE", "gadget"), ("MACHINERY", "cold")]))
+    supply = P.approved(t.shop).groupBy("genre").agg(F.count("*").alias("shops"), F.count("last_confirmed_on").alias("confirmed"))
+    rows = log.join(supply, "genre", "left").fillna(0, ["shops", "confirmed"])
+    rows = rows.withColumn("supply", S.supply(F.col("shops"), F.col("confirmed"), F.lit(1)))
+    return rows.select("query", "genre", "shops", "confirmed", "supply", F.floor((F.col("impressions") + F.col("clicks") * 5) * 10.0 / F.col("supply") + 0.5).cast("long").alias("gap_x10"))

@@ -158,3 +158,34 @@ def test_streaming(spark, tmp_path):
 
     assert run(first_visits(stream), "visits").count() == first_visits_batch(df).count() == 3
     run(daily_counts(stream), "days")
+
+
+def test_trailing_counts_and_delivery(spark, tmp_path):
+    """Days and trailing windows of a stream against plain counts, and each key delivered once though rows repeat."""
+    from collections import Counter
+    from datetime import date, datetime, timedelta
+
+    from placeworks.streaming import daily_counts, deliver, trailing_counts
+
+    days = [date(2024, 1, d) for d in (1, 1, 2, 4, 4, 4, 9, 20)]  # the last one only moves the watermark on
+    rows = [(k, datetime(d.year, d.month, d.day, 12)) for k, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "event_id int, created_at timestamp")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+
+    def run(out, name):
+        # a second, empty trigger lets the watermark of the first close its windows
+        for _ in range(2):
+            out.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"{name}_state")).start(str(tmp_path / name)).awaitTermination(120)
+        return {r["day"]: r["n"] for r in spark.read.parquet(str(tmp_path / name)).collect()}
+
+    closed = Counter(d for d in days if d < date(2024, 1, 19))
+    assert run(daily_counts(stream()), "daily") == closed
+    got = run(trailing_counts(stream(), 3), "trailing")
+    assert got == {end: n for k in range(30) if (n := sum(c for d, c in closed.items() if (end := date(2024, 1, 1) + timedelta(k)) - timedelta(3) <= d < end)) and end <= date(2024, 1, 19)}
+    events = df.withColumn("shop_id", F.col("event_id") % 3)
+    events.unionByName(events).coalesce(1).write.parquet(str(tmp_path / "twice"))
+    again = spark.readStream.schema(events.schema).parquet(str(tmp_path / "twice"))
+    deliver(again, str(tmp_path / "out"), str(tmp_path / "out_state"), ["event_id", "shop_id"]).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).groupBy("key").count().filter("count > 1").count() == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(days)
