@@ -153,13 +153,17 @@ def found_in(column: pa.Array, items: Items, threshold: float) -> Iterator[tuple
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int):
-    """Broadcast blocks of items with their seeds."""
+    """Broadcast blocks of items with their seeds. Blocks are halved until none is larger than ``block_bytes``, unless by a single item."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
+    block = lambda n: F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    while size > block_bytes and not items.distinct().groupBy(block(n)).agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("items")).filter((F.col("size") > block_bytes) & (F.col("items") > 1)).isEmpty():
+        n *= 2
     for k in range(n):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().toArrow().to_pandas().sort_values(["item_id", "text"])
-        yield docs.sparkSession.sparkContext.broadcast(Items(block["item_id"].tolist(), block["text"].tolist()))
+        some = items.filter(block(n) == k).distinct().toArrow().to_pandas().sort_values(["item_id", "text"])
+        if len(some) or n == 1:
+            yield docs.sparkSession.sparkContext.broadcast(Items(some["item_id"].tolist(), some["text"].tolist()))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -187,11 +191,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` in which no test item is found, with all their columns."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` in which no test item is found, with all their columns.
+
+    Null and empty texts are clean; repeated rows stay or go together; an empty benchmark keeps all rows, and an empty table has none.
+    """
     at = docs.columns.index(text_col)
     base = docs.select(F.col(text_col).cast("string").alias("text"))
-    for items in _blocks(base, benchmark, "item_id", "text", BLOCK_BYTES):
+    for items in _blocks(base, benchmark, item_col, item_text_col, block_bytes):
 
         def kept(batches, items=items):
             for b in batches:

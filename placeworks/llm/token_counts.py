@@ -113,7 +113,11 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ], names=["key", "u", "n", "n_bytes", "doc_id", "whole"])
 
     counted = base.mapInArrow(frequencies, "key long, u long, n long, n_bytes long, doc_id long, whole boolean")
+    # Pre-tokens are told by a hash of 64 bits: two of one hash, or one that only this side has, stop the job rather than miscount.
+    if not pieces.groupBy("u").count().filter("count > 1").isEmpty():
+        raise ValueError("two pre-tokens share a hash")
     counted = counted.join(pieces.select("u", "n_pieces"), "u", "left")
-    value = F.col("n") * F.when(F.col("whole"), F.lit(1)).otherwise(F.col("n_pieces"))
+    known = F.coalesce("n_pieces", F.raise_error(F.lit("a pre-token was not counted")).cast("long"))
+    value = F.col("n") * F.when(F.col("whole"), F.lit(1)).otherwise(known)
     sums = counted.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(value).alias("n_tokens"))
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -1,5 +1,7 @@
 """Held-out accuracy of the classifiers, and odd inputs."""
 
+import re
+
 import numpy as np
 
 from placeworks.llm import language_id, quality, toxicity
@@ -38,6 +40,46 @@ def test_quality_of_odd_texts(spark, sf_dir, frame, odd):
     assert quality.score(frame(odd).limit(0), none).count() == 0
 
 
+def plain_features(text):
+    """The features of one text, one word and one sign at a time."""
+    space = " \t\n\x0b\f\r"
+    words = [w for w in re.split(f"[{space}]+", text) if w]
+    if not words:
+        return np.zeros(len(quality.FEATURES))
+    letter = lambda b: chr(b).isascii() and chr(b).isalpha() or b >= 128
+    symbols = set(b"#$%&*+/<=>@\\^_`{|}~")
+    n, raw = len(words), [w.encode() for w in words]
+    low = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in words]
+    inner = [sum(map(letter, w)) for w in raw]
+    marks = [sum(b in symbols for b in w) for w in raw]
+    chars, lines = max(len(text), 1), [x for x in text.split("\n") if x]
+    doubled = sum(len(w) > 2 and w[-1] == w[-2] and not letter(w[-1]) and not 48 <= w[-1] <= 57 for w in raw)
+    return np.array([
+        np.log1p(n), sum(inner) / n, sum(letter(b) and (b & 0xC0) != 0x80 for b in text.encode()) / chars, sum("A" <= c <= "Z" for c in text) / chars, sum("0" <= c <= "9" for c in text) / chars,
+        np.tanh(8 * sum(b in symbols for b in text.encode()) / chars), np.tanh(8 * sum(i == 0 and m > 0 for i, m in zip(inner, marks)) / n), np.tanh(8 * sum(i > 0 and m > 1 for i, m in zip(inner, marks)) / n), np.tanh(8 * doubled / n),
+        np.tanh(4 * sum(a == b for a, b in zip(low, low[1:])) / n), len(set(low)) / n, len(set(low)) / n**0.8, len(set(lines)) / max(len(lines), 1), np.tanh(4 * sum(w[-1:] in (b".", b"!", b"?") for w in raw) / n),
+    ])
+
+
+def test_quality_of_the_table(spark, sf_dir):
+    """Every row of the query against features counted word by word."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(fold("doc_id", 4) != 2)
+    ranking = quality.learn(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = op10_quality(spark, sf_dir).collect()
+    assert {r["doc_id"] for r in rows} == set(texts) and len(rows) == len(texts)
+    for r in rows:
+        assert abs(ranking.score(plain_features(texts[r["doc_id"]])[None])[0] - r["score"]) < 1e-6
+
+
+def test_quality_learns_from_odd_labels(spark, sf_dir, frame, odd):
+    docs = frame(odd * 2)
+    labels = spark.createDataFrame([(4, 1), (4, 0), (4, 1), (5, 1), (7, None), (None, 1), (99, 0)], "doc_id long, quality int").selectExpr("*", "'t' as text", "1 as label", "2 as x")
+    ranking = quality.learn(docs, labels)
+    assert {r["predicted"] for r in quality.score(docs, ranking).collect()} <= {0, 1}
+    assert quality.keep_good(frame(odd).limit(0), ranking).count() == 0
+
+
 def test_toxicity_of_odd_texts(spark, sf_dir, frame, odd):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     net = toxicity.learn(docs, labels, dictionaries=language_id.learn(docs))

@@ -253,6 +253,44 @@ def test_contamination(frame, spark, odd):
     assert decontamination.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def test_contamination_of_the_table(spark, sf_dir):
+    """The query over its whole tables against the alignment of every item with every document."""
+    import pyarrow as pa
+
+    from placeworks.llm import textkit as tk
+    from placeworks.llm.queries import op2_decontamination
+
+    def words(texts):
+        (_, _, data, offsets), *_ = tk.text_slices(pa.array(texts, pa.string()), 1 << 40)
+        h, doc, _, _ = decontamination.words_of(data, offsets)
+        return [h[doc == k] for k in range(len(texts))]
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").collect()
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text").collect()
+    grams = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    item_words, want = words([r["text"] for r in items]), {}
+    item_grams = [grams(w.tolist()) for w in item_words]
+    for d, w in zip(docs, words([r["text"] for r in docs])):
+        own = grams(w.tolist())
+        for r, x, g in zip(items, item_words, item_grams):
+            if own & g and (score := decontamination.align(x, w)[0] / (2 * len(x))) >= decontamination.THRESHOLD:
+                want[d["doc_id"], r["item_id"]] = score
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in op2_decontamination(spark, sf_dir).collect()}
+    assert want and got == pytest.approx(want)
+
+
+def test_clean_documents_of_odd_tables(spark, frame, odd):
+    item = " ".join(f"{c}ord" for c in "bcdfghjklmnp")
+    rows = [*odd, (70, None), (71, f"x {item} y"), (71, f"x {item} y"), (72, ""), (72, "")]
+    items = spark.createDataFrame([(1, item), (1, item), (None, item), (2, None), (3, ""), (4, "12 34")], "doc_id long, key string")
+    kept = decontamination.keep_clean(frame(rows), items, item_col="doc_id", item_text_col="key")
+    assert kept.columns == frame(rows).columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter(r for r in rows if r[0] != 71)
+    assert decontamination.keep_clean(frame(rows), items, item_col="doc_id", item_text_col="key", block_bytes=40).count() == len(rows) - 2
+    assert decontamination.keep_clean(frame(rows), items.limit(0), item_col="doc_id", item_text_col="key").count() == len(rows)
+    assert decontamination.keep_clean(frame(rows).limit(0), items, item_col="doc_id", item_text_col="key").count() == 0
+
+
 def test_surrogates(frame, odd):
     rows = odd + [
         (50, "Mail Ann.Lee@Mail.example.com or ann.lee@mail.example.com, call +1 (212) 555-0143 or (212) 555-0143."),
@@ -503,3 +541,20 @@ def test_template_with_many_loose_members(frame):
             rows.append((10_000 + k, " ".join(template + own[:-1] + ["changed"])))
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.groups(frame(rows).repartition(4)).collect()}
     assert got == {i: i - 10_000 if i >= 10_000 else i for i, _ in rows}
+
+
+def test_other_stages_of_odd_tables(spark, sf_dir, odd):
+    """Nulls in any column, repeated rows, columns of clashing names, and empty tables, in the stages that filter or rewrite."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, label string, score string, text_hash string, mentions string"
+    rows = [(i, t, None, None, None if t is None else len(t), "l", None, "h", "m") for i, t in odd] + [(90, "Mail a.b@mail1.example.com now.", "en", "s", 31, None, "s", None, None)] * 2
+    docs = spark.createDataFrame(rows, columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.count() <= len(rows), name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+    private = corpus_pipeline.without_personal_data(spark, docs, sf_dir).collect()
+    assert len(private) == len(rows) and sum("mail1.example" in (r["text"] or "") for r in private) == 0
+    assert len(corpus_pipeline.one_of_each_group(spark, docs, sf_dir).collect()) == len({(i, t) for i, t, *_ in rows})
+    name, packed = corpus_pipeline.STAGES[-1]
+    assert packed(spark, docs, sf_dir).select("doc_id").distinct().count() == len({r[0] for r in rows})
+    assert packed(spark, docs.limit(0), sf_dir).count() == 0

@@ -91,6 +91,12 @@ def test_packing_documents(spark, sf_dir, tokenizer):
     assert max(full.values()) <= 1024 and sum(1024 - x for x in full.values()) <= 1023
 
 
+def test_same_ids_as_the_library_on_the_larger_table(spark, tokenizer):
+    texts = [r["text"] for r in table(spark, "/root/testdata/sf0.01", "documents").collect()] + ["ab" * 3000, " " * 3000, "\n" * 50 + "x", "é" * 999, "1234567890" * 200, "!?" * 500]
+    fast = packing.byte_bpe()
+    assert [fast.encode(t, allowed_special="all") for t in texts] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_same_ids_as_the_library(tokenizer):
     fast = packing.byte_bpe()
     texts = ["it's  a\n\n test", " <|endoftext|>x", "naïve Ærø 123.45", "　  \t", "漢字かな交じり文", "a" * 500]
