@@ -36,7 +36,7 @@ from placeworks.llm.store import written
 
 WORDS, PERCENT = 5, 80
 #: The sketch of counts has a bucket for this many bytes of text, within limits: at the upper one a task's counts are 64 MB.
-SKETCH_BYTES, MIN_BUCKETS, MAX_BUCKETS, BLOCK = 40, 1 << 18, 1 << 25, 1 << 13
+SKETCH_BYTES, MIN_BUCKETS, MAX_BUCKETS, BLOCK = 160, 1 << 18, 1 << 25, 1 << 13
 #: Pairs that are made at once; loose members of a pivot that one task compares with the others.
 PAIRS, LOOSE = 1 << 20, 1000
 _U = np.uint64

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from placeworks.llm import textkit as tk
 from placeworks.llm.store import written
 
-BITS_PER_KEY, HASHES, MAX_KEYS, PAGE_BYTES = 16, 4, 1 << 25, 1 << 12
+BITS_PER_KEY, HASHES, MAX_KEYS, PAGE_BYTES = 16, 4, 1 << 25, 1 << 9
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _HASH = "__key_hash"
 
