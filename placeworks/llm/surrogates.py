@@ -193,9 +193,12 @@ def distinct_surrogates(units: DataFrame, key: str) -> DataFrame:
     """(kind, unit, surrogate) of distinct (kind, unit, gender, script): no two units of a kind share a
     surrogate and none is a real unit, upper and lower case being the same. Units that collide are drawn again, from a space that grows, so
     a few more rounds end it; if ``MOST_ATTEMPTS`` did not, an error says so."""
+    # A unit is few bytes and much work: by their size alone all units would be drawn in one task.
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = written(units.repartition(n, "kind", "unit"))
     real = units.select("kind", F.lower("unit").alias("lowered"))
     folded = F.lower("surrogate").alias("lowered")
-    waiting, done = units, None
+    waiting, done = units.repartition(n, "kind", "unit"), None
     for attempt in range(MOST_ATTEMPTS):
         drawn = waiting.withColumn("surrogate", _surrogate(key, attempt)).select("kind", "unit", "surrogate", folded)
         free = drawn.join(real, ["kind", "lowered"], "left_anti")
