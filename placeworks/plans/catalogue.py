@@ -19,7 +19,9 @@ from placeworks.operators.weekly import per_schedule
 from placeworks.plans.registry import query
 from placeworks.plans.roles import Tables
 
-_K = F.col("c_custkey")
+
+def _k():
+    return F.col("c_custkey")
 
 
 def _pick(k, *values):
@@ -48,33 +50,33 @@ _NAMES = ["Ｃａｆｅ　Ａ・梅田店", "BAR (Second)", "ｶﾌｪ ー'B'"]
 @query(f"SELECT c_custkey, {_list('cafea・梅田店', 'bar(second)', 'カフェー' + chr(39) + 'b' + chr(39))}[1 + c_custkey % 3] AS linkage, {_list('cafea梅田店', 'barsecond', 'カフェb')}[1 + c_custkey % 3] AS lookup FROM customer")
 def t06_normal_names(t: Tables):
     """Names for linkage, and for lookup without signs."""
-    name = _pick(_K, *_NAMES)
-    return t.base("customer").select(_K, T.linkage_name(name).alias("linkage"), T.lookup_name(name).alias("lookup"))
+    name = _pick(_k(), *_NAMES)
+    return t.base("customer").select(_k(), T.linkage_name(name).alias("linkage"), T.lookup_name(name).alias("lookup"))
 
 
 @query("SELECT c_custkey, '大阪市北区' || CAST(c_custkey AS VARCHAR) AS address FROM customer")
 def t11_without_postal_prefix(t: Tables):
-    address = F.concat(_pick(_K, "〒530-0001 ", "日本、〒5300001", "", "530-0001 "), F.lit("大阪市北区"), _K.cast("string"))
-    return t.base("customer").select(_K, T.without_postal_prefix(address).alias("address"))
+    address = F.concat(_pick(_k(), "〒530-0001 ", "日本、〒5300001", "", "530-0001 "), F.lit("大阪市北区"), _k().cast("string"))
+    return t.base("customer").select(_k(), T.without_postal_prefix(address).alias("address"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 70 < 60 THEN CAST(c_custkey % 31 * 60 + c_custkey % 70 AS INTEGER) END AS minute FROM customer")
 def d04_long_minutes(t: Tables):
-    clock = F.concat_ws(":", (_K % 31).cast("string"), F.lpad((_K % 70).cast("string"), 2, "0"))
-    return t.base("customer").select(_K, D.long_minutes(clock).alias("minute"))
+    clock = F.concat_ws(":", (_k() % 31).cast("string"), F.lpad((_k() % 70).cast("string"), 2, "0"))
+    return t.base("customer").select(_k(), D.long_minutes(clock).alias("minute"))
 
 
 @query("SELECT c_custkey AS id, concat_ws(' / ', CASE WHEN c_custkey % 3 = 0 THEN 'name is blank' END, CASE WHEN c_custkey % 5 = 0 THEN 'address is blank' END, CASE WHEN c_custkey % 7 = 0 THEN 'URL not valid' END) AS errors FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 = 0 OR c_custkey % 7 = 0")
 def e02_row_validity(t: Tables):
-    rows = t.base("customer").select(_K.alias("id"), F.when(_K % 3 == 0, "　").otherwise("n").alias("name"), F.when(_K % 5 == 0, None).otherwise("a").alias("address"), F.when(_K % 7 == 0, "ftp://x/1").otherwise("https://x.example/1").alias("url"))
+    rows = t.base("customer").select(_k().alias("id"), F.when(_k() % 3 == 0, "　").otherwise("n").alias("name"), F.when(_k() % 5 == 0, None).otherwise("a").alias("address"), F.when(_k() % 7 == 0, "ftp://x/1").otherwise("https://x.example/1").alias("url"))
     return P.invalid_rows(rows, {"name is blank": T.is_blank(F.col("name")), "address is blank": T.is_blank(F.col("address")), "URL not valid": T.canonical_url(F.col("url")).isNull()}).select("id", "errors")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 < 3 THEN sha256('[\"' || CASE c_custkey % 4 WHEN 1 THEN 'カフェa' ELSE 'bar' END || '\",\"梅田' || CAST(c_custkey % 9 + 1 AS VARCHAR) || '-2|ビル\"]') END AS identity FROM customer")
 def e01_identity(t: Tables):
     """Name and address keys of a record and their digest, null where either is blank."""
-    name = _pick(_K, "Bar", "ｶﾌｪ A", "BAR", " ")
-    p = t.base("customer").select(_K, name.alias("name"), T.address_parts(F.concat(F.lit("〒530-0001 梅田"), (_K % 9 + 1).cast("string"), F.lit("丁目2番 ビル"))).alias("p"))
+    name = _pick(_k(), "Bar", "ｶﾌｪ A", "BAR", " ")
+    p = t.base("customer").select(_k(), name.alias("name"), T.address_parts(F.concat(F.lit("〒530-0001 梅田"), (_k() % 9 + 1).cast("string"), F.lit("丁目2番 ビル"))).alias("p"))
     key = F.concat_ws("|", "p.street", F.coalesce("p.building", F.lit("")))
     digest = F.sha2(F.to_json(F.array(T.linkage_name(F.col("name")), key)), 256)
     return p.select("c_custkey", F.when(~T.is_blank(F.col("name")) & F.col("p.street").isNotNull(), digest).alias("identity"))
@@ -90,8 +92,8 @@ row_number() OVER (PARTITION BY target ORDER BY row) AS rank, concat_ws(' / ', '
 
 def _exact_run(t: Tables):
     """Two catalogues that share names and addresses, so that all pairs are exact: what the ranks over grams decide has no part."""
-    half = F.floor(_K / 2)
-    rows = t.base("customer").select(_K.alias("id"), F.concat(F.lit("n"), (half % 40).cast("string")).alias("name"), F.lit("c").alias("city"), F.concat(F.lit("s"), _K.cast("string")).alias("street"), F.concat(F.lit("a"), (half % 20).cast("string")).alias("address"), (_K % 8 != 5).alias("complete"), F.when(_K % 9 == 0, F.concat(F.lit("u"), (_K % 4).cast("string"))).alias("url"))
+    half = F.floor(_k() / 2)
+    rows = t.base("customer").select(_k().alias("id"), F.concat(F.lit("n"), (half % 40).cast("string")).alias("name"), F.lit("c").alias("city"), F.concat(F.lit("s"), _k().cast("string")).alias("street"), F.concat(F.lit("a"), (half % 20).cast("string")).alias("address"), (_k() % 8 != 5).alias("complete"), F.when(_k() % 9 == 0, F.concat(F.lit("u"), (_k() % 4).cast("string"))).alias("url"))
     targets, file = rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")
     return targets, file, L.classified(targets, file, L.candidate_pairs(targets, file).filter("exact"))
 
@@ -130,10 +132,10 @@ def e14_missing_targets(t: Tables):
 
 @query("SELECT c_custkey, c_custkey % 2 = 1 AND c_custkey % 3 = 0 AND c_custkey % 5 <> 1 AND c_custkey % 5 <> 2 AND c_custkey % 7 <> 1 AS matches FROM customer")
 def e15_strict_match(t: Tables):
-    address = _pick(_K, "x 1-2", "x 1-3", "x", "x 1-2", "x 1-2")
-    other = _pick(_K, "x 1-2", "x 1-2", "x", "x 1-2", "x 1-2")
-    match = L.strict_match(_K % 2 == 0, _pick(_K, "n", "m", "o"), F.lit("n"), address, other, F.when(_K % 7 < 2, "06"), F.when(_K % 7 == 1, "07").otherwise("06"))
-    return t.base("customer").select(_K, match.alias("matches"))
+    address = _pick(_k(), "x 1-2", "x 1-3", "x", "x 1-2", "x 1-2")
+    other = _pick(_k(), "x 1-2", "x 1-2", "x", "x 1-2", "x 1-2")
+    match = L.strict_match(_k() % 2 == 0, _pick(_k(), "n", "m", "o"), F.lit("n"), address, other, F.when(_k() % 7 < 2, "06"), F.when(_k() % 7 == 1, "07").otherwise("06"))
+    return t.base("customer").select(_k(), match.alias("matches"))
 
 
 @query("""WITH h AS (SELECT user_id AS shop, CAST(event_id % 3 AS INTEGER) AS stage, event_id % 2 AS found FROM events WHERE event_id % 4 > 0), n AS (SELECT shop, stage, count(DISTINCT found) AS n, min(found) AS found FROM h GROUP BY ALL)
@@ -147,7 +149,7 @@ def e16_staged_search(t: Tables):
 SELECT id, coalesce((SELECT min(shop_id) FROM s WHERE s.place = n.place), (SELECT min(shop_id) FROM s WHERE s.phone = n.phone), (SELECT min(shop_id) FROM s WHERE s.name = n.name)) AS shop_id FROM n""")
 def e19_upsert_target(t: Tables):
     k = F.col("p_partkey")
-    shops = t.base("customer").select(_K.alias("shop_id"), F.when(_K % 2 == 0, _K % 60).alias("place_id"), (_K % 40).alias("phone"), (_K % 30).alias("name"), F.lit("a").alias("address"))
+    shops = t.base("customer").select(_k().alias("shop_id"), F.when(_k() % 2 == 0, _k() % 60).alias("place_id"), (_k() % 40).alias("phone"), (_k() % 30).alias("name"), F.lit("a").alias("address"))
     new = t.base("part").select(k.alias("id"), F.when(k % 3 == 0, k % 90).alias("place_id"), F.when(k % 3 < 2, k % 55).alias("phone"), (k % 33).alias("name"), F.lit("a").alias("address"))
     return L.upsert_target(new, shops).select("id", "shop_id")
 
@@ -155,9 +157,9 @@ def e19_upsert_target(t: Tables):
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'umeda' WHEN 1 THEN 'namba' WHEN 2 THEN 'kita' END AS area, CASE c_custkey % 4 WHEN 3 THEN 'none' ELSE 'bar' END AS genre FROM customer")
 def c01_detected_area(t: Tables):
     """Area by its rules, then by the second pass of fallbacks; genre by keyword."""
-    text = _pick(_K, "Bar near Umeda station", "namba bar", "bar in kitaku", "ramen")
+    text = _pick(_k(), "Bar near Umeda station", "namba bar", "bar in kitaku", "ramen")
     first, second = [("umeda", "umeda|osaka st"), ("namba", "namba|nanba")], [("kita", "kitaku")]
-    return t.base("customer").select(_K, F.coalesce(T.first_rule(text, first), T.first_rule(text, second)).alias("area"), T.first_rule(text, [("bar", "bar")], "none").alias("genre"))
+    return t.base("customer").select(_k(), F.coalesce(T.first_rule(text, first), T.first_rule(text, second)).alias("area"), T.first_rule(text, [("bar", "bar")], "none").alias("genre"))
 
 
 _QUERIES = ["what is smoking", "what is shisha", "a & b", "ｂar", "one two three four", "one two three bar", "plain words"]
@@ -165,7 +167,7 @@ _QUERIES = ["what is smoking", "what is shisha", "a & b", "ｂar", "one two thre
 
 @query("SELECT c_custkey, [false, true, true, true, true, false, false][1 + c_custkey % 7] AS odd FROM customer")
 def c04_unnatural(t: Tables):
-    return t.base("customer").select(_K, S.unnatural(_pick(_K, *_QUERIES), "smoking", "what is", "bar").alias("odd"))
+    return t.base("customer").select(_k(), S.unnatural(_pick(_k(), *_QUERIES), "smoking", "what is", "bar").alias("odd"))
 
 
 _SHOPS = ["1-2-3 kita", "brandx", "smoking cafe", "hanako shop", "kita honten", "a b", "a b c d"]
@@ -173,56 +175,56 @@ _SHOPS = ["1-2-3 kita", "brandx", "smoking cafe", "hanako shop", "kita honten",
 
 @query("SELECT c_custkey, [true, true, false, true, true, true, false][1 + c_custkey % 7] AS shop FROM customer")
 def c05_looks_like_shop(t: Tables):
-    return t.base("customer").select(_K, C.looks_like_shop(_pick(_K, *_SHOPS), r"\d+-\d+", ["brandx"], ["smoking"], ["shop"], "honten$").alias("shop"))
+    return t.base("customer").select(_k(), C.looks_like_shop(_pick(_k(), *_SHOPS), r"\d+-\d+", ["brandx"], ["smoking"], ["shop"], "honten$").alias("shop"))
 
 
 @query("SELECT c_custkey, ['brand_check', 'facility', 'specific_shop', 'specific_shop', 'general'][1 + c_custkey % 5] AS kind FROM customer")
 def c06_query_type(t: Tables):
-    text = _pick(_K, "placeworks map", "station smoking room", "odd & query", "hanako", "bars in kita")
-    return t.base("customer").select(_K, C.query_type(text, ["placeworks"], ["station"], text.contains("&"), text == "hanako", F.lit(False), F.lit(False)).alias("kind"))
+    text = _pick(_k(), "placeworks map", "station smoking room", "odd & query", "hanako", "bars in kita")
+    return t.base("customer").select(_k(), C.query_type(text, ["placeworks"], ["station"], text.contains("&"), text == "hanako", F.lit(False), F.lit(False)).alias("kind"))
 
 
 @query("SELECT c_custkey, ['umeda', 'namba', NULL][1 + c_custkey % 3] AS area FROM customer")
 def c27_area(t: Tables):
     rules = [("umeda", "梅田"), ("namba", "難波")]
-    return t.base("customer").select(_K, C.area(_pick(_K, "東 梅田 駅", "x", "y"), _pick(_K, "難波1", "難波2", "z"), rules).alias("area"))
+    return t.base("customer").select(_k(), C.area(_pick(_k(), "東 梅田 駅", "x", "y"), _pick(_k(), "難波1", "難波2", "z"), rules).alias("area"))
 
 
 @query("SELECT c_custkey, ['cafe', 'pub', 'other', 'pub'][1 + c_custkey % 4] AS genre, [NULL, NULL, 'sushi', NULL][1 + c_custkey % 4] AS original FROM customer")
 def c28_genre(t: Tables):
-    g = C.genre(_pick(_K, "カフェ・喫茶", "呑み屋", "sushi", "pub"), {"カフェ": "cafe"}, {"呑み屋": "pub"}, ["cafe", "pub"], "other")
-    return t.base("customer").select(_K, g.alias("g")).select("c_custkey", "g.genre", "g.original")
+    g = C.genre(_pick(_k(), "カフェ・喫茶", "呑み屋", "sushi", "pub"), {"カフェ": "cafe"}, {"呑み屋": "pub"}, ["cafe", "pub"], "other")
+    return t.base("customer").select(_k(), g.alias("g")).select("c_custkey", "g.genre", "g.original")
 
 
 @query("SELECT c_custkey, CAST(c_custkey % 3 * 10 + c_custkey % 2 * 6 + CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 0 END AS INTEGER) AS score FROM customer")
 def c29_relatedness(t: Tables):
-    return t.base("customer").select(_K, S.relatedness((_K % 3).cast("int"), (_K % 2).cast("int"), _K % 5 == 0).cast("int").alias("score"))
+    return t.base("customer").select(_k(), S.relatedness((_k() % 3).cast("int"), (_k() % 2).cast("int"), _k() % 5 == 0).cast("int").alias("score"))
 
 
 @query("SELECT c_custkey, c_custkey % 3 > 0 AND c_custkey % 5 > 0 AS may FROM customer")
 def c31_may_be_approved(t: Tables):
-    may = C.may_be_approved([F.when(_K % 3 == 0, " ").otherwise("n"), F.lit("a")], F.when(_K % 5 == 0, "hours Unknown").otherwise("fine"), ["unknown"])
-    return t.base("customer").select(_K, may.alias("may"))
+    may = C.may_be_approved([F.when(_k() % 3 == 0, " ").otherwise("n"), F.lit("a")], F.when(_k() % 5 == 0, "hours Unknown").otherwise("fine"), ["unknown"])
+    return t.base("customer").select(_k(), may.alias("may"))
 
 
 @query("SELECT c_custkey, CAST([1, 1, 2, NULL][1 + c_custkey % 4] AS INTEGER) AS code FROM customer")
 def c32_code(t: Tables):
-    return t.base("customer").select(_K, C.code(_pick(_K, " ALL ", "1", "part", "?"), {"all": 1, "1": 1, "part": 2, "2": 2}).alias("code"))
+    return t.base("customer").select(_k(), C.code(_pick(_k(), " ALL ", "1", "part", "?"), {"all": 1, "1": 1, "part": 2, "2": 2}).alias("code"))
 
 
 @query("SELECT c_custkey, ['read', 'write', 'other'][1 + c_custkey % 3] AS class FROM customer")
 def c33_statement_class(t: Tables):
-    return t.base("customer").select(_K, C.statement_class(_pick(_K, "SELECT 1", "update x set y", "BEGIN"), [("read", "^select"), ("write", "^(insert|update|delete)")]).alias("class"))
+    return t.base("customer").select(_k(), C.statement_class(_pick(_k(), "SELECT 1", "update x set y", "BEGIN"), [("read", "^select"), ("write", "^(insert|update|delete)")]).alias("class"))
 
 
 @query("SELECT c_custkey, ['article', 'shop', 'list', 'other'][1 + c_custkey % 4] AS kind FROM customer")
 def c34_page_type(t: Tables):
-    return t.base("customer").select(_K, S.page_type(_pick(_K, "/articles/1", "/shops/2", "/umeda/bar", "/1")).alias("kind"))
+    return t.base("customer").select(_k(), S.page_type(_pick(_k(), "/articles/1", "/shops/2", "/umeda/bar", "/1")).alias("kind"))
 
 
 @query("SELECT c_custkey, c_custkey % 2 = 0 AND c_custkey % 3 = 0 AS restricted FROM customer")
 def c36_restricted(t: Tables):
-    return t.base("customer").select(_K, C.restricted(F.when(_K % 2 == 0, "ランチ禁煙").otherwise("ok"), F.when(_K % 3 == 0, " ").otherwise("10:00-11:00"), "ランチ.*禁煙").alias("restricted"))
+    return t.base("customer").select(_k(), C.restricted(F.when(_k() % 2 == 0, "ランチ禁煙").otherwise("ok"), F.when(_k() % 3 == 0, " ").otherwise("10:00-11:00"), "ランチ.*禁煙").alias("restricted"))
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN m >= 1080 OR m < 120 WHEN 1 THEN m >= 600 AND m < 900 ELSE m >= 1080 END AS inside FROM (SELECT c_custkey, c_custkey * 7 % 1440 AS m FROM customer)""")
@@ -231,8 +233,8 @@ def i08_with_spill(t: Tables):
     one = lambda a, b: F.array(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")))
     none = F.array().cast(H.RANGES)
     night, day = one(1080, 120).cast(H.RANGES), one(600, 900).cast(H.RANGES)
-    k = _K % 3
-    return t.base("customer").select(_K, H.with_spill(F.when(k == 1, day).otherwise(night), F.when(k == 0, night).otherwise(none), (_K * 7 % 1440).cast("int")).alias("inside"))
+    k = _k() % 3
+    return t.base("customer").select(_k(), H.with_spill(F.when(k == 1, day).otherwise(night), F.when(k == 0, night).otherwise(none), (_k() * 7 % 1440).cast("int")).alias("inside"))
 
 
 @query("SELECT o_orderkey, (o_orderkey * 37) % 24 * 100 + (o_orderkey * 53) % 24 AS value FROM orders")

@@ -51,3 +51,13 @@ def test_every_query_is_named_by_its_operator():
     import re
 
     assert all(re.match(r"^[a-z]\d\d[a-z]?_", name) for name in QUERIES)
+
+
+def test_entry_imports_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 200)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120).stdout.strip() == "True"
