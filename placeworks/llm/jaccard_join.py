@@ -357,7 +357,8 @@ class Candidates:
         self.near = written(met.groupBy("a", "b", "need").agg(F.count("*").alias("shared")).filter("shared >= need").select("a", "b"))
 
         hot = self.sets.filter(F.col("cold") < F.size("tokens")).select("key", "cold", F.explode(F.expr("slice(tokens, cold + 1, size(tokens))")).alias("token"))
-        pivots = hot.groupBy("token").agg(F.min(F.struct("cold", "key"))["key"].alias("b"))
+        # A table of its own: it is small beside the members, so Spark broadcasts it or splits the members of a hot token.
+        pivots = written(hot.groupBy("token").agg(F.min(F.struct("cold", "key"))["key"].alias("b")))
         self.stars = written(hot.join(pivots, "token").filter("key != b").select(F.col("key").alias("a"), "b").distinct())
 
         ends = [pairs.select(F.col(c).alias("key")) for pairs in (self.near, self.stars) for c in "ab"]
