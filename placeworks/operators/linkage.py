@@ -96,14 +96,18 @@ def candidate_pairs(targets: DataFrame, rows: DataFrame, cap: int = BLOCK_CAP, r
 
 
 def scored_pairs(targets: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs with both records' fields and a score above 0, or exact."""
+    """Pairs with both records' fields, a score above 0 or exact, and how many their target has.
+
+    The count is a window between the score and its filter: Spark would push the filter down to the join, and there write out the whole score again.
+    """
     side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
     joined = pairs.join(side(prepared(targets), "t"), F.col("target") == F.col("t_id")).join(side(prepared(rows), "r"), F.col("row") == F.col("r_id"))
     args = [F.col(f"{p}_{c}") for c in ("name", "address", "street", "city") for p in "tr"]
     score = confidence(*args, F.col("t_complete") & F.col("r_complete"), F.col("like"), alias_of("t_", "r_"), F.col("t_floors"), F.col("r_floors"))
     scored = with_similarity(joined, "t_", "r_").withColumn("score", score)
     scored = scored.drop("like", *[f"{p}_{c}" for p in "tr" for c in ("full", "base", "full_grams", "base_grams", "floors")])
-    return scored.filter(F.col("exact") | (F.col("score") > 0))
+    kept = F.col("exact") | (F.col("score") > 0)
+    return scored.withColumn("pool", F.count_if(kept).over(Window.partitionBy("target"))).filter(kept)
 
 
 def classified(targets: DataFrame, rows: DataFrame, pairs: DataFrame, most: int = CANDIDATES) -> tuple[DataFrame, DataFrame]:
@@ -117,10 +121,8 @@ def classified(targets: DataFrame, rows: DataFrame, pairs: DataFrame, most: int
     url_rows = rows.filter("url is not null").groupBy("url").agg(F.count("*").alias("url_rows"))
     owners = targets.filter("url is not null").groupBy(F.col("url").alias("r_url")).agg(F.count("*").alias("owners"))
     found = scored_pairs(targets, rows, pairs)
-    pool = found.groupBy("target").agg(F.count("*").alias("pool"))
     found = (
-        found.join(pool, "target")
-        .join(in_file.select(F.col("name").alias("r_name"), F.col("address").alias("r_address"), "dup_rows"), ["r_name", "r_address"], "left")
+        found.join(in_file.select(F.col("name").alias("r_name"), F.col("address").alias("r_address"), "dup_rows"), ["r_name", "r_address"], "left")
         .join(in_catalogue.select(F.col("name").alias("t_name"), F.col("address").alias("t_address"), "dup_targets"), ["t_name", "t_address"], "left")
         .join(url_rows.withColumnRenamed("url", "r_url"), "r_url", "left")
         .join(owners, "r_url", "left")
