@@ -35,8 +35,9 @@ from placeworks.llm.membership import bloom, sift
 from placeworks.llm.store import written
 
 WORDS, PERCENT = 5, 80
-#: The sketch of counts has a bucket for this many bytes of text, within limits: at the upper one a task's counts are 64 MB.
-SKETCH_BYTES, MIN_BUCKETS, MAX_BUCKETS, BLOCK = 160, 1 << 18, 1 << 25, 1 << 13
+#: The sketch of counts has a bucket for this many bytes of text, within limits: at the upper one a task's counts are 64 MB. A row is a block
+#: of 2 KB, as Arrow batches hold up to ten thousand rows.
+SKETCH_BYTES, MIN_BUCKETS, MAX_BUCKETS, BLOCK = 160, 1 << 18, 1 << 25, 1 << 10
 #: Pairs that are made at once; loose members of a pivot that one task compares with the others.
 PAIRS, LOOSE = 1 << 20, 1000
 _U = np.uint64
@@ -106,7 +107,7 @@ def hot_buckets(docs: DataFrame, words: int = WORDS) -> np.ndarray:
             add(waiting)
         blocks = counts.reshape(-1, BLOCK)
         some = np.flatnonzero(blocks.any(1))
-        for k in np.array_split(some, -(-len(some) // 128) or 1):
+        for k in np.array_split(some, -(-len(some) // 1024) or 1):
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([row.tobytes() for row in blocks[k]], pa.binary())], names=["block", "counts"])
 
     def summed(batches):
