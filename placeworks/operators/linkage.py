@@ -199,7 +199,11 @@ def duplicate_score(a: str, b: str) -> Column:
 
 
 def duplicate_candidates(records: DataFrame, n: int = 10) -> DataFrame:
-    """The best ``n`` other records for each (E21): pairs come from equality on each key in turn."""
+    """The best ``n`` other records for each (E21): pairs come from equality on each key in turn.
+
+    All records of one value meet, since the address bonus may put any of them first: a value that very many records share, such as a
+    placeholder, belongs into the blank ones beforehand.
+    """
     columns = records.columns
     left, right = records.select(*[F.col(c).alias(f"a_{c}") for c in columns]), records.select(*[F.col(c).alias(f"b_{c}") for c in columns])
     pairs = None
