@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from placeworks.llm import textkit as tk
 from placeworks.llm.components import connected
-from placeworks.llm.membership import bloom, sift
+from placeworks.llm.membership import bloom, hits
 from placeworks.llm.store import written
 
 WORDS, PERCENT = 5, 80
@@ -298,10 +298,11 @@ def _texts(docs: DataFrame, wanted: DataFrame, classes: DataFrame, keys: ClassKe
     few other texts are shuffled. Ids may be null or repeated, so the key of each text left is computed again, and texts are joined on that."""
     reps = written(wanted.join(classes, "key").select("key", F.xxhash64("rep.doc_id", "rep.mark").alias("at")))
     filter_ = docs.sparkSession.sparkContext.broadcast(bloom(reps.select("at"), reps.count()))
-    sifted = sift(docs.select("text", "doc_id"), F.xxhash64("doc_id", F.xxhash64("text")), filter_)
+    hashed = docs.select("text", F.xxhash64("doc_id", F.xxhash64("text")).alias("at"))
 
-    def keyed(batches):
+    def keyed(batches):  # sifts too: a step of its own would be a second Python process for each task
         for b in batches:
+            b = b.filter(pa.array(hits(filter_.value, b.column(1).to_numpy())))
             for first, last, data, offsets in tk.text_slices(b.column(0)):
                 tokens, owner = shingles(data, offsets, words)
                 n = np.bincount(owner, minlength=last - first)
@@ -309,7 +310,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, classes: DataFrame, keys: ClassKe
                 key, at = key[n[at] > 0], at[n[at] > 0]
                 yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).slice(first, last - first).take(pa.array(at))], names=["key", "text"])
 
-    found = sifted.select("text").mapInArrow(keyed, "key long, text string").join(reps.select("key"), "key", "left_semi")
+    found = hashed.mapInArrow(keyed, "key long, text string").join(reps.select("key"), "key", "left_semi")
     return written(found.groupBy("key").agg(F.first("text").alias("text")))
 
 

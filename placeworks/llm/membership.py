@@ -50,7 +50,7 @@ def bloom(hashes: DataFrame, n: int) -> np.ndarray:
     return out.ravel()
 
 
-def _hits(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def hits(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     hit = np.ones(len(hashes), bool)
     for at in _places(hashes, 8 * len(filter_)):
         hit &= (filter_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
@@ -65,7 +65,7 @@ def sift(rows: DataFrame, hash_, filter_, inside: bool = True, innocent=None) ->
         known = innocent.value if innocent is not None else np.zeros(0, np.int64)
         for b in batches:
             h = b.column(b.num_columns - 1).to_numpy()
-            hit = _hits(filter_.value, h)
+            hit = hits(filter_.value, h)
             if len(known):
                 hit &= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h
             yield b.select(list(range(b.num_columns - 1))).filter(pa.array(hit == inside))
