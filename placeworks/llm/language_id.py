@@ -12,16 +12,16 @@ where the best two are close the prediction is marked as not accepted.
 from __future__ import annotations
 
 import math
-import re
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DOCS_PER_LANGUAGE, DICTIONARY_BYTES, BLOCK_BYTES, CONTEXT_BYTES, LEVEL, MIN_MARGIN = 400, 96 << 10, 4096, 256, 6, 0.02
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def normalised(text: str | None) -> bytes:
