@@ -43,23 +43,36 @@ def _count(units: list[str], model: str) -> list[int]:
 _MODEL = None
 
 
-def _hashes(units: pa.Array) -> np.ndarray:
-    parts = [tk.span_hashes(data, offsets[:-1], offsets[1:]) for _, _, data, offsets in tk.text_slices(units)]
-    return np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int = 64) -> np.ndarray:
+    return (tk.span_hashes(data, starts, ends) >> np.uint64(64 - bits)).view(np.int64)
 
 
-def pretoken_counts(units: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """Distinct (unit, freq) in, (u, freq, n_pieces) out; u is the pre-token's 64-bit hash."""
+def _second_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of other bytes, so that spans that share the first hash differ in it."""
+    return tk.mix(tk.span_hashes(data ^ np.uint8(0x55), starts, ends) ^ np.uint64(0xA0761D6478BD642F)).view(np.int64)
+
+
+def pretoken_counts(units: DataFrame, model: str = "piece_bpe_32k.model", hash_bits: int = 64) -> DataFrame:
+    """Distinct (unit, freq) in, (u, v, freq, n_pieces) out; u and v are the pre-token's two 64-bit hashes."""
 
     def counted(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_hashes(b.column(0))), b.column(1), pa.array(_count(b.column(0).to_pylist(), model), pa.int64())], names=["u", "freq", "n_pieces"])
+            for first, last, data, offsets in tk.text_slices(b.column(0)):
+                some = b.slice(first, last - first)
+                hashes = [pa.array(_hashes(data, offsets[:-1], offsets[1:], hash_bits)), pa.array(_second_hashes(data, offsets[:-1], offsets[1:]))]
+                yield pa.RecordBatch.from_arrays([*hashes, some.column(1), pa.array(_count(some.column(0).to_pylist(), model), pa.int64())], names=["u", "v", "freq", "n_pieces"])
+
+    return units.mapInArrow(counted, "u long, v long, freq long, n_pieces long")
+
 
-    return units.mapInArrow(counted, "u long, freq long, n_pieces long")
+def _among(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each value in the sorted array, and whether it is there."""
+    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+    return at, known[at] == h if len(known) else np.zeros(len(h), bool)
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", limit: int = LIMIT) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every row.
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", limit: int = LIMIT, hash_bits: int = 64) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit) of every row. Pre-tokens are told by a hash of ``hash_bits``; those that share theirs by a second one.
 
     A null or empty text has no bytes and no tokens. Rows are counted one by one, whatever their id: repeated
     rows and null ids too. An empty table gives no rows; other columns are ignored.
@@ -68,15 +81,22 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # The marker that stands for a space is a space to the tokenizer.
     spaced = F.concat(F.lit(" "), F.translate("text", "▁", " "))
     units = base.filter(F.col("text") != "").select(F.explode(F.regexp_extract_all(spaced, F.lit(_UNIT), F.lit(0))).alias("unit"))
-    pieces = written(pretoken_counts(units.groupBy("unit").agg(F.count("*").alias("freq")), model))
+    pieces = written(pretoken_counts(units.groupBy("unit").agg(F.count("*").alias("freq")), model, hash_bits))
+    # Of 10^10 distinct pre-tokens about three pairs share a hash: these hashes are known to every task.
+    shared = np.sort(pieces.groupBy("u").count().filter("count > 1").select("u").toArrow()["u"].to_numpy())
+    if len(shared):
+        twice = docs.sparkSession.createDataFrame(pa.table({"u": shared, "shared": np.ones(len(shared), bool)}))
+        pieces = written(pieces.join(F.broadcast(twice), "u", "left").select(F.when(F.col("shared"), F.col("v")).otherwise(F.col("u")).alias("u"), "freq", "n_pieces"))
+        if not pieces.groupBy("u").count().filter("count > 1").isEmpty():
+            raise ValueError("two pre-tokens share both hashes")
     head = pieces.orderBy(F.desc("freq"), "u").limit(HEAD).select("u", "n_pieces").toArrow()
     order = np.argsort(head["u"].to_numpy())
-    common = docs.sparkSession.sparkContext.broadcast((head["u"].to_numpy()[order], head["n_pieces"].to_numpy()[order]))
+    common = docs.sparkSession.sparkContext.broadcast((head["u"].to_numpy()[order], head["n_pieces"].to_numpy()[order], shared))
 
     def frequencies(batches):
         """For each row of the input one row with its id, bytes and the sum over common
         pre-tokens (u: a hash that no pre-token has), and one for each distinct rare pre-token."""
-        known, pieces_of = common.value
+        known, pieces_of, shared = common.value
         row = TaskContext.get().partitionId() << 36
         for b in batches:
             texts = b.column(1)
@@ -91,9 +111,11 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ends = np.append(starts[1:], len(data))
                 doc = np.searchsorted(offsets, starts, "right") - 1
                 real = n_bytes[first:last][doc] > 0
-                h, doc = tk.span_hashes(data, starts, ends)[real].view(np.int64), doc[real]
-                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+                h, doc = _hashes(data, starts, ends, hash_bits)[real], doc[real]
+                again = _among(shared, h)[1]
+                if again.any():
+                    h[again] = _second_hashes(data, starts[real][again], ends[real][again])
+                at, hit = _among(known, h)
                 sums = np.bincount(doc[hit], pieces_of[at[hit]], minlength=n).astype(np.int64)
                 rare, owner = h[~hit], doc[~hit]
                 order = np.lexsort((rare, owner))
@@ -113,9 +135,6 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ], names=["key", "u", "n", "n_bytes", "doc_id", "whole"])
 
     counted = base.mapInArrow(frequencies, "key long, u long, n long, n_bytes long, doc_id long, whole boolean")
-    # Pre-tokens are told by a hash of 64 bits: two of one hash, or one that only this side has, stop the job rather than miscount.
-    if not pieces.groupBy("u").count().filter("count > 1").isEmpty():
-        raise ValueError("two pre-tokens share a hash")
     counted = counted.join(pieces.select("u", "n_pieces"), "u", "left")
     known = F.coalesce("n_pieces", F.raise_error(F.lit("a pre-token was not counted")).cast("long"))
     value = F.col("n") * F.when(F.col("whole"), F.lit(1)).otherwise(known)

@@ -31,6 +31,15 @@ def test_counts_of_odd_texts(frame, odd):
     assert got == expected
 
 
+@pytest.mark.parametrize("bits", [4, 16])
+def test_counts_when_hashes_are_shared(spark, sf_dir, frame, odd, bits):
+    """With a short hash most pre-tokens share theirs with others; the counts are the same."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").union(frame(odd).select("doc_id", "text"))
+    rows = docs.collect()
+    got = sorted((r["doc_id"] or -1, r["n_tokens"]) for r in token_counts.count_tokens(docs, hash_bits=bits).collect())
+    assert got == sorted((r["doc_id"] or -1, n) for r, n in zip(rows, counts([r["text"] or "" for r in rows])))
+
+
 def test_counts_of_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
