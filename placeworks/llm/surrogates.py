@@ -7,8 +7,8 @@
    and script. Surrogates that two units share, or that equal a real unit, are drawn again with another
    attempt number, from a larger space each time once ``ATTEMPTS`` are spent, until all are distinct.
 3. The surrogates are joined to the mentions and those, by the text's hash, to the documents, and the
-   texts are put together from what lies between mentions and the surrogates. Later bare surnames of persons
-   found in a text are replaced too.
+   texts are put together from what lies between mentions and the surrogates. Bare surnames of persons
+   found in a text are replaced too, where the words around them are those of a person.
 
 Only texts with an entity are shuffled, once. Copies of a text share one map of replacements.
 """
@@ -26,13 +26,16 @@ ATTEMPTS, MOST_ATTEMPTS = 6, 40
 
 #: Given names by gender, titles by gender, particles and syllables of surnames, beginnings of keys.
 GIVEN = {
-    ("f", "latin"): "Anna Maria Laura Julia Emma Sofia Clara Helena Elena Lucia Nora Alice Eva Irene Martha Olivia Paula Rosa Sara Teresa Victoria Diana Flora Greta",
-    ("m", "latin"): "John Paul Martin Thomas Peter Daniel David Simon Oscar Hugo Victor Albert Anton Bruno Carl Edgar Felix George Henry Jacob Leo Max Robert Samuel",
+    ("f", "latin"): "Anna Maria Laura Julia Emma Sofia Clara Helena Elena Lucia Nora Alice Eva Irene Martha Olivia Paula Rosa Sara Teresa Victoria Diana Flora Greta Ingrid Astrid Karin Birgit Ursula Monika Petra Sabine Katrin Heike Isabel Carmen Pilar Beatriz Chiara Giulia Francesca Paola Camille Juliette Emily Hannah Rachel Rebecca Susan Linda Karen Nancy Elizabeth Jennifer Jessica Sarah Fatima Aisha",
+    ("m", "latin"): "John Paul Martin Thomas Peter Daniel David Simon Oscar Hugo Victor Albert Anton Bruno Carl Edgar Felix George Henry Jacob Leo Max Robert Samuel Lars Sven Erik Magnus Klaus Dieter Wolfgang Stefan Andreas Matthias Carlos Miguel Javier Diego Pablo Luis Marco Luca Giovanni Alessandro Pierre Jacques Philippe Michael James William Richard Charles Joseph Christopher Anthony Steven Kevin Brian Mohammed Ahmed Omar",
     ("f", "cyrillic"): "Анна Мария Елена Ольга Ирина Наталья Вера Нина Дарья Юлия Софья Тамара",
     ("m", "cyrillic"): "Иван Пётр Павел Сергей Андрей Олег Игорь Антон Борис Виктор Роман Фёдор",
 }
 TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Señora Sra Signora Госпожа", "m": "Mr Herr Monsieur Señor Sr Signor Господин", "n": "Dr Prof"}
 PARTICLES = "von van der den de del della di da do dos du la le zu ter al bin"
+#: Words before which a capitalised word is a thing's name, and words that follow the name of a person, besides those in -ed.
+DETERMINERS = "the a an this that these those his her its my your our their some each every no der die das den dem des ein eine einen einem einer le la les un une el los las una il lo gli"
+AFTER_PERSON = "is was are were has had have will would can could may might must shall should does did and or but who whom whose which with in on at to for from of by as than then not also never always still now said says told tells asked asks wrote writes left came comes went goes gave gives made makes took takes knew knows thought thinks saw sees met meets spoke speaks felt feels kept keeps lost loses won wins sent sends paid pays ran runs read reads got gets let began begins ist war hat hatte wird und oder aber mit kam ging sagte sagt schrieb est était a avait et ou mais dit avec es era ha había y o pero dijo con è aveva ma disse был была есть и или но с сказал сказала"
 KEYS = "sk|pk|ghp|gho|ghs|xox[abp]|AKIA|AIza"
 SYLLABLES = {
     "latin": "ba be bi bo bra bren da del do fa fer ga gol ha hel ka ker la lin lo ma mer mi mon na nel no pa per ra ren ri ro sa sel so ta ter to va vel win",
@@ -53,9 +56,13 @@ PATTERNS = {
     "ip": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{N}]|\.\p{N})",
     "card": r"(?:[0-9]{4}[ -]?){3}[0-9]{1,7}" + _EDGE,
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _EDGE,
-    "phone": r"(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){2,4}|0[1-9](?:[ .-][0-9]{2}){4})" + _EDGE,
+    "phone": r"(?:(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])|\([0-9]{2,4}\)[ .-]?|(?!(?:19|20)[0-9]{2} )[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){2,4}|0[1-9](?:[ .-][0-9]{2}){4})" + _EDGE,
     "person": rf"(?:{_TITLE}(?: (?:{'|'.join(PARTICLES.split())}))*+ {_NAME}{_MORE}*+|{_GIVEN}{_MORE}++)",
 }
+#: Around a bare surname: no determiner before it; after it an end, a mark, or a word that goes on about a person. So a surname that is a
+#: word, too, stays where it is one: "the White House", "a White coat".
+_NO_THING = rf"(?<![\p{{L}}\p{{N}}])(?<!(?<!\p{{L}})(?:{'|'.join(f'[{w[0].upper()}{w[0]}]{w[1:]}' for w in DETERMINERS.split())})\s)"
+_PERSON_GOES_ON = rf"(?=$|['’]|[.,;:!?)\]\"»”](?!\p{{L}})|[\n\r]|\s(?:{'|'.join(AFTER_PERSON.split())}|\p{{Ll}}{{2,}}ed)(?!\p{{L}}))"
 #: A plus sign or bracket may follow other signs; what a number may not follow is another letter or digit.
 ENTITY = r"(?:" + _OUT + r"(?=[\p{L}\p{N}])(?:" + "|".join(PATTERNS.values()) + r")|(?<![\p{L}\p{N}])(?=[+(])" + PATTERNS["phone"] + ")"
 
@@ -270,7 +277,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     made = written(replacements(seen.select("raw").distinct(), key))
     maps = seen.join(made, "raw").groupBy(F.col("hashed").alias(hashed)).agg(F.map_from_entries(F.collect_set(F.struct("raw", "replacement"))).alias(table), F.collect_set("surname").alias(surnames))
     rows = hits.join(written(maps), hashed, "left")
-    alone = lambda name: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), name, F.lit(_EDGE))
+    alone = lambda name: F.concat(F.lit(_NO_THING), name, F.lit(_PERSON_GOES_ON))
     between = F.transform(F.split(text, ENTITY, -1), lambda piece: F.aggregate(surnames, piece, lambda x, s: F.regexp_replace(x, alone(s["old"]), s["new"])))
     mapped = F.transform(mentions, lambda m: F.coalesce(F.element_at(F.col(table), m), m))
     rewritten = F.array_join(F.zip_with(between, mapped, lambda b, m: F.concat(b, F.coalesce(m, F.lit("")))), "")

@@ -375,6 +375,25 @@ def test_surrogates_keep_forms(frame):
     assert got[8]["text"] == rows[7][1]
 
 
+def test_words_that_are_surnames_stay_words(frame):
+    """A bare surname is replaced where a person is meant; the same word stays where a thing is."""
+    rows = [
+        (1, "Mr White wore a White coat in the White House. Ms Rose has a Rose. Later White said no, and so did Rose. I asked White."),
+        (2, "Mr Stone left. Stone walls are old. This Stone is grey; Stone's house was sold, and Stone laughed."),
+        (3, "In 2021 300 4000 were sold, call 2021-300-4000 or +49 2021 300 4000."),
+        (4, "Ingrid Svensson met Lars Holm. Svensson was late, Holm's car broke."),
+        (5, "White paint, Rose gardens and Stone walls without a person."),
+    ]
+    out = {r["doc_id"]: (r["text"], r["found"]) for r in surrogates.pseudonymise(frame(rows), "k", found_col="found").collect()}
+    white, rose = (out[1][1][k].split()[-1] for k in ("Mr White", "Ms Rose"))
+    assert out[1][0] == f"Mr {white} wore a White coat in the White House. Ms {rose} has a Rose. Later {white} said no, and so did {rose}. I asked {white}."
+    stone = out[2][1]["Mr Stone"].split()[-1]
+    assert out[2][0] == f"Mr {stone} left. Stone walls are old. This Stone is grey; {stone}'s house was sold, and {stone} laughed."
+    assert out[3][0].startswith("In 2021 300 4000 were sold, call ") and "2021-300-4000" not in out[3][0] and "2021 300 4000." not in out[3][0]
+    assert "Svensson" not in out[4][0] and "Holm" not in out[4][0]
+    assert out[5] == (rows[4][1], None)
+
+
 def test_surrogates_of_the_table(spark, sf_dir):
     """The query over its whole table: texts are as a plain replacement of the mentions makes them, replacements are
     one to one, and nothing that simpler patterns know is left."""
