@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from placeworks.llm import language_id
 from placeworks.llm import textkit as tk
@@ -197,14 +196,20 @@ def calibrate(net: Network, held: Batches, languages: list[list[str]], weight: t
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, toxic: int, clean: int, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """(doc_id, label, text) of at most ``toxic`` and ``clean`` labelled documents, those of the smallest id hash, and of these so many
-    that their texts are ``sample_bytes`` together. Of a repeated id the smallest text counts; null labels and texts are passed over."""
+    """(doc_id, label, text) of at most ``toxic`` and ``clean`` labelled documents, those of the smallest id hash, as far as their texts fit into
+    ``sample_bytes`` together: a text that does not fit any more is passed over, shorter ones after it still count. Of a repeated id the shortest text
+    counts; null labels and texts are passed over. Only lengths of the bounded sample are looked at together, texts stay where they are."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).distinct()
     some = bounded_rows(known.filter("label = 1"), "doc_id", toxic).unionByName(bounded_rows(known.filter("label = 0"), "doc_id", clean))
-    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    one = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    up_to = Window.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "label").rowsBetween(Window.unboundedPreceding, 0)  # over the bounded sample
-    return one.withColumn("total", F.sum(F.octet_length("text")).over(up_to)).filter(F.col("total") <= sample_bytes).drop("total")
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.octet_length(text_col).alias("bytes"), F.xxhash64(text_col).alias("text_hash"))
+    which = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("bytes", "text_hash")).alias("one"))
+    sizes = which.select("doc_id", "label", "one.*").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "label").toArrow()
+    taken, left = [], sample_bytes
+    for size in sizes["bytes"].to_pylist():
+        taken.append(size <= left)
+        left -= size if taken[-1] else 0
+    picked = docs.sparkSession.createDataFrame(sizes.filter(pa.array(taken, pa.bool_())))
+    return texts.join(F.broadcast(picked), ["doc_id", "bytes", "text_hash"]).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def batched(texts: list[str], y: np.ndarray, size: int = 64) -> Batches:

@@ -18,6 +18,12 @@ def accuracy(spark, query, label):
     return np.mean([r[label] == r["predicted"] for r in rows])
 
 
+def test_signs_that_are_no_letters(spark, frame, sf_dir):
+    rows = [(1, "² ½ Ⅷ ① 12 _"), (2, "ªº"), (3, "² der Hund"), (4, "漢字")]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(frame(rows), language_id.learn(table(spark, sf_dir, "documents"))).collect()}
+    assert got[1] == "und" and "und" not in (got[2], got[3], got[4])
+
+
 def test_quality_held_out(spark):
     assert accuracy(spark, op10_quality, "quality") > 0.95
 
@@ -101,7 +107,12 @@ def test_labelled_texts_are_bounded_by_size_not_by_length(spark, frame):
     rows = [(k, "word " * (10 if k else 40_000)) for k in range(20)]
     labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int")
     assert toxicity.labelled_texts(frame(rows), labels, "doc_id", "text", "toxic", 100, 100).count() == 20
-    assert toxicity.labelled_texts(frame(rows), labels, "doc_id", "text", "toxic", 100, 100, 300).count() <= 6
+    assert toxicity.labelled_texts(frame(rows), labels, "doc_id", "text", "toxic", 100, 100, 300).count() == 6
+    # one text that does not fit, wherever it comes in the order, leaves room for all others
+    for long in range(20):
+        rows = [(k, "word " * (400 if k == long else 5)) for k in range(20)]
+        kept = toxicity.labelled_texts(frame(rows), labels, "doc_id", "text", "toxic", 100, 100, 1000).collect()
+        assert {r["doc_id"] for r in kept} == set(range(20)) - {long}
 
 
 def test_network_beats_log_odds_on_learnable_rows(spark):
