@@ -5,6 +5,10 @@ the generalised path (tags with classes, digits dropped) of its best container.
 with map-side combining, so a host of any size is a few rows per task; only hosts whose pages disagree matter then. Pages are read again and
 the text below the host's winning path is taken, widened to what lies around it unless that is mostly links, so
 headlines, lead paragraphs and smaller sections stay; a page without that path falls back to its own best container.
+
+Within it the names of elements decide only where they say nothing else: "site-notice" is boilerplate, "market-share" and a lone
+"alert" may be. What may be, and what has no telling name, goes if it is mostly links, or if the host repeats it: the texts of containers
+inside the main one are counted by host and path over pages that differ, and a text that most of these pages hold is left out of all of them.
 """
 
 from __future__ import annotations
@@ -13,13 +17,14 @@ import html
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeworks.llm.store import written
 
-#: Hosts whose paths are broadcast at once, about 100 bytes each.
-MAX_HOSTS = 1 << 20
+#: Hosts whose rules are broadcast at once, and their bytes.
+MAX_HOSTS, MAX_BYTES = 1 << 20, 1 << 27
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>", re.S)
 #: A tag with a quote that is never closed ends at the next bracket.
@@ -35,10 +40,19 @@ _LEFT_OUT = frozenset("nav footer aside form menu dialog head header".split())
 _BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th caption hr div section article main body address details summary center html fieldset legend".split())
 _CONTAINER = frozenset("div section article main body td".split())
 _CLOSED_BY = {"p": _BLOCK - {"body", "html"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
-#: Words of class names, ids and roles that mark boilerplate. The first ones do so at the beginning or end of a name, the
-#: others only as a whole name, or where most of the text is links: "related-work" may be part of an article.
+#: Words of class names, ids and roles that mark boilerplate. The first ones and ``_TELLING`` do so if all other words of the name are of these or
+#: ``_NEUTRAL``; a name of ``_UNSURE`` words needs one that speaks of the site, or to stand alone. Any other name with such a word only makes an element suspect: "market-share" and
+#: "related-work" may be parts of an article.
 _SURE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus cookie cookies consent gdpr popup modal newsletter subscribe signup share sharing social pagination pager".split())
-_UNSURE = frozenset("banner header respond reply replies notice notices alert overlay related recommended widget toolbar copyright legal disclaimer skip search login hidden more".split())
+_UNSURE = frozenset("banner header alert overlay related recommended legal hidden more skip search side".split())
+_TELLING = frozenset("respond response responses reply replies notice notices widget widgets toolbar copyright disclaimer login".split())
+_NEUTRAL = frozenset("site page post posts reader readers user users box block slot list item items area section wrap wrapper container inner outer top bottom left right main global bar links link form buttons button icons icon menu text title label content module unit zone panel row col column widget thread count feed sm md lg xs xl js is has fixed sticky mobile desktop primary secondary the".split())
+_ABOUT = frozenset("article articles entry story stories news blog wp fb facebook twitter google x".split())
+_OF_SITE = frozenset("site global posts articles stories links pages".split())
+_UNSURE_ALONE = frozenset("banner overlay related recommended skip search".split())
+#: Text elements are left out by name only if it is one of the sure words.
+_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre figcaption".split())
+REPEATED_ON = 3
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _HEADING = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
@@ -66,9 +80,14 @@ def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
         words = [w for w in re.split(r"[_-]+|\d+", name) if w]
         if not words:
             continue
-        if words[0] in _SURE or words[-1] in _SURE or len(words) == 1 and words[0] in _UNSURE:
+        known = [w for w in words if w in _SURE or w in _TELLING]
+        rest = [w for w in words if w not in _SURE and w not in _TELLING]
+        unsure = [w for w in rest if w in _UNSURE]
+        if known and all(w in _NEUTRAL or w in _UNSURE or w in _ABOUT for w in rest):
+            marked = True
+        elif unsure and tag not in _TEXT_TAGS and (len(words) == 1 and words[0] in _UNSURE_ALONE or len(words) > 1 and all(w in _OF_SITE or w in _UNSURE for w in words)):
             marked = True
-        elif any(w in _UNSURE or w in _SURE for w in words):
+        elif known or unsure:
             suspect = True
     return label, marked, suspect
 
@@ -238,38 +257,86 @@ def host_of(url) -> F.Column:
     return F.regexp_replace(host, r"^(?:www|m)\.", "")
 
 
-def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path) of the hosts whose pages do not agree: the path that most of the pages vote for, by votes, score, name. Where
-    all pages of a host vote for one path each of them knows it, so such hosts have no row."""
+def inner_texts(found, region: str) -> dict[str, int]:
+    """Hash of the text in each container path below ``region``, of paths that hold less than half of its text."""
+    parts: dict[str, list[str]] = {}
+    for node, text, _ in found:
+        while node.parent and node.path != region:
+            if node.path.startswith(region + "/") and node.tag in _CONTAINER:
+                parts.setdefault(node.path, []).append(text)
+            node = node.parent
+    whole = sum(len(text) for node, text, _ in found if node.path == region or node.path.startswith(region + "/"))
+    return {path: _hash("\n".join(texts)) for path, texts in parts.items() if 2 * sum(map(len, texts)) < whole}
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
+def without_repeated(found, region: str, repeated: set[tuple[str, int]]):
+    """The blocks that are in no container whose path and text are in ``repeated``."""
+    gone = {path for path, text in inner_texts(found, region).items() if (path, text) in repeated} if repeated else set()
+
+    def stays(node):
+        while node:
+            if node.path in gone:
+                return False
+            node = node.parent
+        return True
+
+    return [x for x in found if stays(x[0])] if gone else found
+
+
+def host_rules(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, path, repeated) of the hosts that need any: the path that most of the pages vote for, by votes, score, name, null where
+    all pages of a host vote for one path, as each of them knows it then; and the paths and texts of inner containers that are the
+    same on most of the pages that have the path, on ``REPEATED_ON`` at least. Pages of equal main text count once."""
 
     def votes(batches):
         for b in batches:
-            found = [best_path(blocks(x.as_py() or "")) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["host", "path", "score"])
-
-    seen = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(votes, "host string, path string, score double")
-    counted = seen.filter("path != ''").groupBy("host", "path").agg(F.count("*").alias("votes"), F.round(F.sum("score")).alias("score"))
+            rows = []
+            for host, page in zip(b.column(0).to_pylist(), b.column(1)):
+                found = blocks(page.as_py() or "")
+                path, score = best_path(found)
+                region = widened(found, path) if path else ""
+                inner = inner_texts(found, region) if path else {}
+                rows.append((host, path, score, None, None))
+                main = _hash(text_below(without_repeated(found, region, set(inner.items())), region)) if inner else 0
+                rows += [(host, p, None, t, main) for p, t in inner.items()]
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            kinds = (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "path", "score", "text", "page"])
+
+    seen = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(votes, "host string, path string, score double, text long, page long")
+    seen = written(seen.filter("path != ''"))
+    counted = seen.filter("text is null").groupBy("host", "path").agg(F.count("*").alias("votes"), F.round(F.sum("score")).alias("score"))
     by_host = counted.groupBy("host").agg(F.max_by("path", F.struct("votes", "score", "path")).alias("path"), F.count("*").alias("paths"))
-    return by_host.filter("paths > 1").select("host", "path")
+    texts = seen.filter("text is not null").select("host", "path", "text", "page").distinct().groupBy("host", "path", "text").agg(F.count("*").alias("n"))
+    most = texts.groupBy("host", "path").agg(F.sum("n").alias("n"), F.max(F.struct("n", "text")).alias("most"))
+    same = most.filter((F.col("most.n") >= REPEATED_ON) & (2 * F.col("most.n") > F.col("n"))).groupBy("host").agg(F.collect_list(F.struct("path", F.col("most.text").alias("text"))).alias("repeated"))
+    return by_host.filter("paths > 1").select("host", "path").join(same, "host", "full")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_hosts: int = MAX_HOSTS) -> DataFrame:
     """(page_id, url, text, n_chars, path) of every row; ``path`` is that of the container the text was found by, null if there is no text.
 
     A null or empty page, or one without text, has an empty text. Pages without a readable host share the
-    empty host. Repeated rows give repeated results, an empty table none; other columns are ignored. Pages are not shuffled: the paths of
-    disputed hosts are broadcast, ``max_hosts`` at once; pages of a host beyond that are read by a pass of their own.
+    empty host. Repeated rows give repeated results, an empty table none; other columns are ignored. Pages are not shuffled: the rules of
+    hosts that have any are broadcast, ``max_hosts`` and ``MAX_BYTES`` at once; pages of a host beyond that are read by a pass of their own.
     """
-    winners = written(host_paths(pages, url_col, html_col))
-    passes = max(1, -(-winners.count() // max_hosts))
+    rules = written(host_rules(pages, url_col, html_col))
+    size = F.length(F.coalesce("path", F.lit(""))) + F.aggregate(F.coalesce("repeated", F.array().cast("array<struct<path:string,text:bigint>>")), F.lit(100), lambda n, x: n + 100 + F.length(x["path"]))
+    n, n_bytes = rules.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    passes = max(1, -(-n // max_hosts), -(-n_bytes // MAX_BYTES))
 
     def read(batches):
         for b in batches:
             texts, paths = [], []
-            for page, path in zip(b.column(2), b.column(3).to_pylist()):
+            for page, path, repeated in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 found = blocks(page.as_py() or "")
                 here = path if path and text_below(found, path) else best_path(found)[0]
-                texts.append(text_below(found, widened(found, here)))
+                region = widened(found, here)
+                texts.append(text_below(without_repeated(found, region, {(x["path"], x["text"]) for x in repeated or []}), region))
                 paths.append(here if texts[-1] else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(paths, pa.string())], names=["page_id", "url", "text", "n_chars", "path"])
 
@@ -277,7 +344,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     out = None
     for k in range(passes):
         mine = F.pmod(F.xxhash64("host"), F.lit(passes)) == k
-        some, own = (rows.filter(mine), winners.filter(mine)) if passes > 1 else (rows, winners)
-        found = some.join(F.broadcast(own), "host", "left").select("page_id", "url", "html", "path").mapInArrow(read, "page_id long, url string, text string, n_chars long, path string")
+        some, own = (rows.filter(mine), rules.filter(mine)) if passes > 1 else (rows, rules)
+        found = some.join(F.broadcast(own), "host", "left").select("page_id", "url", "html", "path", "repeated").mapInArrow(read, "page_id long, url string, text string, n_chars long, path string")
         out = found if out is None else out.unionByName(found)
     return out

@@ -66,6 +66,32 @@ def test_nothing_of_an_article_is_dropped(spark):
     assert got == {k: "\n".join([long.strip(), *x]) for k, x in enumerate([*([v] for v in kept.values()), *([] for _ in dropped)])}
 
 
+def test_names_that_also_mean_something_else(spark):
+    """Names whose words say more than boilerplate keep their element; names of nothing else lose it."""
+    long = "long text " * 40
+    kept = ["section class=market-share", "div class=social-science", "section id=sharing-economy", "section class=menu-prices", "section id=comment-on-law", "h2 class=header", "p class=more", "div class=alert", "div class=article-header", "div class=entry-content"]
+    gone = ["div class=site-notice", "section class=reader-responses", "div class=article-comments", "div class='share-buttons'", "div id=ad-300x250", "div class=related-articles", "ul class=main-menu", "div class=newsletter-signup", "section class=post-replies", "div class=site-header"]
+    rows = [(k, f"https://n{k}.example", f"<body><article><p>{long}</p><{x}>Some words here.</{x.split()[0]}></article></body>") for k, x in enumerate(kept + gone)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: long.strip() + ("\nSome words here." if k < len(kept) else "") for k in range(len(rows))}
+
+
+def test_what_a_host_repeats_is_left_out(spark):
+    """A box without a telling name goes where most differing pages of its host hold the same text in it; copies of a page count once,
+    and a box at the same place with another text stays."""
+    story = lambda k: f"<div class=col><p>{f'story {k} ' * 60}</p></div>"
+    box = lambda text: f"<div class=extra><p>{text}</p></div>"
+    rows = [(k, f"https://h.example/{k}", f"<body><article>{story(k)}{box('Call us any time, all days.')}</article></body>") for k in range(4)]
+    rows += [(4, "https://h.example/4", f"<body><article>{story(4)}{box('A part of this story only.')}</article></body>")]
+    rows += [(10 + k, "https://copies.example/", f"<body><article>{story(10)}{box('Part of the copied story.')}</article></body>") for k in range(5)]
+    rows += [(20 + k, f"https://two.example/{k}", f"<body><article>{story(20 + k)}{box('Said on two pages only.')}</article></body>") for k in range(2)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), max_hosts=1).collect()}
+    text = lambda k: f"story {k} " * 60
+    want = {k: text(k).strip() for k in range(4)} | {4: text(4).strip() + "\nA part of this story only."}
+    want |= {10 + k: text(10).strip() + "\nPart of the copied story." for k in range(5)} | {20 + k: text(20 + k).strip() + "\nSaid on two pages only." for k in range(2)}
+    assert got == want
+
+
 def test_broken_pages_take_linear_time():
     import time
 
