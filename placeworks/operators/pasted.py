@@ -83,3 +83,28 @@ def opening_hours_text(raw: Column, by_day: Column) -> Column:
         return pa.array([one(r, d) for r, d in zip(raw.to_pylist(), by_day.to_pylist())], pa.string())
 
     return F.arrow_udf(read, "string")(raw, by_day)
+
+
+SCHEDULE = "map<string,struct<closed:boolean,open:string,close:string,break_enabled:boolean,break_start:string,break_end:string>>"
+_SCHEDULE = pa.map_(pa.string(), pa.struct([("closed", pa.bool_()), ("open", pa.string()), ("close", pa.string()), ("break_enabled", pa.bool_()), ("break_start", pa.string()), ("break_end", pa.string())]))
+
+
+def schedule(raw: Column) -> Column:
+    """Opening, closing and break by day (X03): of a day's services the first two make a break, unless one ends where the other begins; days that are named as
+    closed are there without times."""
+
+    def one(raw: str | None) -> list[tuple[str, dict]]:
+        week, closed, _ = clauses.opening(raw or "")
+        out = []
+        for day in clauses.DAYS:
+            services = week.get(day, [])[:2]
+            rests = len(services) == 2 and services[0].closes != services[1].opens
+            if services or day in closed:
+                times = {"open": services[0].opens, "close": services[-1].closes, "break_enabled": rests} if services else {"break_enabled": False}
+                out.append((day, {"closed": not services, **times, **({"break_start": services[0].closes, "break_end": services[1].opens} if rests else {})}))
+        return out
+
+    def read(raw: pa.Array) -> pa.Array:
+        return pa.array([one(x) for x in raw.to_pylist()], _SCHEDULE)
+
+    return F.arrow_udf(read, SCHEDULE)(raw)
