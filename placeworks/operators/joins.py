@@ -17,14 +17,31 @@ def with_counts(left: DataFrame, events: DataFrame, key: str, name: str, agg: Co
     return left.join(counts, key, "left").fillna(0, [name])
 
 
-def within_windows(instants: DataFrame, windows: DataFrame, minutes: int = 30) -> DataFrame:
+def pairs_of_groups(rows: DataFrame, keys: list[str], id_col: str = "id", chunk: int = 1000) -> DataFrame:
+    """Pairs of rows that agree in ``keys``, the smaller id first, as a and b (structs of the rows). All pairs are the result; what a hot value would bring
+    into one task is split: its rows are dealt into chunks of about ``chunk`` by the hash of their id, and each pair of chunks is a key of its own."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).cast("int").alias("_chunks"))
+    dealt = rows.join(sizes, keys).withColumn("_own", F.pmod(F.xxhash64(id_col), F.col("_chunks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda k: F.struct(F.least("_own", k).alias("x"), F.greatest("_own", k).alias("y")))
+    side = lambda name: dealt.select(*keys, "_own", F.explode(others).alias("_met"), F.struct(*rows.columns).alias(name))
+    a, b = side("a"), side("b").withColumnRenamed("_own", "_other")
+    met = a.join(b, [*keys, "_met"]).filter(F.col(f"a.{id_col}") < F.col(f"b.{id_col}"))
+    # rows of one chunk meet in the key of that chunk alone
+    return met.filter((F.col("_own") != F.col("_other")) | (F.col("_met.x") == F.col("_met.y"))).select("a", "b")
+
+
+def within_windows(instants: DataFrame, windows: DataFrame, minutes: int = 30, keys: tuple[str, ...] = ()) -> DataFrame:
     """Instants (weekday, minute) joined to the windows that hold them (J08): equality on the weekday and on slots of so many minutes, of which a window
-    has each that it touches, with the range as residual; so there are as many keys as slots of the week, and a window meets only instants near it."""
+    has each that it touches, with the range as residual; so there are as many keys as slots of the week, and a window meets only instants near it. ``keys`` must agree too, such as
+    the shop whose windows they are. The windows' opening and closing come along."""
     slots = F.sequence(F.floor(F.col("opens") / minutes), F.floor((F.col("closes") - 1) / minutes))
     w = windows.filter("opens < closes").withColumn("_slot", F.explode(slots)).alias("w")
     i = instants.withColumn("_slot", F.floor(F.col("minute") / minutes)).alias("i")
-    found = i.join(w, (F.col("i.weekday") == F.col("w.weekday")) & (F.col("i._slot") == F.col("w._slot")) & (F.col("w.opens") <= F.col("i.minute")) & (F.col("i.minute") < F.col("w.closes")))
-    return found.select("i.*", "w.shop_id").drop("_slot")
+    on = (F.col("i.weekday") == F.col("w.weekday")) & (F.col("i._slot") == F.col("w._slot")) & (F.col("w.opens") <= F.col("i.minute")) & (F.col("i.minute") < F.col("w.closes"))
+    for key in keys:
+        on = on & (F.col(f"i.{key}") == F.col(f"w.{key}"))
+    found = i.join(w, on)
+    return found.select("i.*", *[f"w.{c}" for c in ("shop_id", "opens", "closes") if c not in keys]).drop("_slot")
 
 
 def count_windows(instants: DataFrame, windows: DataFrame, name: str) -> DataFrame:

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from placeworks.functions.text import bigrams, common_suffix_length, dice, floors, name_variants
+from placeworks.operators.joins import contained_in
+from placeworks.operators.similar import dice_pairs
 
 BLOCK_CAP, RARE_BLOCKS, CANDIDATES = 200, 6, 25
+#: Records of one street that all meet; of larger ones only those whose names can score. Records of one value that all meet as duplicates.
+STREET_ROWS, HOT_ROWS, LEAST_LIKE = 2000, 1000, 0.3
 
 
 def prepared(records: DataFrame) -> DataFrame:
@@ -72,11 +76,27 @@ def confidence(name_a: Column, name_b: Column, address_a: Column, address_b: Col
     return F.when(blank, 0).otherwise(F.coalesce(score, F.lit(0)))
 
 
-def candidate_pairs(targets: DataFrame, rows: DataFrame, cap: int = BLOCK_CAP, rare: int = RARE_BLOCKS) -> DataFrame:
+def street_pairs(targets: DataFrame, rows: DataFrame, street_rows: int = STREET_ROWS) -> DataFrame:
+    """(target, row) of one street. In a street of up to ``street_rows`` records all meet. In a larger one the street alone
+    scores nothing: a pair needs a name variant in common or bigrams alike by ``LEAST_LIKE``, and those are found by equality on variants and by
+    the similarity join within the street, so no street is a group."""
+    both = targets.select("id", "street", "name").unionByName(rows.select("id", "street", "name"))
+    large = both.groupBy("street").count().filter(F.col("count") > street_rows).select("street")
+    small = lambda df: df.join(large, "street", "left_anti").select("id", "street")
+    near = small(targets).withColumnRenamed("id", "target").join(small(rows).withColumnRenamed("id", "row"), "street").select("target", "row")
+    variants = lambda df: df.join(large, "street", "left_semi").select("id", "street", F.explode(F.array_distinct(name_variants(F.col("name")))).alias("text"))
+    t, r = variants(targets).withColumnRenamed("id", "target"), variants(rows).withColumnRenamed("id", "row")
+    alike = dice_pairs(t.select("street", "text").unionByName(r.select("street", "text")), LEAST_LIKE, within=("street",))
+    ways = alike.select("street", F.col("a").alias("text"), F.col("b").alias("other")).unionByName(alike.select("street", F.col("b").alias("text"), F.col("a").alias("other")))
+    found = t.join(ways, ["street", "text"]).join(r.withColumnRenamed("text", "other"), ["street", "other"]).select("target", "row")
+    return near.unionByName(t.join(r, ["street", "text"]).select("target", "row")).unionByName(found)
+
+
+def candidate_pairs(targets: DataFrame, rows: DataFrame, cap: int = BLOCK_CAP, rare: int = RARE_BLOCKS, street_rows: int = STREET_ROWS) -> DataFrame:
     """(target, row, exact): pairs worth scoring.
 
     A target whose (name, address) some row has is paired with those alone. Others meet rows of the same (name, city), of the same
-    street, and of their ``rare`` rarest (city, bigram) blocks, of each of which the first ``cap`` rows by id count: the
+    street (``street_pairs``), and of their ``rare`` rarest (city, bigram) blocks, of each of which the first ``cap`` rows by id count: the
     one cap the method itself has.
     """
     t, r = targets.alias("t"), rows.alias("r")
@@ -84,7 +104,7 @@ def candidate_pairs(targets: DataFrame, rows: DataFrame, cap: int = BLOCK_CAP, r
     exact = t.filter(keyed).join(r, (F.col("t.name") == F.col("r.name")) & (F.col("t.address") == F.col("r.address"))).select(F.col("t.id").alias("target"), F.col("r.id").alias("row"))
     rest = targets.join(exact.select(F.col("target").alias("id")).distinct(), "id", "left_anti").filter((F.col("name") != "") & (F.col("address") != ""))
     named = rest.alias("t").join(r, (F.col("t.name") == F.col("r.name")) & (F.col("t.city") == F.col("r.city"))).select(F.col("t.id").alias("target"), F.col("r.id").alias("row"))
-    near = rest.alias("t").join(r, F.col("t.street") == F.col("r.street")).select(F.col("t.id").alias("target"), F.col("r.id").alias("row"))
+    near = street_pairs(rest, rows, street_rows)
     grams = lambda df: df.select("id", "city", F.posexplode(bigrams(F.col("name"))).alias("pos", "gram"))
     blocks = grams(rows)
     sizes = blocks.groupBy("city", "gram").agg(F.count("*").alias("n"))
@@ -198,22 +218,52 @@ def duplicate_score(a: str, b: str) -> Column:
     return add(same("place_id"), 100) + add(same("phone"), 60) + add(same("name"), 40) + add(same("address"), 40) + add(same("name_key"), 30) + address + F.when(c(b, "approved"), 5).when(c(b, "rejected"), 1).otherwise(0)
 
 
-def duplicate_candidates(records: DataFrame, n: int = 10) -> DataFrame:
+KEYS = ("place_id", "phone", "name", "address", "name_key", "address_key")
+
+
+def duplicate_candidates(records: DataFrame, n: int = 10, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The best ``n`` other records for each (E21): pairs come from equality on each key in turn.
 
-    All records of one value meet, since the address bonus may put any of them first: a value that very many records share, such as a
-    placeholder, belongs into the blank ones beforehand.
+    All records of a value meet if it has up to ``hot_rows``. Of a hotter value, and of each combination of hot values, only the ``n`` + 1
+    records matter whose own part of the score is highest, smaller ids first: who shares the same hot values and nothing else ranks behind them. The one
+    other part of the score, an address within the other, is found by a join on containment, and there too the first ``n`` + 1 of each address are enough.
     """
     columns = records.columns
+    hot = records.select("id")
+    for key in KEYS:
+        sizes = records.filter(F.col(key) != "").groupBy(key).count().filter(F.col("count") > hot_rows).select(F.col(key))
+        hot = hot.join(records.select("id", key).join(sizes, key).select("id", F.col(key).alias(f"v_{key}")), "id", "left")
+    known = records.join(hot, "id")
     left, right = records.select(*[F.col(c).alias(f"a_{c}") for c in columns]), records.select(*[F.col(c).alias(f"b_{c}") for c in columns])
     pairs = None
-    for branch, key in enumerate(("place_id", "phone", "name", "address", "name_key", "address_key")):
-        found = left.join(right, (F.col(f"a_{key}") == F.col(f"b_{key}")) & (F.col(f"a_{key}") != "") & (F.col("a_id") != F.col("b_id"))).select("a_id", "b_id", F.lit(branch).alias("branch"))
+    for key in KEYS:
+        cold = known.filter(F.col(f"v_{key}").isNull() & (F.col(key) != "")).select("id", key)
+        found = cold.withColumnRenamed("id", "a_id").join(cold.withColumnRenamed("id", "b_id"), key).filter("a_id != b_id").select("a_id", "b_id")
         pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = pairs.groupBy("a_id", "b_id").agg(F.min("branch").alias("branch"))
+    # every combination of a record's hot values: at most 2^6 - 1, and for most records none
+    some = F.filter(F.array(*[F.when(F.col(f"v_{k}").isNotNull(), F.concat(F.lit(f"{j}|"), F.col(f"v_{k}"))) for j, k in enumerate(KEYS)]), lambda x: x.isNotNull())
+    empty = F.array(F.array().cast("array<string>"))
+    subsets = F.filter(F.aggregate(some, empty, lambda all_, x: F.concat(all_, F.transform(all_, lambda s: F.concat(s, F.array(x))))), lambda s: F.size(s) > 0)
+    own = F.when(F.col("approved"), 5).when(F.col("rejected"), 1).otherwise(0)
+    grouped = known.filter(F.size(some) > 0).select("id", own.alias("own"), "address_key", F.explode(subsets).alias("values"))
+    first = lambda df, by, name: df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("own"), "id"))).filter(F.col(name) <= n + 1)
+    best = first(grouped, ["values"], "nth").select("values", F.col("id").alias("b_id"))
+    members = grouped.select(F.col("id").alias("a_id"), "values", "address_key")
+    pairs = pairs.unionByName(members.join(best, "values").filter("a_id != b_id").select("a_id", "b_id"))
+    addresses = grouped.filter(F.col("address_key") != "")
+    texts = addresses.select(F.col("address_key").alias("text")).distinct()
+    within = contained_in(texts, texts).filter("whole != part")
+    ways = within.select(F.col("whole").alias("address_key"), F.col("part").alias("other")).unionByName(within.select(F.col("part").alias("address_key"), F.col("whole").alias("other")))
+    by_address = first(addresses, ["values", "address_key"], "nth").select("values", F.col("address_key").alias("other"), "own", "id")
+    shown = members.select("values", "address_key").distinct().join(ways, "address_key").join(by_address, ["values", "other"])
+    shown = first(shown, ["values", "address_key"], "nth").select("values", "address_key", F.col("id").alias("b_id"))
+    pairs = pairs.unionByName(members.join(shown, ["values", "address_key"]).filter("a_id != b_id").select("a_id", "b_id")).distinct()
     scored = pairs.join(left, "a_id").join(right, "b_id").withColumn("score", duplicate_score("a_", "b_"))
+    same = lambda k: (F.col(f"a_{k}") == F.col(f"b_{k}")) & (F.col(f"a_{k}") != "")
+    branch = F.coalesce(*[F.when(same(k), F.lit(j)) for j, k in enumerate(KEYS)])
     w = Window.partitionBy("a_id").orderBy(F.desc("score"), "branch", "b_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(F.col("a_id").alias("id"), F.col("b_id").alias("other"), "branch", "score", "rank")
+    ranked = scored.withColumn("branch", branch).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return ranked.select(F.col("a_id").alias("id"), F.col("b_id").alias("other"), "branch", "score", "rank")
 
 
 def approval_blocked(waiting: DataFrame, shops: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placeworks.functions.text import bigrams, dice, similarity
+from placeworks.operators import joins as J
 from placeworks.operators import linkage as L
 from placeworks.operators import ranking as R
-from placeworks.operators import review
+from placeworks.operators import review, similar
 from placeworks.plans.registry import query
 from placeworks.plans.roles import Tables
 
@@ -22,9 +23,25 @@ def t14_bigrams(t: Tables):
     return t.record.select("id", F.size(bigrams(name)).cast("long").alias("n"))
 
 
+_NAMED = f"r AS (SELECT *, {_GRAMS.format(c='name')} AS g FROM b_record WHERE length(name) >= 2 AND NOT regexp_full_match(name, '[\\s　]*'))"
+
+
+def _named(t: Tables):
+    r = t.record.filter(F.length("name") >= 2).filter(~F.col("name").rlike("^[\\s　]*$"))
+    return r.withColumn("g", bigrams(F.col("name")))
+
+
+@query(f"WITH {_NAMED} SELECT a.id AS a, b.id AS b, CAST(floor({_DICE} * 1000 + 0.5e0) AS BIGINT) AS x1000 FROM r a JOIN r b ON a.city = b.city AND a.street = b.street AND a.id < b.id")
+def t15_dice(t: Tables):
+    """Similarity of all records of one city and street."""
+    pairs = J.pairs_of_groups(_named(t), ["city", "street"])
+    like = F.when(F.col("a.name") == F.col("b.name"), 1.0).otherwise(dice(F.col("a.g"), F.col("b.g")))
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.floor(like * 1000 + 0.5).cast("long").alias("x1000"))
+
+
 @query(f"""WITH r AS (SELECT *, {_GRAMS.format(c='name')} AS g FROM b_record WHERE length(name) >= 2 AND NOT regexp_full_match(name, '[\\s　]*')) SELECT a.id AS a, b.id AS b, CAST(floor({_DICE} * 1000 + 0.5e0) AS BIGINT) AS x1000
 FROM r a JOIN r b ON a.id = b.id - 1""")
-def t15_dice(t: Tables):
+def t15_neighbours(t: Tables):
     """Similarity of each record and the next by id."""
     r = t.record.filter(F.length("name") >= 2).filter(~F.col("name").rlike("^[\\s　]*$"))
     g = r.withColumn("g", bigrams(F.col("name")))
@@ -33,6 +50,26 @@ def t15_dice(t: Tables):
     return a.join(b, F.col("a.id") == F.col("b.before")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.floor(like * 1000 + 0.5).cast("long").alias("x1000"))
 
 
+_SETS = f"SELECT id, name, {_GRAMS.format(c='name')} AS g FROM (SELECT min(id) AS id, name FROM b_record WHERE length(name) >= 2 GROUP BY name)"
+
+
+@query(f"""WITH s AS ({_SETS}) SELECT a.id AS a, b.id AS b, CAST(floor(2000.0e0 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)) + 0.5e0) AS BIGINT) AS x1000
+FROM s a JOIN s b ON a.name < b.name AND 2.0e0 * least(len(a.g), len(b.g)) >= 0.8e0 * (len(a.g) + len(b.g)) - 1e-9 WHERE 2.0e0 * len(list_intersect(a.g, b.g)) >= 0.8e0 * (len(a.g) + len(b.g)) - 1e-9""")
+def e22_similar_names(t: Tables):
+    """All pairs of distinct names whose bigrams are alike by 0.8 or more, by the smallest id of each."""
+    first = lambda c: t.record.groupBy("name").agg(F.min("id").alias(c)).withColumnRenamed("name", f"{c}_name")
+    pairs = similar.dice_pairs(t.record.select(F.col("name").alias("text")), 0.8).withColumnsRenamed({"a": "x_name", "b": "y_name"})
+    return pairs.join(first("x"), "x_name").join(first("y"), "y_name").select(F.col("x").alias("a"), F.col("y").alias("b"), F.floor(F.col("dice") * 1000 + 0.5).cast("long").alias("x1000"))
+
+
+@query(f"""WITH s AS ({_SETS}), p AS (SELECT a.name AS x, b.name AS y FROM s a JOIN s b ON a.name <> b.name AND 2.0e0 * least(len(a.g), len(b.g)) >= 0.8e0 * (len(a.g) + len(b.g)) - 1e-9
+WHERE 2.0e0 * len(list_intersect(a.g, b.g)) >= 0.8e0 * (len(a.g) + len(b.g)) - 1e-9), q AS (SELECT x, min(id) AS near FROM p JOIN s ON s.name = y GROUP BY x),
+e AS (SELECT r.id, least((SELECT min(o.id) FROM b_record o WHERE o.name = r.name AND o.id <> r.id), near) AS other FROM b_record r LEFT JOIN q ON x = r.name) SELECT id, other FROM e WHERE other IS NOT NULL""")
+def e22_first_similar(t: Tables):
+    """For each record the smallest other one of an equal or similar name: the last step of the cascade, over all records."""
+    return similar.first_similar(t.record.select("id", F.col("name").alias("text")), 0.8)
+
+
 def _sides(t: Tables):
     """Even records are the catalogue, odd ones the file."""
     r = t.record.withColumn("name", F.regexp_replace("name", r"[\s　]+", "")).withColumn("address", F.concat(F.coalesce("city", F.lit("?")), F.lit("|1-2")))

@@ -275,9 +275,18 @@ def j05_anti(t: Tables):
     return t.shop.join(t.click, "shop_id", "left_anti").select("shop_id")
 
 
+@query("""WITH i AS (SELECT event_id, user_id AS shop_id, CAST(dayofweek(ts) AS INTEGER) AS weekday, CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS minute FROM b_event)
+SELECT event_id, w.shop_id, CAST(opens AS INTEGER) AS opens, CAST(closes AS INTEGER) AS closes FROM i JOIN b_window w ON i.shop_id = w.shop_id AND i.weekday = w.weekday AND opens <= i.minute AND i.minute < closes""")
+def j08_interval_join(t: Tables):
+    """Events against the hours of their shop: the windows it was open in at that moment, all of both."""
+    instants = t.event.select("event_id", F.col("user_id").alias("shop_id"), (F.dayofweek("ts") - 1).alias("weekday"), (F.hour("ts") * 60 + F.minute("ts")).alias("minute"))
+    found = J.within_windows(instants, exploded(t.hours), keys=("shop_id",))
+    return found.select("event_id", "shop_id", F.col("opens").cast("int").alias("opens"), F.col("closes").cast("int").alias("closes"))
+
+
 @query("""WITH i AS (SELECT p_partkey, CAST(p_partkey % 7 AS INTEGER) AS weekday, CAST(p_partkey * 11 % 1440 AS INTEGER) AS minute FROM part), w AS (SELECT c_custkey AS shop_id, CAST(c_custkey % 7 AS INTEGER) AS weekday, CAST(c_custkey * 17 % 1400 AS INTEGER) AS opens, CAST(c_custkey * 17 % 1400 + 1 + c_custkey % 30 AS INTEGER) AS closes FROM customer)
 SELECT p_partkey, w.shop_id FROM i JOIN w ON i.weekday = w.weekday AND opens <= i.minute AND i.minute < closes""")
-def j08_interval_join(t: Tables):
+def j08_short_windows(t: Tables):
     """Instants against short windows, all of both."""
     k, c = F.col("p_partkey"), F.col("c_custkey")
     instants = t.base("part").select(k, (k % 7).cast("int").alias("weekday"), (k * 11 % 1440).cast("int").alias("minute"))
