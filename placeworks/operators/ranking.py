@@ -127,3 +127,10 @@ def related(shops: DataFrame, articles: DataFrame, n: int = 3) -> DataFrame:
 def in_rank_order(rows: DataFrame, ranked: DataFrame, key: str) -> DataFrame:
     """Rows of ranked keys with their rank, in its order."""
     return ranked.select(key, "rank").join(rows, key).orderBy("rank")
+
+
+def rarest_blocks(blocks: DataFrame, key: str, by: list[str], n: int, counted: DataFrame | None = None) -> DataFrame:
+    """For each ``key`` its ``n`` rarest blocks ``by`` (W07), counted over ``counted`` or the blocks themselves; ties go by the block. Blocks that
+    ``counted`` does not have are left out."""
+    sizes = (blocks if counted is None else counted).groupBy(*by).agg(F.count("*").alias("block_rows"))
+    return top_by(blocks.join(sizes, by), key, n, [F.asc("block_rows"), *[F.asc(c) for c in by]])

@@ -15,9 +15,11 @@ from placeworks.operators import merging as M
 from placeworks.operators import predicates as P
 from placeworks.operators import review
 from placeworks.operators.joins import first_rule_join
+from placeworks.operators.ranking import rarest_blocks
 from placeworks.operators.weekly import per_schedule
 from placeworks.plans.registry import query
 from placeworks.plans.roles import Tables
+from placeworks.streaming import earliest_visits, trailing_counts
 
 
 def _k():
@@ -273,9 +275,20 @@ SELECT id, gram FROM (SELECT id, gram, row_number() OVER (PARTITION BY id ORDER
 def w07_rarest_blocks(t: Tables):
     """The two rarest grams of each name within its city."""
     grams = t.base("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("city"), F.explode(T.bigrams(F.col("p_name"))).alias("gram"))
-    sizes = grams.groupBy("city", "gram").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("id").orderBy("n", "gram")
-    return grams.join(sizes, ["city", "gram"]).withColumn("k", F.row_number().over(w)).filter("k <= 2").select("id", "gram")
+    return rarest_blocks(grams, "id", ["city", "gram"], 2).select("id", "gram")
+
+
+@query("""SELECT CAST(d + n AS DATE) AS day, CAST(sum(c) AS BIGINT) AS n FROM (SELECT CAST(created_at AS DATE) AS d, count(*) AS c FROM b_view GROUP BY 1), (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS n) GROUP BY 1""")
+def r04_trailing_views(t: Tables):
+    """Views of the seven days before each day, by the same expression as on a stream; ``tests/test_streaming.py`` runs that with late events."""
+    return trailing_counts(t.view.withColumn("created_at", F.col("created_at").cast("timestamp")), 7)
+
+
+@query("SELECT shop_id, visitor, CAST(created_at AS DATE) AS day, min(created_at) AS first_at FROM b_view WHERE NOT is_bot GROUP BY ALL")
+def r01_earliest_views(t: Tables):
+    """The earliest view of each visitor, shop and day, by the event-time expression of the stream."""
+    views = t.view.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return earliest_visits(views, keys=["shop_id", "visitor"]).select("shop_id", "visitor", "day", F.col("created_at").cast("timestamp_ntz").alias("first_at"))
 
 
 @query("SELECT CAST(created_at AS DATE) AS day, count(*) AS n FROM b_view GROUP BY 1 ORDER BY 1")
@@ -329,6 +342,37 @@ def s05_guessed_header(t: Tables):
     return resolve_columns(csv_with_header_guess(t.spark, path, ["store name"]), {"id": ["key", "id"], "name": ["store name", "title"]})
 
 
+@query("""SELECT c_custkey // 500 AS file, c_custkey AS id, CAST(row_number() OVER (PARTITION BY c_custkey // 500 ORDER BY c_custkey) + 1 AS INTEGER) AS line_number, c_custkey % 50 <> 7 AS valid,
+CASE WHEN c_custkey % 50 <> 7 THEN c_name || ', ' || c_mktsegment END AS name FROM customer""")
+def s08_strict_files(t: Tables):
+    """Files of five hundred customers in the strict form (S07-S10), one line in fifty with a quote inside a field: the record there is invalid, line numbers stay."""
+    from placeworks.sources.files import strict_csv_files
+
+    k = F.col("c_custkey")
+    line = F.concat(k.cast("string"), F.lit(',"'), "c_name", F.when(k % 50 == 7, F.lit('"x" ')).otherwise(F.lit(", ")), "c_mktsegment", F.lit('"'))
+    rows = t.base("customer").groupBy(F.floor(k / 500).alias("file")).agg(F.array_sort(F.collect_list(F.struct(k, line.alias("line")))).alias("rows"))
+    content = F.concat(F.lit("id,name\r\n"), F.array_join(F.transform("rows", lambda x: x["line"]), "\r\n"))
+    files = rows.select(F.col("file").cast("string").alias("path"), content.cast("binary").alias("content"))
+    found = strict_csv_files(files, ["id", "name"])
+    ids = rows.select(F.col("file").cast("string").alias("path"), F.posexplode(F.transform("rows", lambda x: x["c_custkey"])).alias("pos", "key")).withColumn("line_number", F.col("pos") + 2)
+    return found.drop("id").join(ids, ["path", "line_number"]).select(F.col("path").cast("long").alias("file"), F.col("key").alias("id"), "line_number", "valid", "name")
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS batch, n_nationkey, n_name FROM nation WHERE n_regionkey <> 3")
+def k02_bulk_insert(t: Tables):
+    """A batch for each region, one of them written twice and one staged without a commit: each committed row is there once."""
+    import uuid
+
+    from placeworks.sources.files import append_once, appended, shared_folder
+
+    path = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
+    rows = t.base("nation").select("n_nationkey", "n_name", "n_regionkey")
+    for region in (0, 1, 2, 4, 1):
+        append_once(rows.filter(F.col("n_regionkey") == region).drop("n_regionkey"), path, str(region))
+    rows.filter("n_regionkey = 3").drop("n_regionkey").write.parquet(f"{path}/rows/batch=3")
+    return appended(t.spark, path).select("batch", "n_nationkey", "n_name")
+
+
 @query("SELECT n_regionkey AS region, count(*) AS n FROM nation GROUP BY 1")
 def k05_rebuilt_partitions(t: Tables):
     """Two writes of a partitioned table, the second of some partitions only: the others stay, no row is doubled."""

@@ -9,6 +9,7 @@ from placeworks.functions.geo import half_up
 from placeworks.functions.text import first_rule
 from placeworks.operators import ranking as R
 from placeworks.operators.predicates import approved
+from placeworks.operators.supply import cube_of, with_level
 from placeworks.plans.registry import query
 from placeworks.plans.roles import Tables
 
@@ -58,6 +59,24 @@ def q21_search_demand(t: Tables):
     return best.select("query", "page", "theme", "intent", "action", "expected", "roi", F.floor(c("total") * 10 + 0.5).cast("long").alias("total_x10"))
 
 
+_WANTED = "SELECT p_partkey, n_name AS area, CASE WHEN p_partkey % 9 < 7 THEN 'd' || CAST(p_partkey % 9 AS VARCHAR) END AS local_area, CASE p_size % 7 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'HOUSEHOLD' WHEN 4 THEN 'MACHINERY' END AS genre FROM part LEFT JOIN nation ON n_nationkey = p_partkey % 30"
+
+
+@query(f"""WITH w AS ({_WANTED}), s AS (SELECT shop_id, area, genre, 'd' || CAST(shop_id % 7 AS VARCHAR) AS local_area, last_confirmed_on IS NOT NULL AS confirmed FROM b_shop WHERE approved AND NOT on_hold)
+SELECT p_partkey, w.area, w.local_area, w.genre, count(shop_id) AS shops, count(shop_id) FILTER (WHERE confirmed) AS confirmed, greatest(count(shop_id) + 2 * count(shop_id) FILTER (WHERE confirmed), 5) AS supply
+FROM w LEFT JOIN s ON (w.area IS NULL OR w.area = s.area) AND (w.local_area IS NULL OR w.local_area = s.local_area) AND (w.genre IS NULL OR w.genre = s.genre) GROUP BY ALL""")
+def q21_supply_levels(t: Tables):
+    """Supply of each row of demand at its own keys: area, local area and genre, any of which it may leave open. All levels come from one cube."""
+    k, keys = F.col("p_partkey"), ["area", "local_area", "genre"]
+    genres = F.array(*[F.lit(x) for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")])
+    named = t.base("nation").select(F.col("n_nationkey").alias("_n"), F.col("n_name").alias("area"))
+    wanted = t.base("part").select(k, (k % 30).alias("_n"), F.when(k % 9 < 7, F.concat(F.lit("d"), (k % 9).cast("string"))).alias("local_area"), F.get(genres, (F.col("p_size") % 7).cast("int")).alias("genre")).join(named, "_n", "left")
+    shops = approved(t.shop).withColumn("local_area", F.concat(F.lit("d"), (F.col("shop_id") % 7).cast("string")))
+    cube = cube_of(shops, keys, shops=F.count("*"), confirmed=F.count("last_confirmed_on"))
+    found = with_level(wanted, cube, keys, ["shops", "confirmed"])
+    return found.select("p_partkey", *keys, "shops", "confirmed", S.supply(F.col("shops"), F.col("confirmed"), F.lit(0)).alias("supply"))
+
+
 @query(f"""WITH l AS ({_LOG}) SELECT coalesce(theme, 'none') AS theme, count(*) AS pages, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks,
 list(page ORDER BY impressions DESC, page)[1:5] AS best FROM l GROUP BY 1""")
 def q22_theme_summary(t: Tables):

@@ -124,6 +124,98 @@ def strict_csv(lines: DataFrame, columns: list[str], required: list[str] | None
     return parsed.select("line_number", *[F.col(f"r.`{c}`").alias(c) for c in columns], (F.col("r._corrupt_record").isNull() & ~odd).alias("valid"))
 
 
+def strict_csv_files(files: DataFrame, columns: list[str], required: list[str] | None = None, encoding: str = "cp932", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, line_number, columns..., valid) of files (path, content), each read whole where it is (S07-S10): nothing is ordered over all lines, and files of
+    any number are read side by side.
+
+    A file must decode strictly, hold no NUL, name ``required`` columns in its first line and none twice, close its quotes, and keep to the limits; one that does not
+    stops the read with its path and line. Where it does not parse as a whole but each line's quotes are even, lines are parsed one by one and the
+    bad ones are invalid rows. Line numbers are those of the file, of a record's first line. Blank lines are no records.
+    """
+    needed = required or columns
+    schema = "path string, line_number int, " + ", ".join(f"`{c}` string" for c in columns) + ", valid boolean"
+
+    def read(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
+                rows = _records(path, content.as_py() or b"", columns, needed, encoding, max_rows, max_bytes)
+                values = list(zip(*rows)) if rows else [[]] * (len(columns) + 2)
+                kinds = [pa.int32(), *[pa.string()] * len(columns), pa.bool_()]
+                arrays = [pa.array([path] * len(rows), pa.string()), *[pa.array(v, k) for v, k in zip(values, kinds)]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["path", "line_number", *columns, "valid"])
+
+    return files.select("path", "content").mapInArrow(read, schema)
+
+
+def _records(path: str, content: bytes, columns: list[str], needed: list[str], encoding: str, max_rows: int, max_bytes: int) -> list[tuple]:
+    import csv
+
+    def stop(why: str):
+        raise ValueError(f"{path}: {why}")
+
+    if len(content) > max_bytes:
+        stop(f"more than {max_bytes} bytes")
+    lines = []
+    for k, raw in enumerate(content.split(b"\n"), 1):
+        try:
+            lines.append(raw.decode(encoding, "strict").rstrip("\r"))
+        except UnicodeDecodeError:
+            stop(f"line {k} cannot be decoded")
+        if "\0" in lines[-1]:
+            stop(f"line {k} has a NUL")
+    records: list[tuple[int, list[str] | None]] = []
+    reader = csv.reader((x + "\n" for x in lines), strict=True)
+    try:
+        at = 1
+        for values in reader:
+            records.append((at, values))
+            at = reader.line_num + 1
+    except csv.Error:
+        if any(x.count('"') % 2 for x in lines):
+            stop("a quoted field is never closed")
+        records = []
+        for k, line in enumerate(lines, 1):
+            try:
+                records += [(k, values) for values in csv.reader([line], strict=True)] or [(k, [])]
+            except csv.Error:
+                records.append((k, None))
+    records = [(k, v) for k, v in records if v is None or any(x.strip() for x in v)]
+    if not records or records[0][1] is None:
+        stop("no header")
+    names = [x.strip().lstrip("\ufeff") for x in records[0][1]]
+    missing = [c for c in needed if c not in names]
+    if missing or len(set(names)) != len(names):
+        stop(f"header lacks {missing} or repeats a column")
+    if len(records) - 1 > max_rows:
+        stop(f"more than {max_rows} rows")
+    place = [names.index(c) if c in names else None for c in columns]
+    fits = lambda v: v is not None and len(v) == len(names)
+    value = lambda v, p: v[p] if fits(v) and p is not None else None
+    return [(k, *[value(v, p) for p in place], fits(v)) for k, v in records[1:]]
+
+
+def append_once(df: DataFrame, path: str, batch: str) -> bool:
+    """Bulk insert of a named batch that a retry does not repeat (K02): rows are staged in a folder of the batch, which a retry
+    overwrites, and count from when the batch's commit row is written; a batch that has one is not written again. Tells whether rows were added."""
+    spark = df.sparkSession
+    done = f"{path}/commits/batch={batch}"
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(f"{done}/_SUCCESS")
+    if jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
+        return False
+    df.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+    spark.range(1).select(F.lit(True).alias("committed")).coalesce(1).write.mode("overwrite").parquet(done)
+    return True
+
+
+def appended(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of committed batches with their ``batch``; what a broken run staged is not seen."""
+    commits = spark.read.parquet(f"{path}/commits").select(F.col("batch").cast("string").alias("batch"))
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.withColumn("batch", F.col("batch").cast("string")).join(F.broadcast(commits.distinct()), "batch", "left_semi")
+
+
 def write_csv(df: DataFrame, path: str, header: list[str]) -> None:
     """One report in a fixed order of columns (K01). Reports are results of aggregates or top-k, so one file holds them."""
     df.select(*header).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
