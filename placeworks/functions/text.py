@@ -250,7 +250,9 @@ def sql_fingerprint(c: Column) -> Column:
 
 
 def nearest_station(c: Column) -> Column:
-    """Station of the least walking minutes, then metres, among 'name ... N分 / Mm' lines."""
+    """Station of the least walking minutes, then metres, among 'name ... N分 / Mm' lines (T28). Other lines are left out first, so that long words
+    in them are not searched from each of their characters."""
+    c = F.array_join(F.filter(F.split(c, "\n"), lambda x: x.contains("駅")), "\n")
     names = F.regexp_extract_all(c, F.lit(r"([^\s、,。]+?駅)[^\n]*?(?:\d+\s*分|\d+\s*m)"), F.lit(1))
     lines = F.regexp_extract_all(c, F.lit(r"([^\s、,。]+?駅[^\n]*?(?:\d+\s*分|\d+\s*m))"), F.lit(1))
     unit = lambda line, u: F.coalesce(F.regexp_extract(line, rf"(\d+)\s*{u}", 1).try_cast("int"), F.lit(1 << 30))
