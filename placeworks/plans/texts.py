@@ -6,9 +6,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from placeworks.functions import arrays as A
 from placeworks.functions import classify as C
+from placeworks.functions import hours as H
+from placeworks.functions import pasted as X
 from placeworks.functions import scores as S
 from placeworks.functions import text as T
+from placeworks.operators import linkage as L
 from placeworks.operators import pasted
 from placeworks.operators import predicates as P
 from placeworks.plans.registry import query
@@ -221,3 +225,159 @@ def x02_fields_of_texts(t: Tables):
     page = F.concat(F.lit("Name\t"), F.coalesce(F.get("l", F.lit(0)), F.lit("")), F.lit("\nNotes\n"), cut(2, F.lit(3)), F.lit("\nMenu: "), cut(5, F.size("l") - 4))
     told = rows.select("doc_id", pasted.fields(page, ["Name", "Notes", "Menu"]).alias("f"))
     return told.select("doc_id", *[F.try_element_at("f", F.lit(k)).alias(k.lower()) for k in ("Name", "Notes", "Menu")])
+
+
+def _letters(c: str = "text") -> Column:
+    return F.regexp_replace(c, "[^a-zA-Z\n ]", "")
+
+
+_LETTERS = "regexp_replace(text, '[^a-zA-Z\\n ]', '', 'g')"
+_FMT = "printf('%02d:%02d', CAST({0} // 60 AS INTEGER), CAST({0} % 60 AS INTEGER))"
+
+
+def _fmt(minute: Column) -> Column:
+    return F.format_string("%02d:%02d", F.floor(minute / 60), minute % 60)
+
+
+@query(f"""SELECT doc_id, CASE WHEN c OR o THEN c END AS closed, CASE WHEN o AND NOT c THEN {_FMT.format('n_chars % 600')} END AS opens, CASE WHEN c OR o THEN o AND NOT c AND doc_id % 3 = 0 AND n_chars % 2 = 0 END AS rests,
+CASE WHEN o AND NOT c AND doc_id % 3 = 0 AND n_chars % 2 = 0 THEN {_FMT.format('(n_chars % 600 + 60)')} END AS break_start FROM (SELECT *, doc_id % 5 = 0 AS c, n_chars % 7 > 0 AS o FROM documents)""")
+def n03_schedules_of_rows(t: Tables):
+    """JSON schedules with times from the rows, some closed, some without a closing time, some whose break lacks an end."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    json = F.concat(
+        F.lit('{"monday":{"closed":'), (k % 5 == 0).cast("string"), F.lit(',"open":'), text(_fmt(n % 600)), F.when(n % 7 > 0, F.concat(F.lit(',"close":'), text(_fmt(n % 600 + 600)))).otherwise(""),
+        F.lit(',"break_enabled":'), (k % 3 == 0).cast("string"), F.lit(',"break_start":'), text(_fmt(n % 600 + 60)), F.when(n % 2 == 0, F.concat(F.lit(',"break_end":'), text(_fmt(n % 600 + 120)))).otherwise(""), F.lit("}}"),
+    )
+    s = t.base("documents").select("doc_id", A.schedule(json).alias("s")).select("doc_id", F.try_element_at("s", F.lit("monday")).alias("m"))
+    return s.select("doc_id", "m.closed", F.col("m.open").alias("opens"), F.col("m.break_enabled").alias("rests"), "m.break_start")
+
+
+@query(f"SELECT doc_id, CASE WHEN n_chars % 4 > 0 THEN {_FMT.format('n_chars % 1440')} || '-' || {_FMT.format('doc_id % 1440')} END AS monday, {_FMT.format('doc_id % 1440')} || '-23:30' AS friday FROM documents")
+def n04_schedules_in_texts(t: Tables):
+    """Lines of hours by day among the lines of a text, in either order and case."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    monday = F.when(n % 4 > 0, F.concat(F.lit("  Monday :"), _fmt(n % 1440), F.lit(" -  "), _fmt(k % 1440))).otherwise("monday closed")
+    friday = F.concat(F.lit("FRIDAY: "), _fmt(k % 1440), F.lit("-23:30 (last)"))
+    text = F.when(k % 2 == 0, F.concat_ws("\n", monday, _letters(), friday)).otherwise(F.concat_ws("\n", friday, monday, _letters()))
+    of = lambda day: F.try_element_at("s", F.lit(day)).alias(day)
+    return t.base("documents").select("doc_id", A.schedule_of_text(text).alias("s")).select("doc_id", of("monday"), of("friday"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN n_chars % 3 = 0 WHEN lang IS NULL THEN false ELSE doc_id % 4 = 1 END AS yes FROM documents")
+def n06_truthy_values(t: Tables):
+    """Comparisons and remainders of the rows as text, in capitals and with spaces around."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    value = F.when(n % 2 == 0, F.concat(F.lit(" "), F.upper((n % 3 == 0).cast("string")))).when(F.col("lang").isNotNull(), F.concat((k % 4).cast("string"), F.lit(" ")))
+    return t.base("documents").select("doc_id", A.truthy(value).alias("yes"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN user_id % 2 = 0 THEN event_type END AS kind FROM events")
+def n09_kept_properties(t: Tables):
+    """Properties of each event with others added, of which only the named ones are kept."""
+    own = F.from_json("props", "map<string,string>")
+    more = F.create_map(F.lit("secret"), F.col("user_id").cast("string"), F.when(F.col("user_id") % 2 == 0, "kind").otherwise("other"), F.col("event_type"))
+    m = t.base("events").select("event_id", A.only_keys(F.map_concat(own, more), ["k", "kind"]).alias("m"))
+    return m.select("event_id", F.try_element_at("m", F.lit("k")).alias("k"), F.try_element_at("m", F.lit("kind")).alias("kind"))
+
+
+_OPENS = "[{'a': 540 + doc_id % 120, 'b': 840 + n_chars % 60}, {'a': 1020 + n_chars % 90, 'b': 1320 + doc_id % 200}]"
+
+
+@query(f"""WITH r AS (SELECT doc_id, {_OPENS} AS o, 480 + n_chars % 900 AS s, 481 + n_chars % 900 + doc_id % 400 AS e FROM documents),
+p AS (SELECT *, list_filter(flatten(list_transform(o, lambda x: CASE WHEN e <= x.a THEN [{{'a': x.a, 'b': least(x.b, s + 1440)}}, {{'a': greatest(x.a, e + 1440), 'b': x.b}}] ELSE [{{'a': x.a, 'b': least(x.b, s)}}, {{'a': greatest(x.a, e), 'b': x.b}}] END)), lambda x: x.a < x.b) AS l FROM r)
+SELECT doc_id, list_transform(CASE WHEN len(l) > 0 AND s <= o[1].a THEN [{{'a': l[1].a, 'b': l[-1].b}}] ELSE l END, lambda x: CAST(x.a AS VARCHAR) || '-' || CAST(x.b AS VARCHAR)) AS ranges FROM p WHERE e <= 1439""")
+def i09_bans_of_rows(t: Tables):
+    """Two openings without a ban, with all times from the rows."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    one = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    opens = F.array(one(540 + k % 120, 840 + n % 60), one(1020 + n % 90, 1320 + k % 200))
+    start, end = (480 + n % 900).cast("int"), (481 + n % 900 + k % 400).cast("int")
+    rows = t.base("documents").filter(end <= 1439)
+    return rows.select("doc_id", F.transform(H.without_ban(opens, start, end), lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))).alias("ranges"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN k <> '' THEN sha256('["' || k || '","' || '梅田' || CAST(n_chars % 9 + 1 AS VARCHAR) || '-' || CAST(doc_id % 20 + 1 AS VARCHAR) || '|' || coalesce(lang, 'x') || '"]') END AS identity FROM (SELECT *, regexp_replace(lower({_LETTERS}), '[\\s　]+', '', 'g') AS k FROM documents)""")
+def e01_identity_of_texts(t: Tables):
+    """The digest of a name, which is the letters of the text, and an address with numbers from its row; null where no letter is left."""
+    address = F.concat(F.lit("〒530-0001 梅田"), (F.col("n_chars") % 9 + 1).cast("string"), F.lit("丁目"), (F.col("doc_id") % 20 + 1).cast("string"), F.lit("番 "), F.coalesce("lang", F.lit("x")))
+    p = t.base("documents").select("doc_id", _letters().alias("name"), T.address_parts(address).alias("p"))
+    digest = F.sha2(F.to_json(F.array(T.linkage_name(F.col("name")), F.concat_ws("|", "p.street", F.coalesce("p.building", F.lit(""))))), 256)
+    return p.select("doc_id", F.when(~T.is_blank(F.col("name")) & F.col("p.street").isNotNull(), digest).alias("identity"))
+
+
+@query("""SELECT a.doc_id, a.n_chars % 5 > 0 AND a.lang = b.lang AND a.n_chars % 3 = b.n_chars % 3 AND (a.doc_id % 4 = 0 OR a.n_chars % 2 = b.n_chars % 2) AS matches FROM documents a JOIN documents b ON a.doc_id = b.doc_id - 1 WHERE a.lang IS NOT NULL AND b.lang IS NOT NULL""")
+def e15_strict_neighbours(t: Tables):
+    """Strict matches of each document and the next: language as name, an address and a phone from their sizes."""
+    d = t.base("documents").filter("lang is not null")
+    a, b = d.alias("a"), d.withColumn("doc_id", F.col("doc_id") - 1).alias("b")
+    address = lambda p: F.concat(F.lit("x 1-"), (F.col(f"{p}.n_chars") % 3).cast("string"))
+    phone = lambda p: F.concat(F.lit("06"), (F.col(f"{p}.n_chars") % 2).cast("string"))
+    match = L.strict_match(F.col("a.n_chars") % 5 == 0, F.col("a.lang"), F.col("b.lang"), address("a"), address("b"), F.when(F.col("a.doc_id") % 4 > 0, phone("a")), phone("b"))
+    return a.join(b, "doc_id").select("doc_id", match.alias("matches"))
+
+
+@query(f"""WITH {_TURNS}, h AS (SELECT conv_id, turn, regexp_extract(lower(was), '^[^ ]*') AS word, lower(text) AS low, text FROM b), s AS (SELECT conv_id, turn,
+CASE WHEN word <> '' AND contains(low, word || ' ') THEN 55 ELSE 0 END + CASE WHEN word <> '' AND contains(low, word) THEN 45 ELSE 0 END + CASE WHEN contains(text, 'que') THEN 20 ELSE 0 END + CASE WHEN contains(text, 'the') THEN 15 ELSE 0 END + CASE WHEN contains(text, 'und') THEN 10 ELSE 0 END AS score FROM h)
+SELECT conv_id AS target, arg_max(turn, (score, -turn)) AS hit, CAST(max(score) AS INTEGER) AS score FROM s WHERE score >= 30 GROUP BY 1""")
+def e17_best_turns(t: Tables):
+    """The turn of each conversation that answers the one before best: its first word and known words count."""
+    word = F.regexp_extract(F.lower("was"), "^[^ ]*", 0)
+    name = F.when(word != "", F.concat(word, F.lit(" "))).otherwise("")
+    text = F.col("text")
+    score = S.hit_score(name, word, F.lit("que"), text, text, text, ["the"], "und")
+    return L.best_hit(_turns(t).select(F.col("conv_id").alias("target"), F.col("turn").alias("hit"), score.cast("int").alias("score")))
+
+
+@query("""SELECT doc_id, '大阪府大阪市' || coalesce(lang, 'x') || CAST(n_chars % 30 + 1 AS VARCHAR) || '-' || CAST(doc_id % 40 + 1 AS VARCHAR) || CASE WHEN doc_id % 2 = 0 THEN '-' || CAST(n_chars % 9 + 1 AS VARCHAR) ELSE '' END AS street, CASE WHEN n_chars % 3 = 0 THEN source || 'ビル' ELSE '' END AS building, true AS complete FROM documents""")
+def t10_parts_of_rows(t: Tables):
+    """Addresses with numbers from the rows, with and without a postal code, a third number and a building."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    lot = F.concat((n % 30 + 1).cast("string"), F.when(k % 2 == 0, F.concat(F.lit("丁目"), (k % 40 + 1).cast("string"), F.lit("番"), (n % 9 + 1).cast("string"), F.lit("号"))).otherwise(F.concat(F.lit("－"), (k % 40 + 1).cast("string"))))
+    address = F.concat(F.when(k % 3 == 0, "〒530-0001 ").otherwise(""), F.lit("大阪府大阪市"), F.coalesce("lang", F.lit("x")), lot, F.when(n % 3 == 0, F.concat(F.lit(" "), "source", F.lit("ビル"))).otherwise(""))
+    return t.base("documents").select("doc_id", T.address_parts(address).alias("p")).select("doc_id", "p.*")
+
+
+@query("SELECT doc_id, coalesce(lang, 'x') || CASE n_chars % 3 WHEN 0 THEN '市' || source || '区' WHEN 1 THEN '郡' || source || '町' ELSE '村' END AS municipality FROM documents")
+def t12_municipality_of_rows(t: Tables):
+    """City with ward, county with town and village, whose names come from the rows, below a prefecture and before numbers."""
+    n = F.col("n_chars")
+    place = F.concat(F.coalesce("lang", F.lit("x")), F.when(n % 3 == 0, F.concat(F.lit("市"), "source", F.lit("区"))).when(n % 3 == 1, F.concat(F.lit("郡"), "source", F.lit("町"))).otherwise(F.lit("村")))
+    address = F.concat(F.lit("日本、〒530-0001 大阪府"), place, (n % 90 + 1).cast("string"), F.lit("-2"))
+    return t.base("documents").select("doc_id", T.municipality(address).alias("municipality"))
+
+
+_KINDS = ["paper_only", "electronic_only", "both_ok"]
+_PICK = "[" + ", ".join(f"'{k}'" for k in _KINDS) + "]"
+
+
+@query(f"""WITH c AS (SELECT doc_id, [{{'area': CASE WHEN doc_id % 2 = 0 THEN 'seats' ELSE 'outside' END, 'type': {_PICK}[n_chars % 3 + 1]}}, {{'area': CASE WHEN n_chars % 2 = 0 THEN 'seats' ELSE 'outside' END, 'type': {_PICK}[doc_id % 3 + 1]}}, {{'area': 'seats', 'type': {_PICK}[(n_chars + doc_id) % 2 + 1]}}] AS c FROM documents),
+e AS (SELECT doc_id, unnest(c).area AS area, unnest(c).type AS type, generate_subscripts(c, 1) AS k FROM c),
+m AS (SELECT doc_id, area, min(k) AS k, CASE WHEN bool_or(type = 'both_ok') OR count(DISTINCT type) > 1 THEN 'both_ok' ELSE min(type) END AS type FROM e GROUP BY 1, 2) SELECT doc_id, list(area || ' ' || type ORDER BY k) AS conditions FROM m GROUP BY 1""")
+def a21_types_of_rows(t: Tables):
+    """Three conditions of each row, with areas and types that its numbers choose, merged by area."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    area = lambda when: F.when(when, "seats").otherwise("outside")
+    kind = lambda i: F.get(F.array(*[F.lit(x) for x in _KINDS]), i.cast("int"))
+    one = lambda a, b: F.struct(a.alias("area"), b.alias("type"))
+    rows = F.array(one(area(k % 2 == 0), kind(n % 3)), one(area(n % 2 == 0), kind(k % 3)), one(F.lit("seats"), kind((n + k) % 2)))
+    return t.base("documents").select("doc_id", F.transform(X.merged_types(rows), lambda c: F.concat_ws(" ", c["area"], c["type"])).alias("conditions"))
+
+
+#: Clauses that the flat rules tell apart, each among the letters of a text.
+_CLAUSES = ["分煙（加熱式たばこのみ可）", "テラス席での喫煙可", "2階は喫煙可能", "時間帯禁煙（11:00～14:00）", "昼2時まで禁煙", "喫煙不可 21時以降は喫煙可", "店外に灰皿あり", "入口横のベンチで喫煙", "喫煙専用室あり", "昼は禁煙、夜は喫煙可", "分煙 禁煙席あり", "全面喫煙可", "分煙", "全席喫煙可", "全席禁煙", "紙巻きたばこのみ喫煙可", "紙たばこは禁止、加熱式は喫煙可", "電子タバコのみ", "紙と加熱式の席", "紙タバコ", "none"]
+
+
+def _ladder_sql(rules, default: str) -> str:
+    hit = lambda where, patterns: " AND ".join(f"regexp_matches({where}_, '{X.half_width_pattern(p)}')" for p in patterns)
+    return "CASE " + " ".join(f"WHEN {hit(where, patterns)} THEN '{label}'" for label, where, patterns in rules) + f" ELSE {default} END"
+
+
+@query(f"""WITH f AS (SELECT doc_id, translate({_LETTERS} || chr(10) || [{', '.join(f"'{c}'" for c in _CLAUSES)}][n_chars % {len(_CLAUSES)} + 1], '（）～：', '()~:') AS field_, {_LETTERS} || chr(10) || CASE WHEN doc_id % 4 = 0 THEN '喫煙所' ELSE '' END AS more FROM documents), g AS (SELECT *, field_ || chr(10) || more AS page_ FROM f)
+SELECT doc_id, {_ladder_sql(X.AREA_RULES, 'NULL')} AS area, {_ladder_sql(X.TYPE_RULES, chr(39) + 'unknown' + chr(39))} AS type FROM g""")
+def x08_classes_of_texts(t: Tables):
+    """Flat classes by the whole ladders, of a clause among the letters of a text and a page that says more in every fourth row."""
+    clause = F.get(F.array(*[F.lit(c) for c in _CLAUSES]), (F.col("n_chars") % len(_CLAUSES)).cast("int"))
+    field = F.concat(_letters(), F.lit("\n"), clause)
+    page = F.concat(_letters(), F.lit("\n"), F.when(F.col("doc_id") % 4 == 0, "喫煙所").otherwise(""))
+    return t.base("documents").select("doc_id", X.smoking_area(field, page).alias("area"), X.smoking_type(field, page).alias("type"))
