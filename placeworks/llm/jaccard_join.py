@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from placeworks.llm import textkit as tk
 from placeworks.llm.components import connected
-from placeworks.llm.membership import bloom, hits
+from placeworks.llm.membership import MAX_KEYS, bloom, hits
 from placeworks.llm.store import written
 
 WORDS, PERCENT = 5, 80
@@ -295,14 +295,18 @@ def _compare(pairs: DataFrame, texts: DataFrame, bitmap, words: int, percent: in
 
 def _texts(docs: DataFrame, wanted: DataFrame, classes: DataFrame, keys: ClassKeys, words: int) -> DataFrame:
     """(key, text) of one document of each wanted key. A Bloom filter of their ids and text hashes, as large as they are many, is broadcast, so
-    few other texts are shuffled. Ids may be null or repeated, so the key of each text left is computed again, and texts are joined on that."""
+    few other texts are shuffled; of more than ``MAX_KEYS`` keys the texts are joined. Ids may be null or repeated, so the key of each text left is computed
+    again, and texts are joined on that."""
     reps = written(wanted.join(classes, "key").select("key", F.xxhash64("rep.doc_id", "rep.mark").alias("at")))
-    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(reps.select("at"), reps.count()))
-    hashed = docs.select("text", F.xxhash64("doc_id", F.xxhash64("text")).alias("at"))
+    hashed, n_keys = docs.select("text", F.xxhash64("doc_id", F.xxhash64("text")).alias("at")), reps.count()
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(reps.select("at"), n_keys)) if n_keys <= MAX_KEYS else None
+    if filter_ is None:
+        hashed = hashed.join(reps.select("at").distinct(), "at", "left_semi").select("text", "at")
 
     def keyed(batches):  # sifts too: a step of its own would be a second Python process for each task
         for b in batches:
-            b = b.filter(pa.array(hits(filter_.value, b.column(1).to_numpy())))
+            if filter_ is not None:
+                b = b.filter(pa.array(hits(filter_.value, b.column(1).to_numpy())))
             for first, last, data, offsets in tk.text_slices(b.column(0)):
                 tokens, owner = shingles(data, offsets, words)
                 n = np.bincount(owner, minlength=last - first)

@@ -131,3 +131,47 @@ def test_groups_of_null_and_repeated_ids(frame):
     rows += [(None, " ".join(one[:24] + text()[:12])), (7, " ".join(three[:24] + text()[:12]))]
     rows += [(None, " ".join(one[:31] + text()[:5])), (7, " ".join(three[:31] + text()[:5]))]
     assert groups_of(jaccard_join.groups(frame(rows))) == brute_groups(rows)
+
+
+def test_texts_of_many_keys_are_joined(frame, monkeypatch):
+    """Beyond the bound of the broadcast filter texts are joined; the groups are the same."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(300)}" for _ in range(50)]
+    rows = [(k, " ".join(f"x{rng.randrange(999)}" if rng.random() < 0.02 else w for w in base)) for k in range(25)] + [(None, " ".join(base)), (30, None)]
+    monkeypatch.setattr(jaccard_join, "MAX_KEYS", 0)
+    assert groups_of(jaccard_join.groups(frame(rows))) == brute_groups(rows)
+
+
+def test_recall_against_full_alignment():
+    """Items found by seeds and bounds against the alignment of every item with every whole text: of the table, and of copies with a third of
+    the words replaced at random, of which those without three words in a row of the item are not found."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from placeworks.llm import textkit as tk
+
+    def full(text, items):
+        out = set()
+        for first, last, data, offsets in tk.text_slices(text):
+            words, doc, _, _ = decontamination.words_of(data, offsets)
+            bounds = np.searchsorted(doc, np.arange(len(offsets)))
+            for k in range(last - first):
+                w = words[bounds[k] : bounds[k + 1]]
+                known = set(w.tolist())
+                for j, target in enumerate(items.words):
+                    # a score of a half needs half of the item's words
+                    if len(w) and 2 * sum(x in known for x in target.tolist()) >= len(target) and decontamination.align(target, w)[0] >= len(target):
+                        out.add((first + k, j))
+        return out
+
+    docs, benchmark = (pq.read_table(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    items = decontamination.Items(benchmark["item_id"].to_pylist(), benchmark["text"].to_pylist())
+    found = lambda text: {(r[0], r[1]) for r in decontamination.found_in(text, items, decontamination.THRESHOLD)}
+    text = docs["text"].combine_chunks()
+    assert found(text) == full(text, items) != set()
+    rng = random.Random(2)
+    copies = [" ".join(w if rng.random() < 0.67 else f"new{rng.randrange(10**6)}" for w in t.split()) for t in benchmark["text"].to_pylist() for _ in range(10)]
+    some = pa.array(copies)
+    want = full(some, items)
+    assert len(want) > 100 and len(found(some) & want) >= 0.9 * len(want)
