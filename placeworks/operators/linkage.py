@@ -6,6 +6,8 @@ decides alone where it hits; other pairs come from equality joins on block keys,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,6 +85,8 @@ def street_pairs(targets: DataFrame, rows: DataFrame, street_rows: int = STREET_
     both = targets.select("id", "street", "name").unionByName(rows.select("id", "street", "name"))
     large = both.groupBy("street").count().filter(F.col("count") > street_rows).select("street")
     small = lambda df: df.join(large, "street", "left_anti").select("id", "street")
+    if large.isEmpty():
+        return targets.select(F.col("id").alias("target"), "street").join(rows.select(F.col("id").alias("row"), "street"), "street").select("target", "row")
     near = small(targets).withColumnRenamed("id", "target").join(small(rows).withColumnRenamed("id", "row"), "street").select("target", "row")
     variants = lambda df: df.join(large, "street", "left_semi").select("id", "street", F.explode(F.array_distinct(name_variants(F.col("name")))).alias("text"))
     t, r = variants(targets).withColumnRenamed("id", "target"), variants(rows).withColumnRenamed("id", "row")
@@ -229,17 +233,30 @@ def duplicate_candidates(records: DataFrame, n: int = 10, hot_rows: int = HOT_RO
     other part of the score, an address within the other, is found by a join on containment, and there too the first ``n`` + 1 of each address are enough.
     """
     columns = records.columns
-    hot = records.select("id")
+    sizes = {key: records.filter(F.col(key) != "").groupBy(key).count().filter(F.col("count") > hot_rows).select(F.col(key)) for key in KEYS}
+    any_hot = not reduce(lambda a, b: a.union(b), [df.select(F.lit(1).alias("one")) for df in sizes.values()]).isEmpty()
+    known = records
     for key in KEYS:
-        sizes = records.filter(F.col(key) != "").groupBy(key).count().filter(F.col("count") > hot_rows).select(F.col(key))
-        hot = hot.join(records.select("id", key).join(sizes, key).select("id", F.col(key).alias(f"v_{key}")), "id", "left")
-    known = records.join(hot, "id")
+        value = records.select("id", key).join(sizes[key], key).select("id", F.col(key).alias(f"v_{key}"))
+        known = known.join(value, "id", "left") if any_hot else known.withColumn(f"v_{key}", F.lit(None).cast("string"))
     left, right = records.select(*[F.col(c).alias(f"a_{c}") for c in columns]), records.select(*[F.col(c).alias(f"b_{c}") for c in columns])
     pairs = None
     for key in KEYS:
         cold = known.filter(F.col(f"v_{key}").isNull() & (F.col(key) != "")).select("id", key)
         found = cold.withColumnRenamed("id", "a_id").join(cold.withColumnRenamed("id", "b_id"), key).filter("a_id != b_id").select("a_id", "b_id")
         pairs = found if pairs is None else pairs.unionByName(found)
+    if any_hot:
+        pairs = pairs.unionByName(_hot_pairs(known, n))
+    scored = pairs.distinct().join(left, "a_id").join(right, "b_id").withColumn("score", duplicate_score("a_", "b_"))
+    same = lambda k: (F.col(f"a_{k}") == F.col(f"b_{k}")) & (F.col(f"a_{k}") != "")
+    branch = F.coalesce(*[F.when(same(k), F.lit(j)) for j, k in enumerate(KEYS)])
+    w = Window.partitionBy("a_id").orderBy(F.desc("score"), "branch", "b_id")
+    ranked = scored.withColumn("branch", branch).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return ranked.select(F.col("a_id").alias("id"), F.col("b_id").alias("other"), "branch", "score", "rank")
+
+
+def _hot_pairs(known: DataFrame, n: int) -> DataFrame:
+    """(a_id, b_id) that records of hot values (columns ``v_`` and the key, null where the value is not hot) need to meet."""
     # every combination of a record's hot values: at most 2^6 - 1, and for most records none
     some = F.filter(F.array(*[F.when(F.col(f"v_{k}").isNotNull(), F.concat(F.lit(f"{j}|"), F.col(f"v_{k}"))) for j, k in enumerate(KEYS)]), lambda x: x.isNotNull())
     empty = F.array(F.array().cast("array<string>"))
@@ -249,7 +266,7 @@ def duplicate_candidates(records: DataFrame, n: int = 10, hot_rows: int = HOT_RO
     first = lambda df, by, name: df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("own"), "id"))).filter(F.col(name) <= n + 1)
     best = first(grouped, ["values"], "nth").select("values", F.col("id").alias("b_id"))
     members = grouped.select(F.col("id").alias("a_id"), "values", "address_key")
-    pairs = pairs.unionByName(members.join(best, "values").filter("a_id != b_id").select("a_id", "b_id"))
+    pairs = members.join(best, "values").filter("a_id != b_id").select("a_id", "b_id")
     addresses = grouped.filter(F.col("address_key") != "")
     texts = addresses.select(F.col("address_key").alias("text")).distinct()
     within = contained_in(texts, texts).filter("whole != part")
@@ -257,13 +274,7 @@ def duplicate_candidates(records: DataFrame, n: int = 10, hot_rows: int = HOT_RO
     by_address = first(addresses, ["values", "address_key"], "nth").select("values", F.col("address_key").alias("other"), "own", "id")
     shown = members.select("values", "address_key").distinct().join(ways, "address_key").join(by_address, ["values", "other"])
     shown = first(shown, ["values", "address_key"], "nth").select("values", "address_key", F.col("id").alias("b_id"))
-    pairs = pairs.unionByName(members.join(shown, ["values", "address_key"]).filter("a_id != b_id").select("a_id", "b_id")).distinct()
-    scored = pairs.join(left, "a_id").join(right, "b_id").withColumn("score", duplicate_score("a_", "b_"))
-    same = lambda k: (F.col(f"a_{k}") == F.col(f"b_{k}")) & (F.col(f"a_{k}") != "")
-    branch = F.coalesce(*[F.when(same(k), F.lit(j)) for j, k in enumerate(KEYS)])
-    w = Window.partitionBy("a_id").orderBy(F.desc("score"), "branch", "b_id")
-    ranked = scored.withColumn("branch", branch).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-    return ranked.select(F.col("a_id").alias("id"), F.col("b_id").alias("other"), "branch", "score", "rank")
+    return pairs.unionByName(members.join(shown, ["values", "address_key"]).filter("a_id != b_id").select("a_id", "b_id"))
 
 
 def approval_blocked(waiting: DataFrame, shops: DataFrame) -> DataFrame:
