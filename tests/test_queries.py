@@ -5,7 +5,7 @@ import pytest
 
 from placeworks.plans import ORACLE_SQL, QUERIES
 
-TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
 
 
