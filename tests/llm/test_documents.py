@@ -279,6 +279,34 @@ def test_contamination_of_the_table(spark, sf_dir):
     assert want and got == pytest.approx(want)
 
 
+def test_seeds_are_counted_and_the_rarest_come_first(monkeypatch):
+    import pyarrow as pa
+
+    word = lambda k: "w" + "".join("abcdefghij"[int(c)] for c in str(k))
+    item = [word(k) for k in range(12)]
+    edited = [*item[:9], "x", "y", "z"]
+    common, rare = " ".join(item[:3]), " ".join(item[3:])
+    texts = [common] * 9 + [" ".join(edited) + " gap" * 40 + " " + " ".join(item), rare, " ".join(item[1:5]), None, ""]
+    items = decontamination.Items([7, 8], [" ".join(item), "other words here"])
+    column = pa.array(texts, pa.string())
+    seeds, n = decontamination.counted(column, items)
+    grams = collections.Counter(tuple(w[k : k + 3]) for w in (t.lower().split() for t in texts if t) for k in range(len(w) - 2))
+    assert sorted(n.tolist()) == sorted(grams[tuple(item[k : k + 3])] for k in range(10))
+    often = np.zeros(len(items.grams), np.int64)
+    often[seeds] = n
+    plain = sorted(decontamination.found_in(column, items, 0.5))
+    calls = []
+    align = decontamination.align
+    monkeypatch.setattr(decontamination, "align", lambda a, b: calls.append(len(b)) or align(a, b))
+    # The whole copy holds the rarest seeds; no other passage can beat it, so the edited one is not aligned.
+    assert sorted(decontamination.found_in(column, items, 0.5, often)) == plain and len(calls) == 4
+    assert [(r[0], r[1], r[2]) for r in plain] == [(9, 0, 1.0), (10, 0, 0.75)]
+    assert [r[0] for r in decontamination.found_in(column, items, 0.5, often, any_item=True)] == [9, 10]
+    # Of equal copies the first stays, whatever the order of visits.
+    twice = pa.array([" ".join(item) + " gap" * 40 + " " + " ".join(item)])
+    assert [r[3] for order in (often, often[::-1]) for r in decontamination.found_in(twice, items, 0.5, order)] == [0, 0]
+
+
 def test_clean_documents_of_odd_tables(spark, frame, odd):
     item = " ".join(f"{c}ord" for c in "bcdfghjklmnp")
     rows = [*odd, (70, None), (71, f"x {item} y"), (71, f"x {item} y"), (72, ""), (72, "")]
