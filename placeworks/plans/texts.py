@@ -297,6 +297,20 @@ def i09_bans_of_rows(t: Tables):
     return rows.select("doc_id", F.transform(H.without_ban(opens, start, end), lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))).alias("ranges"))
 
 
+@query("""WITH v AS (SELECT event_id, hour(ts) * 60 + minute(ts) AS m, user_id AS u, CAST(floor(coalesce(value, 0)) AS BIGINT) AS n FROM events),
+r AS (SELECT event_id, m, unnest([{'a': 480 + n % 300, 'b': 800 + u % 100}, {'a': 1020 + n % 200, 'b': (1200 + n * 3) % 1440}, {'a': u % 1300 - 1440, 'b': (300 + u * 11) % 1440 - 1440}]) AS x FROM v)
+SELECT event_id, bool_or(m >= x.a AND m < x.b + CASE WHEN x.b <= x.a THEN 1440 ELSE 0 END) AS inside FROM r GROUP BY event_id""")
+def i08_spill_of_events(t: Tables):
+    """The time of day of each event against a day and a night of today and the hours of yesterday, with all times from the row;
+    the SQL counts minutes on one line, on which yesterday is a day earlier."""
+    u, n = F.col("user_id"), F.floor(F.coalesce("value", F.lit(0.0))).cast("long")
+    one = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    today = F.array(one(480 + n % 300, 800 + u % 100), one(1020 + n % 200, (1200 + n * 3) % 1440))
+    yesterday = F.array(one(u % 1300, (300 + u * 11) % 1440))
+    minute = F.hour("ts") * 60 + F.minute("ts")
+    return t.base("events").select("event_id", H.with_spill(today, yesterday, minute).alias("inside"))
+
+
 @query(f"""SELECT doc_id, CASE WHEN k <> '' THEN sha256('["' || k || '","' || '梅田' || CAST(n_chars % 9 + 1 AS VARCHAR) || '-' || CAST(doc_id % 20 + 1 AS VARCHAR) || '|' || coalesce(lang, 'x') || '"]') END AS identity FROM (SELECT *, regexp_replace(lower({_LETTERS}), '[\\s　]+', '', 'g') AS k FROM documents)""")
 def e01_identity_of_texts(t: Tables):
     """The digest of a name, which is the letters of the text, and an address with numbers from its row; null where no letter is left."""
