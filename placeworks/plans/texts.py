@@ -297,6 +297,27 @@ def i09_bans_of_rows(t: Tables):
     return rows.select("doc_id", F.transform(H.without_ban(opens, start, end), lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))).alias("ranges"))
 
 
+_WITHIN = "CASE WHEN {0} < {1} THEN m >= {0} AND m < {1} ELSE m >= {0} OR m < {1} END"
+
+
+@query(f"""WITH v AS (SELECT event_id AS k, hour(ts) * 60 + minute(ts) AS m, user_id AS u, CAST(floor(coalesce(value, 0)) AS BIGINT) AS n FROM events),
+r AS (SELECT *, n * 7 % 1440 AS a, u * 53 % 1440 AS b, n * 11 % 1440 AS c, u * 31 % 1440 AS d FROM v)
+SELECT k AS event_id, CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN false WHEN n % 9 = 0 THEN k % 3 <> 0 WHEN n % 9 = 1 THEN {_WITHIN.format('a', 'b')} WHEN n % 6 = 0 THEN false
+WHEN k % 7 = 0 THEN n % 4 <> 0 AND {_WITHIN.format('c', 'd')} ELSE n % 6 <> 1 AND {_WITHIN.format('a', 'b')} END AS allowed FROM r""")
+def i07_smoking_at_events(t: Tables):
+    """Whether smoking is allowed at the time of day of each event: lines by day in either order, times from the row, Mondays banned or without a
+    line, holidays without hours, texts without days and blank ones."""
+    k, u, n = F.col("event_id"), F.col("user_id"), F.floor(F.coalesce("value", F.lit(0.0))).cast("long")
+    span = lambda a, b: F.concat(_fmt(a % 1440), F.lit("-"), _fmt(b % 1440))
+    monday = F.when(n % 6 == 0, "月 喫煙不可").when(n % 6 != 1, F.concat(F.lit("月 "), span(n * 7, u * 53)))
+    holiday = F.concat(F.lit("祝日 "), F.when(n % 4 == 0, "未設定").otherwise(span(n * 11, u * 31)))
+    other = F.lit("火 00:00-23:59")
+    days = F.when(u % 2 == 0, F.concat_ws("\n", other, monday, holiday)).otherwise(F.concat_ws("\n", holiday, other, monday))
+    text = F.when(n % 9 == 0, " ").when(n % 9 == 1, span(n * 7, u * 53)).otherwise(days)
+    minute = (F.hour("ts") * 60 + F.minute("ts")).cast("int")
+    return t.base("events").select("event_id", H.smoking_now(k % 11 != 0, k % 13 == 0, k % 3 == 0, text, "月", k % 7 == 0, minute).alias("allowed"))
+
+
 @query("""WITH v AS (SELECT event_id, hour(ts) * 60 + minute(ts) AS m, user_id AS u, CAST(floor(coalesce(value, 0)) AS BIGINT) AS n FROM events),
 r AS (SELECT event_id, m, unnest([{'a': 480 + n % 300, 'b': 800 + u % 100}, {'a': 1020 + n % 200, 'b': (1200 + n * 3) % 1440}, {'a': u % 1300 - 1440, 'b': (300 + u * 11) % 1440 - 1440}]) AS x FROM v)
 SELECT event_id, bool_or(m >= x.a AND m < x.b + CASE WHEN x.b <= x.a THEN 1440 ELSE 0 END) AS inside FROM r GROUP BY event_id""")
