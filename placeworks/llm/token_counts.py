@@ -4,7 +4,8 @@ A pre-token is a newline or a run of spaces with the characters that follow up t
 The piece model marks a space in front and no piece holds a newline or a space after another
 character, so no piece crosses a pre-token's border and a text's count is the sum over its pre-tokens.
 
-1. Distinct pre-tokens with their corpus frequency: a hash aggregate, combined map-side.
+1. Distinct pre-tokens with their corpus frequency: combined within each slice of about 1 MB of text, in Arrow batches, so that
+   not every occurrence becomes a row of Spark's; then a hash aggregate, combined map-side.
 2. Their piece counts, each computed once, by the tokenizer over the distinct rows.
 3. Documents' pre-tokens, as hashes, are summed to per-document frequencies and joined to the counts. The
    most frequent ones (``HEAD`` rows, a fixed bound) are broadcast; only the rare rest is shuffled. So hot
@@ -24,7 +25,6 @@ from placeworks.llm import textkit as tk
 from placeworks.llm.store import written
 
 HEAD, LIMIT = 1 << 18, 4096
-_UNIT = r"(?:\n| +)[^ \n]*"
 
 
 def _count(units: list[str], model: str) -> list[int]:
@@ -52,6 +52,45 @@ def _second_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return tk.mix(tk.span_hashes(data ^ np.uint8(0x55), starts, ends) ^ np.uint64(0xA0761D6478BD642F)).view(np.int64)
 
 
+def _pretokens(texts: pa.Array):
+    """(first row, row after the last, bytes, starts, ends, rows counted from the first) of the pre-tokens of each slice of non-null texts. A text gets a
+    space in front, and the marker that stands for a space is a space, as to the tokenizer; an empty text has one pre-token, which does not count."""
+    plain = pc.binary_join_element_wise(" ", pc.replace_substring(texts, "▁", " "), "")
+    for first, last, data, offsets in tk.text_slices(plain):
+        begins = data == 10
+        begins[1:] |= (data[1:] == 32) & (data[:-1] != 32)
+        begins[offsets[:-1]] = True
+        starts = np.flatnonzero(begins)
+        yield first, last, data, starts, np.append(starts[1:], len(data)), np.searchsorted(offsets, starts, "right") - 1
+
+
+def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes data[start:end] of each span as a string."""
+    to = np.concatenate(([0], np.cumsum(ends - starts)))
+    at = np.arange(to[-1]) + np.repeat(starts - to[:-1], ends - starts)
+    return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data[at])])
+
+
+def distinct_units(texts: DataFrame) -> DataFrame:
+    """(unit, freq) of the pre-tokens of a column of non-null texts, combined within slices: a unit may come once a slice. Both hashes tell
+    units apart; those that share the first may come more than once."""
+
+    def combined(batches):
+        for b in batches:
+            n_bytes = pc.binary_length(b.column(0)).to_numpy(zero_copy_only=False)
+            for first, last, data, starts, ends, doc in _pretokens(b.column(0)):
+                real = n_bytes[first:last][doc] > 0
+                starts, ends = starts[real], ends[real]
+                h, v = _hashes(data, starts, ends), _second_hashes(data, starts, ends)
+                order = np.argsort(h)
+                h, v = h[order], v[order]
+                new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (v[1:] != v[:-1])))) if len(h) else np.zeros(0, int)
+                one = order[new]
+                yield pa.RecordBatch.from_arrays([_spans(data, starts[one], ends[one]), pa.array(np.diff(np.append(new, len(h))), pa.int64())], names=["unit", "freq"])
+
+    return texts.mapInArrow(combined, "unit string, freq long")
+
+
 def pretoken_counts(units: DataFrame, model: str = "piece_bpe_32k.model", hash_bits: int = 64) -> DataFrame:
     """Distinct (unit, freq) in, (u, v, freq, n_pieces) out; u and v are the pre-token's two 64-bit hashes."""
 
@@ -78,10 +117,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows and null ids too. An empty table gives no rows; other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # The marker that stands for a space is a space to the tokenizer.
-    spaced = F.concat(F.lit(" "), F.translate("text", "▁", " "))
-    units = base.filter(F.col("text") != "").select(F.explode(F.regexp_extract_all(spaced, F.lit(_UNIT), F.lit(0))).alias("unit"))
-    pieces = written(pretoken_counts(units.groupBy("unit").agg(F.count("*").alias("freq")), model, hash_bits))
+    units = distinct_units(base.select("text"))
+    pieces = written(pretoken_counts(units.groupBy("unit").agg(F.sum("freq").alias("freq")), model, hash_bits))
     # Of 10^10 distinct pre-tokens about three pairs share a hash: these hashes are known to every task.
     shared = np.sort(pieces.groupBy("u").count().filter("count > 1").select("u").toArrow()["u"].to_numpy())
     if len(shared):
@@ -100,16 +137,9 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         row = TaskContext.get().partitionId() << 36
         for b in batches:
             texts = b.column(1)
-            plain = pc.binary_join_element_wise(" ", pc.replace_substring(texts, "▁", " "), "")
             n_bytes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-            for first, last, data, offsets in tk.text_slices(plain):
+            for first, last, data, starts, ends, doc in _pretokens(texts):
                 n = last - first
-                begins = data == 10
-                begins[1:] |= (data[1:] == 32) & (data[:-1] != 32)
-                begins[offsets[:-1]] = True
-                starts = np.flatnonzero(begins)
-                ends = np.append(starts[1:], len(data))
-                doc = np.searchsorted(offsets, starts, "right") - 1
                 real = n_bytes[first:last][doc] > 0
                 h, doc = _hashes(data, starts, ends, hash_bits)[real], doc[real]
                 again = _among(shared, h)[1]

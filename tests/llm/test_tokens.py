@@ -1,6 +1,8 @@
 """Token counts, packing and language identification against the libraries themselves."""
 
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -48,6 +50,19 @@ def test_counts_of_documents(spark, sf_dir):
     assert token_counts.count_tokens(docs.limit(0)).count() == 0
 
 
+def test_pretokens_are_combined_before_they_are_rows(spark, sf_dir, frame, odd):
+    """A pre-token comes once a slice of text, not once an occurrence, and the sums are those of a plain search."""
+    texts = [t or "" for _, t in odd] + [r["text"] for r in table(spark, sf_dir, "documents").collect()]
+    expected = Counter(u for t in texts if t for u in re.findall(r"(?:\n| +)[^ \n]*", " " + t.replace("▁", " ")))
+    rows = token_counts.distinct_units(frame(list(enumerate(texts))).select("text").repartition(1)).collect()
+    got = Counter()
+    for r in rows:
+        got[r["unit"]] += r["freq"]
+    assert got == expected
+    slices = sum(map(len, (t.encode() for t in texts))) // token_counts.tk.SLICE_BYTES + 2
+    assert max(Counter(r["unit"] for r in rows).values()) <= slices and len(rows) < sum(expected.values()) / 2
+
+
 def check_pieces(rows, texts, tokenizer, size, may_be_short):
     ids = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for t in texts]
     by_sequence, total = {}, 0
