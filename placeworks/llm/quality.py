@@ -1,14 +1,17 @@
 """Document quality by Bradley-Terry ranking of preference pairs.
 
 A document's strength is linear in features of its text; the weights maximise the likelihood
-that in each sampled pair of labelled documents the better one wins, a logistic loss on the
-difference of their features. The cut is a quantile of the labelled strengths: the share of poor
-documents. The score is a logistic curve through the cut, where it is ``CUT_SCORE``.
+that in each pair of a good and a poor labelled document the good one wins, a logistic loss on the
+difference of their features. All labelled documents and all their pairs count. A pair's weight in a Newton step hangs on the
+difference of two strengths only, so documents of a class are summed over narrow ranges of strength, and ranges are paired
+at their mean strengths, not documents. The cut is a quantile of the strengths of all labelled documents: the share of poor
+ones. The score is a logistic curve through the cut, where it is ``CUT_SCORE``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeworks.llm import textkit as tk
-from placeworks.llm.store import bounded_rows
+from placeworks.llm.store import written
 
-LABELLED, PAIRS, CUT_SCORE = 6000, 60_000, 0.7
+CUT_SCORE, PENALTY, STEPS, CLOSE = 0.7, 1e-3, 25, 1e-4
+#: Ranges of strengths of a class, slots in the search of a quantile, and the fraction of which summed values are multiples.
+RANGES, SLOTS, FRACTION = 1024, 1024, 1 << 20
 FEATURES = ("log_words", "word_length", "letters", "capitals", "digits", "symbols", "lone_symbols", "symbol_tails", "doubled_marks", "repeats_next", "distinct", "distinct_for_length", "distinct_lines", "sentence_ends")
 
+_ROW, _COLUMN = np.triu_indices(len(FEATURES))
 _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
 _DIGIT = np.zeros(256, bool)
@@ -91,59 +97,161 @@ class Ranking:
     cut: float
     width: float
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -6, 6)
+
     def strength(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights
+        return self.standard(x) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         at = (self.strength(x) - self.cut) / self.width + np.log(CUT_SCORE / (1 - CUT_SCORE))
         return 1 / (1 + np.exp(-np.clip(at, -500, 500)))
 
 
-def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, penalty: float = 1e-3) -> Ranking:
-    """The ranking of labelled rows. With one class only there are no pairs: weights are zero
+def fit(rows: DataFrame, penalty: float = PENALTY) -> Ranking:
+    """The ranking of all labelled rows (label, x), which are read once a Newton step. With one class only there are no pairs: weights are zero
     and every document scores alike, above the cut if the class is the good one."""
-    mean, scale = x.mean(0) if len(x) else np.zeros(len(FEATURES)), x.std(0) + 1e-6 if len(x) else np.ones(len(FEATURES))
-    good, poor = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    w = np.zeros(x.shape[1])
-    if not len(good) or not len(poor):
-        return Ranking(mean, scale, w, 1.0 if len(poor) else -1.0, 1.0)
-    rng = np.random.default_rng(17)
-    z = np.clip((x - mean) / scale, -6, 6)
-    d = z[rng.choice(good, pairs)] - z[rng.choice(poor, pairs)]
-    for _ in range(25):  # Newton steps
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -500, 500)))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / pairs + penalty * np.eye(len(w)), d.T @ (1 - p) / pairs - penalty * w)
-        w += step
-        if abs(step).max() < 1e-6:
+    mean, scale, good, poor = _moments(rows)
+    w = np.zeros(len(FEATURES))
+    if not good or not poor:
+        return Ranking(mean, scale, w, 1.0 if poor else -1.0, 1.0)
+    reach = 0.0  # bounds the strengths; standardised features are within 6
+    for _ in range(STEPS):
+        sums = _ranges(rows, Ranking(mean, scale, w, 0.0, 1.0), reach)
+        step = _newton(*sums, w, penalty)
+        furthest = max(abs(part[:, 1 : 1 + len(w)] @ w / part[:, 0]).max() for part in sums) + 2 * reach / RANGES
+        w = w + step
+        reach = min(6 * abs(w).sum(), furthest + 6 * abs(step).sum())
+        if abs(step).max() < CLOSE:
             break
-    s = np.sort(z @ w)
-    k = len(poor)  # the quantile at the share of poor documents, midway to the next
-    spread = np.median((z @ w)[good]) - np.median((z @ w)[poor])
-    return Ranking(mean, scale, w, float((s[k - 1] + s[min(k, len(s) - 1)]) / 2), max(float(spread) / 12, 1e-6))
+    strengths = written(_strengths(rows, Ranking(mean, scale, w, 0.0, 1.0)))
+    cut = sum(nth(strengths, poor)) / 2  # the quantile at the share of poor documents, midway to the next
+    spread = _median(strengths.filter("label = 1"), good) - _median(strengths.filter("label = 0"), poor)
+    return Ranking(mean, scale, w, float(cut), max(float(spread) / 12, 1e-6))
+
+
+def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Means and deviations of the features, and the number of good and of poor rows. Sums are decimal, so they don't hang on their order."""
+    x = [F.col("x")[k] for k in range(len(FEATURES))]
+    exact = lambda value: F.coalesce(F.sum(value.cast("decimal(38,12)")), F.lit(0))
+    n, good, *sums = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), *[exact(v) for v in x], *[exact(v * v) for v in x]).first()
+    if not n:
+        return np.zeros(len(FEATURES)), np.ones(len(FEATURES)), 0, 0
+    mean, square = ([Decimal(v) / n for v in part] for part in (sums[: len(x)], sums[len(x) :]))
+    deviation = [max(b - a * a, Decimal(0)).sqrt() for a, b in zip(mean, square)]
+    return np.array(mean, float), np.array(deviation, float) + 1e-6, good, n - good
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, len(FEATURES))
+
+
+def _ranges(rows: DataFrame, ranking: Ranking, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """For good and for poor rows, one row a range of strengths, of equal ones from -reach to reach: their number, the sums of their standardised features and of the products of two.
+    They are sums of integers, multiples of 1 / FRACTION, so they don't hang on their order."""
+    width = 1 + len(FEATURES) + len(_ROW)
+
+    def summed(batches):
+        total = np.zeros((2 * RANGES, width), np.int64)
+        for b in batches:
+            z = ranking.standard(_values(b.column(1)))
+            place = np.clip((z @ ranking.weights / reach + 1) / 2 * RANGES, 0, RANGES - 1).astype(int) if reach else np.zeros(len(z), int)
+            of = place + RANGES * b.column(0).to_numpy()
+            values = np.concatenate((np.ones((len(z), 1)), z, z[:, _ROW] * z[:, _COLUMN]), axis=1)
+            _add(total, of, np.rint(values * FRACTION).astype(np.int64))
+        yield _occupied(total)
+
+    def together(batches):
+        total = np.zeros((2 * RANGES, width), np.int64)
+        for b in batches:
+            _add(total, b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, width))
+        yield _occupied(total)
+
+    schema = "of int, sums array<long>"
+    found = rows.select("label", "x").mapInArrow(summed, schema).repartition("of").mapInArrow(together, schema).toArrow().combine_chunks()
+    of, sums = found["of"].to_numpy(), np.array(found["sums"].to_pylist(), float) / FRACTION
+    order = np.argsort(of)
+    of, sums = of[order], sums[order]
+    return sums[of >= RANGES], sums[of < RANGES]
+
+
+def _add(total: np.ndarray, of: np.ndarray, values: np.ndarray) -> None:
+    if len(of):
+        order = np.argsort(of, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(of[order]) > 0)))
+        total[of[order][starts]] += np.add.reduceat(values[order], starts, axis=0)
+
+
+def _occupied(total: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(total[:, 0])
+    ends = pa.array(np.arange(len(some) + 1) * total.shape[1], pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(total[some].ravel()))], names=["of", "sums"])
+
+
+def _newton(good: np.ndarray, poor: np.ndarray, w: np.ndarray, penalty: float) -> np.ndarray:
+    """The step of the mean logistic loss over all pairs of a good and a poor row, from the sums over ranges."""
+    d = len(w)
+    (n, x, xx), (m, y, yy) = ((part[:, 0], part[:, 1 : d + 1], part[:, d + 1 :]) for part in (good, poor))
+    p = 1 / (1 + np.exp(-np.clip((x @ w / n)[:, None] - (y @ w / m)[None], -500, 500)))
+    pairs, lost, curve = n.sum() * m.sum(), 1 - p, p * (1 - p)
+    slope = ((lost @ m) @ x - (n @ lost) @ y) / pairs
+    square = np.zeros((d, d))
+    square[_ROW, _COLUMN] = (curve @ m) @ xx + (n @ curve) @ yy
+    square = square + np.triu(square, 1).T
+    cross = x.T @ curve @ y
+    return np.linalg.solve((square - cross - cross.T) / pairs + penalty * np.eye(d), slope - penalty * w)
+
+
+def _strengths(rows: DataFrame, ranking: Ranking) -> DataFrame:
+    def of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ranking.strength(_values(b.column(1))))], names=["label", "s"])
+
+    return rows.select("label", "x").mapInArrow(of, "label int, s double")
+
+
+def nth(values: DataFrame, n: int) -> tuple[float, float]:
+    """The ``n``-th smallest value of column ``s`` (from 1) and the one after it, or itself if it is the last: counts over ranges of
+    values, which narrow until the two are found. Exact, and no value is sorted."""
+    low, high = values.agg(F.min("s"), F.max("s")).first()
+    before, after = 0, high
+    while low < high:
+        slot = F.least(F.floor((F.col("s") - low) / F.lit(high - low) * SLOTS), F.lit(SLOTS - 1))
+        slots = sorted(values.filter(F.col("s").between(low, high)).groupBy(slot.alias("slot")).agg(F.count("*"), F.min("s"), F.max("s")).collect())
+        k = 0
+        while before + slots[k][1] < n:
+            before += slots[k][1]
+            k += 1
+        if k + 1 < len(slots):
+            after = slots[k + 1][2]
+        _, count, low, high = slots[k]
+        if before + count == n:
+            return high, after
+    return low, low
+
+
+def _median(values: DataFrame, n: int) -> float:
+    return sum(nth(values, n // 2)) / 2 if n % 2 == 0 else nth(values, n // 2 + 1)[0]
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED) -> Ranking:
-    """Fit to at most ``labelled`` labelled documents, those of the smallest id hash, whatever their length: only features leave the tasks.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranking:
+    """Fit to all labelled documents, whatever their length: features are joined to labels, texts are not shuffled.
 
-    Null labels and texts are passed over. Of a repeated id each label counts, and of its texts the one whose features come first; ties between
-    scores are no matter, as pairs are drawn. Without labels, or with one class, every document is of that class (poor without any).
+    Null labels and texts are passed over. Of a repeated id each label counts, and of its texts the one whose features come first.
+    Without labels, or with one class, every document is of that class (poor without any).
     """
-    some = bounded_rows(labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")), "doc_id", labelled)
-    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # The sample is bounded, so it may be broadcast, and so may its features be collected: texts are not.
-    measured = texts.join(F.broadcast(some.distinct()), "doc_id").select("doc_id", "label", "text").mapInArrow(_measure, "doc_id long, label int, x array<double>")
-    measured = measured.groupBy("doc_id", "label").agg(F.min("x").alias("x"))
-    rows = measured.toArrow().to_pandas().sort_values(["doc_id", "label"])
-    x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
-    return fit(x, rows["label"].to_numpy())
+    known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).distinct()
+    texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    measured = texts.mapInArrow(_measure, "doc_id long, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x"))
+    return fit(written(measured.join(known, "doc_id").select("label", "x")))
 
 
 def _measure(batches):
     for b in batches:
-        x = [features(data, offsets) for _, _, data, offsets in tk.text_slices(b.column(2))]
+        x = [features(data, offsets) for _, _, data, offsets in tk.text_slices(b.column(1))]
         flat = np.concatenate(x) if x else np.zeros((0, len(FEATURES)))
         values = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * len(FEATURES), pa.int32()), pa.array(flat.ravel()))
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), values], names=["doc_id", "label", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(0), values], names=["doc_id", "x"])
 
 
 def score(docs: DataFrame, ranking: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -78,6 +78,35 @@ def test_quality_of_the_table(spark, sf_dir):
         assert abs(ranking.score(plain_features(texts[r["doc_id"]])[None])[0] - r["score"]) < 1e-6
 
 
+def test_quality_learns_from_all_labelled_documents_and_pairs(spark):
+    """Means, weights, cut and width against Newton steps over every pair of a good and a poor labelled document, one by one."""
+    labels = table(spark, LARGER, "labels").filter(fold("doc_id", 4) != 2)
+    ranking = quality.learn(table(spark, LARGER, "documents"), labels)
+    rows = table(spark, LARGER, "documents").join(labels, "doc_id").filter("text is not null and quality in (0, 1)").collect()
+    x, good = np.array([plain_features(r["text"]) for r in rows]), np.array([r["quality"] == 1 for r in rows])
+    assert np.allclose(ranking.mean, x.mean(0)) and np.allclose(ranking.scale, x.std(0), atol=2e-6)
+    z = ranking.standard(x)
+    d = (z[good][:, None] - z[~good][None]).reshape(-1, x.shape[1])
+    w = np.zeros(x.shape[1])
+    for _ in range(20):
+        p = 1 / (1 + np.exp(-d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(len(w)), d.T @ (1 - p) / len(d) - 1e-3 * w)
+    assert abs(ranking.weights - w).max() < 3e-4
+    s, k = np.sort(ranking.strength(x)), (~good).sum()
+    assert np.isclose(ranking.cut, (s[k - 1] + s[k]) / 2)
+    assert np.isclose(ranking.width, (np.median(ranking.strength(x[good])) - np.median(ranking.strength(x[~good]))) / 12)
+    again = quality.learn(table(spark, LARGER, "documents").repartition(5, "text"), labels)
+    assert (again.weights == ranking.weights).all() and np.isclose(again.cut, ranking.cut)  # whatever the order of rows
+
+
+def test_nth_value(spark):
+    rng = np.random.default_rng(3)
+    for values in ([1.0], [2.0] * 9, [0.0, 1e-300, 1e300, -1e300], [1.0] * 5 + [1.0 + 1e-15] * 4 + [7.0], rng.normal(size=3000).round(2), rng.standard_cauchy(3000)):
+        found, s = spark.createDataFrame([(float(v),) for v in values], "s double").cache(), np.sort(values)
+        for n in {1, 2, len(s) // 2, len(s) - 1, len(s)} & set(range(1, len(s) + 1)):
+            assert quality.nth(found, n) == (s[n - 1], s[min(n, len(s) - 1)])
+
+
 def test_quality_learns_from_odd_labels(spark, sf_dir, frame, odd):
     docs = frame(odd * 2)
     labels = spark.createDataFrame([(4, 1), (4, 0), (4, 1), (5, 1), (7, None), (None, 1), (99, 0)], "doc_id long, quality int").selectExpr("*", "'t' as text", "1 as label", "2 as x")
