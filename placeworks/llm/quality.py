@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeworks.llm import textkit as tk
+from placeworks.llm.membership import MAX_KEYS, bloom, hits
 from placeworks.llm.store import written
 
 CUT_SCORE, PENALTY, STEPS, CLOSE = 0.7, 1e-3, 25, 1e-4
@@ -240,18 +241,27 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Null labels and texts are passed over. Of a repeated id each label counts, and of its texts the one whose features come first.
     Without labels, or with one class, every document is of that class (poor without any).
     """
-    known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).distinct()
+    known = written(labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).distinct())
     texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    measured = texts.mapInArrow(_measure, "doc_id long, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x"))
-    return fit(written(measured.join(known, "doc_id").select("label", "x")))
+    return fit(written(measured(texts, known).join(known, "doc_id").select("label", "x")))
 
 
-def _measure(batches):
-    for b in batches:
-        x = [features(data, offsets) for _, _, data, offsets in tk.text_slices(b.column(1))]
-        flat = np.concatenate(x) if x else np.zeros((0, len(FEATURES)))
-        values = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * len(FEATURES), pa.int32()), pa.array(flat.ravel()))
-        yield pa.RecordBatch.from_arrays([b.column(0), values], names=["doc_id", "x"])
+def measured(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, x) of the rows (doc_id, text) whose id is in ``known``, and of a few others that its Bloom filter takes for such ones; of all rows
+    where it would be too large. Of a repeated id the features that come first."""
+    n = known.count()
+    labelled = texts.sparkSession.sparkContext.broadcast(bloom(known.select(F.xxhash64("doc_id")), n)) if n <= MAX_KEYS else None
+
+    def measure(batches):
+        for b in batches:
+            if labelled is not None:
+                b = b.filter(pa.array(hits(labelled.value, b.column(2).to_numpy())))
+            x = [features(data, offsets) for _, _, data, offsets in tk.text_slices(b.column(1))]
+            flat = np.concatenate(x) if x else np.zeros((0, len(FEATURES)))
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * len(FEATURES), pa.int32()), pa.array(flat.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), values], names=["doc_id", "x"])
+
+    return texts.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(measure, "doc_id long, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x"))
 
 
 def score(docs: DataFrame, ranking: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -99,6 +99,19 @@ def test_quality_learns_from_all_labelled_documents_and_pairs(spark):
     assert (again.weights == ranking.weights).all() and np.isclose(again.cut, ranking.cut)  # whatever the order of rows
 
 
+def test_features_of_labelled_documents_only(spark, sf_dir, monkeypatch):
+    """Others are hardly measured, all labelled ones are, and the ranking is the same without a filter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = table(spark, sf_dir, "labels").filter("doc_id % 3 = 0").selectExpr("doc_id", "quality as label")
+    ids = {r["doc_id"] for r in quality.measured(docs, known).collect()}
+    expected = {r["doc_id"] for r in docs.join(known, "doc_id").collect()}
+    assert expected <= ids and len(ids - expected) < 10
+    ranking = quality.learn(docs, known, label_col="label")
+    monkeypatch.setattr(quality, "MAX_KEYS", 0)
+    assert len(quality.measured(docs, known).collect()) == docs.count()
+    assert (quality.learn(docs, known, label_col="label").weights == ranking.weights).all()
+
+
 def test_nth_value(spark):
     rng = np.random.default_rng(3)
     for values in ([1.0], [2.0] * 9, [0.0, 1e-300, 1e300, -1e300], [1.0] * 5 + [1.0 + 1e-15] * 4 + [7.0], rng.normal(size=3000).round(2), rng.standard_cauchy(3000)):
