@@ -33,14 +33,15 @@ def pairs_of_groups(rows: DataFrame, keys: list[str], id_col: str = "id", chunk:
 def within_windows(instants: DataFrame, windows: DataFrame, minutes: int = 30, keys: tuple[str, ...] = ()) -> DataFrame:
     """Instants (weekday, minute) joined to the windows that hold them (J08): equality on the weekday and on slots of so many minutes, of which a window
     has each that it touches, with the range as residual; so there are as many keys as slots of the week, and a window meets only instants near it. ``keys`` must agree too, such as
-    the shop whose windows they are. The windows' opening and closing come along."""
+    the shop whose windows they are; where those tell windows apart, slots may be whole days (``minutes`` of 1440). The windows' opening and closing come along.
+    Spark sizes exploded rows as if there were none more, and would send them all to the driver to broadcast: both sides are shuffled."""
     slots = F.sequence(F.floor(F.col("opens") / minutes), F.floor((F.col("closes") - 1) / minutes))
     w = windows.filter("opens < closes").withColumn("_slot", F.explode(slots)).alias("w")
     i = instants.withColumn("_slot", F.floor(F.col("minute") / minutes)).alias("i")
     on = (F.col("i.weekday") == F.col("w.weekday")) & (F.col("i._slot") == F.col("w._slot")) & (F.col("w.opens") <= F.col("i.minute")) & (F.col("i.minute") < F.col("w.closes"))
     for key in keys:
         on = on & (F.col(f"i.{key}") == F.col(f"w.{key}"))
-    found = i.join(w, on)
+    found = i.join(w.hint("merge"), on)
     return found.select("i.*", *[f"w.{c}" for c in ("shop_id", "opens", "closes") if c not in keys]).drop("_slot")
 
 

@@ -280,7 +280,7 @@ SELECT event_id, w.shop_id, CAST(opens AS INTEGER) AS opens, CAST(closes AS INTE
 def j08_interval_join(t: Tables):
     """Events against the hours of their shop: the windows it was open in at that moment, all of both."""
     instants = t.event.select("event_id", F.col("user_id").alias("shop_id"), (F.dayofweek("ts") - 1).alias("weekday"), (F.hour("ts") * 60 + F.minute("ts")).alias("minute"))
-    found = J.within_windows(instants, exploded(t.hours), keys=("shop_id",))
+    found = J.within_windows(instants, exploded(t.hours), 1440, keys=("shop_id",))
     return found.select("event_id", "shop_id", F.col("opens").cast("int").alias("opens"), F.col("closes").cast("int").alias("closes"))
 
 

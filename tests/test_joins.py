@@ -34,3 +34,14 @@ def test_windows_in_slots(spark):
     instants = [(k, rng.randrange(7), rng.randrange(1440)) for k in range(200)]
     got = sorted((r["n"], r["shop_id"]) for r in J.within_windows(spark.createDataFrame(instants, "n long, weekday int, minute int"), spark.createDataFrame(windows, "shop_id long, weekday int, opens int, closes int")).collect())
     assert got == sorted((n, w) for n, d, m in instants for w, e, s, c in windows if d == e and s <= m < c)
+
+
+def test_windows_of_a_key(spark):
+    """Slots of a day find the same as short ones, and exploded windows, of which Spark knows no size, are not broadcast."""
+    rng = random.Random(4)
+    windows = spark.createDataFrame([(k % 9, k % 3, s := rng.randrange(1440), rng.randrange(s, 1441)) for k in range(150)], "shop_id long, weekday int, opens int, closes int")
+    instants = spark.createDataFrame([(k, k % 11, rng.randrange(3), rng.randrange(1440)) for k in range(200)], "n long, shop_id long, weekday int, minute int")
+    found = [J.within_windows(instants, windows, m, keys=("shop_id",)) for m in (30, 1440)]
+    assert sorted(map(tuple, found[0].collect())) == sorted(map(tuple, found[1].collect())) and found[0].count() > 100
+    for df in (*found, J.within_windows(instants.drop("shop_id"), windows)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
