@@ -95,6 +95,7 @@ def contained_in(whole: DataFrame, parts: DataFrame, gram: int = 4) -> DataFrame
 
     A part is looked up by its rarest substring of ``gram`` characters, counted over all of ``whole``: an equality join with the containment as
     residual. Shorter parts are looked up by themselves among the substrings of their own length, so none is lost; empty ones match nothing.
+    Spark sizes exploded rows as if there were none more, and would broadcast them: their joins are merges.
     """
     w = whole.select("text").filter("text != ''").distinct()
     p = parts.select("text").filter("text != ''").distinct()
@@ -102,14 +103,14 @@ def contained_in(whole: DataFrame, parts: DataFrame, gram: int = 4) -> DataFrame
     counts = grams.groupBy("g").agg(F.count("*").alias("n"))
     long = p.filter(F.length("text") >= gram).select(F.col("text").alias("part"), F.explode(_substrings(F.col("text"), gram)).alias("g"))
     # A gram that no whole has rules the part out, and is its rarest: the count is 0.
-    rarest = long.join(counts, "g", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).filter("r.n > 0").select("part", F.col("r.g").alias("g"))
-    found = grams.join(rarest, "g").filter(F.expr("contains(whole, part)")).select("whole", "part")
+    rarest = long.hint("merge").join(counts, "g", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).filter("r.n > 0").select("part", F.col("r.g").alias("g"))
+    found = grams.hint("merge").join(rarest, "g").filter(F.expr("contains(whole, part)")).select("whole", "part")
     short = p.filter(F.length("text") < gram).withColumnRenamed("text", "part")
     pieces = None
     for n in range(1, gram):
         own = w.filter(F.length("text") >= n).select(F.col("text").alias("whole"), F.explode(_substrings(F.col("text"), n)).alias("part"))
         pieces = own if pieces is None else pieces.unionByName(own)
-    return found.unionByName(pieces.join(short, "part").select("whole", "part")) if pieces is not None else found
+    return found.unionByName(pieces.hint("merge").join(short, "part").select("whole", "part")) if pieces is not None else found
 
 
 def names_in_queries(queries: DataFrame, names: DataFrame, least: int = 2, gram: int = 4) -> DataFrame:
@@ -122,12 +123,13 @@ def names_in_queries(queries: DataFrame, names: DataFrame, least: int = 2, gram:
 
 
 def containing_addresses(left: DataFrame, right: DataFrame, gram: int = 4) -> DataFrame:
-    """Pairs (a, b) of ids whose normalised addresses contain one another (J11); ids of equal addresses meet by equality alone."""
+    """Pairs (a, b) of ids whose normalised addresses contain one another (J11); ids of equal addresses meet by equality alone. Strings made
+    from a narrow compressed column are larger than Spark takes them for, so neither side is broadcast."""
     a, b = left.select(F.col("id").alias("a"), F.col("address").alias("whole")), right.select(F.col("id").alias("b"), F.col("address").alias("part"))
     texts = lambda df: df.select(F.col("address").alias("text"))
     inside = contained_in(texts(left), texts(right), gram)
     around = contained_in(texts(right), texts(left), gram).filter("whole != part").select(F.col("whole").alias("part"), F.col("part").alias("whole"))
-    return a.join(inside.unionByName(around), "whole").join(b, "part").filter("a != b").select("a", "b").distinct()
+    return a.hint("merge").join(inside.unionByName(around), "whole").join(b.hint("merge"), "part").filter("a != b").select("a", "b").distinct()
 
 
 def first_rule_join(rows: DataFrame, text: str, rules: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from placeworks.operators import joins as J
 
 
@@ -45,3 +47,10 @@ def test_windows_of_a_key(spark):
     assert sorted(map(tuple, found[0].collect())) == sorted(map(tuple, found[1].collect())) and found[0].count() > 100
     for df in (*found, J.within_windows(instants.drop("shop_id"), windows)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grams_are_not_broadcast(spark):
+    """Exploded substrings are many times the strings that Spark goes by; of the joins of E24 none of them is sent to the driver."""
+    frame = lambda p: spark.range(50).select("id", F.concat(F.lit(p), "id").alias("address"))
+    plan = J.containing_addresses(frame("street1"), frame("street"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
